@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontaminate, lzprint, simhash
+from tideline.llm import decontaminate, langid, lzprint, reputation, simhash, warc
 
 QUERIES = {
     "op2_lz_fingerprint": lzprint.op2_lz_fingerprint,
+    "op3_language_id": langid.op3_language_id,
     "op4_simhash_trie": simhash.op4_simhash_trie,
+    "op5_warc_chain": warc.op5_warc_chain,
     "op6_decontamination_fm": decontaminate.op6_decontamination_fm,
+    "op7_host_reputation": reputation.op7_host_reputation,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_host_reputation": reputation.ORACLE_OP7}
