@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontaminate, langid, lzprint, reputation, simhash, warc
+from tideline.llm import decontaminate, langid, lzprint, reputation, sharding, simhash, warc
 
 QUERIES = {
     "op2_lz_fingerprint": lzprint.op2_lz_fingerprint,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_warc_chain": warc.op5_warc_chain,
     "op6_decontamination_fm": decontaminate.op6_decontamination_fm,
     "op7_host_reputation": reputation.op7_host_reputation,
+    "op10_stratified_shards": sharding.op10_stratified_shards,
 }
-ORACLE_SQL: dict[str, str] = {"op7_host_reputation": reputation.ORACLE_OP7}
+ORACLE_SQL: dict[str, str] = {"op7_host_reputation": reputation.ORACLE_OP7, "op10_stratified_shards": sharding.ORACLE_OP10}
