@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontaminate, langid, lzprint, reputation, sharding, simhash, warc
+from tideline.llm import decontaminate, langid, lzprint, mixing, reputation, sharding, simhash, warc
 
 QUERIES = {
     "op2_lz_fingerprint": lzprint.op2_lz_fingerprint,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_warc_chain": warc.op5_warc_chain,
     "op6_decontamination_fm": decontaminate.op6_decontamination_fm,
     "op7_host_reputation": reputation.op7_host_reputation,
+    "op8_pfair_mixture": mixing.op8_pfair_mixture,
     "op10_stratified_shards": sharding.op10_stratified_shards,
 }
-ORACLE_SQL: dict[str, str] = {"op7_host_reputation": reputation.ORACLE_OP7, "op10_stratified_shards": sharding.ORACLE_OP10}
+ORACLE_SQL: dict[str, str] = {"op7_host_reputation": reputation.ORACLE_OP7, "op8_pfair_mixture": mixing.ORACLE_OP8, "op10_stratified_shards": sharding.ORACLE_OP10}
