@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontaminate, langid, lzprint, mixing, reputation, sharding, simhash, warc
+from tideline.llm import decontaminate, langid, licenses, lzprint, mixing, passages, reputation, sharding, simhash, warc
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_lz_fingerprint": lzprint.op2_lz_fingerprint,
     "op3_language_id": langid.op3_language_id,
     "op4_simhash_trie": simhash.op4_simhash_trie,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_decontamination_fm": decontaminate.op6_decontamination_fm,
     "op7_host_reputation": reputation.op7_host_reputation,
     "op8_pfair_mixture": mixing.op8_pfair_mixture,
+    "op9_collinear_passages": passages.op9_collinear_passages,
     "op10_stratified_shards": sharding.op10_stratified_shards,
 }
-ORACLE_SQL: dict[str, str] = {"op7_host_reputation": reputation.ORACLE_OP7, "op8_pfair_mixture": mixing.ORACLE_OP8, "op10_stratified_shards": sharding.ORACLE_OP10}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.ORACLE_OP1, "op7_host_reputation": reputation.ORACLE_OP7, "op8_pfair_mixture": mixing.ORACLE_OP8, "op10_stratified_shards": sharding.ORACLE_OP10}
