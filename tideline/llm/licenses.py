@@ -61,8 +61,11 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     named = rows.select("doc_id", "path").distinct()
     paragraphs = F.filter(F.split("t", r"\n[ \t\r]*\n"), lambda p: p.contains("\n"))
     parts = F.array_distinct(F.concat(F.split("t", "\n"), paragraphs))
-    found = rows.where(F.col("t").rlike(ANCHOR)).select("doc_id", "path", F.greatest(F.length("t"), F.lit(1)).alias("size"), F.explode(parts).alias("part")).where(F.col("part").rlike(ANCHOR)).distinct()
-    found = cut(found.withColumn("terms", F.regexp_extract_all(F.lower("part"), F.lit(TERM), 0)).where("size(terms) > 0"), "parts")
+    found = rows.where(F.col("t").rlike(ANCHOR)).select("doc_id", "path", F.greatest(F.length("t"), F.lit(1)).alias("size"), F.explode(parts).alias("part")).where(F.col("part").rlike(ANCHOR))
+    # From here on a passage is its digest: texts aren't shuffled again.
+    shape = [F.md5(F.col("part").cast("binary")).alias("part"), F.col("part").contains("\n").alias("multi"), F.length("part").alias("length"), F.regexp_extract_all(F.lower("part"), F.lit(TERM), 0).alias("terms")]
+    found = found.select("doc_id", "path", "size", *shape).where("size(terms) > 0")
+    found = cut(found.dropDuplicates(["doc_id", "path", "size", "part"]), "parts")
 
     spark = files.sparkSession
     known = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("tpl"), F.lit(n).alias("license"), F.lit(x).alias("x")) for k, (n, x) in enumerate(templates)])).alias("s")).select("s.*")
@@ -82,8 +85,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     scored = dots.join(norms, "part").select("part", "license", F.round(F.col("dot") / (F.col("norm") * F.col("norm2")), 6).alias("score"))
     best = scored.where(F.col("score") >= least).groupBy("part").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     best = cut(best.select("part", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")), "best")
-    licensed = found.join(best, "part")
-    own = licensed.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.sum(F.when(F.col("part").contains("\n"), 0).otherwise(F.length("part")) / F.col("size")).alias("share"))
+    licensed = found.drop("terms").join(best, "part")
+    own = licensed.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.sum(F.when(F.col("multi"), 0).otherwise(F.col("length")) / F.col("size")).alias("share"))
     own = cut(own.select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "share"), "own")
 
     name = F.regexp_extract("path", r"([^/]*)$", 1)
