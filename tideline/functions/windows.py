@@ -5,35 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("series_id").orderBy("t")
+
+def by_t():
+    return Window.partitionBy("series_id").orderBy("t")
 
 
 def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def lag(x, k: int = 1, by=BY) -> Column:
-    return F.lag(col(x), k).over(by)
+def lag(x, k: int = 1, by=None) -> Column:
+    return F.lag(col(x), k).over(by or by_t())
 
 
-def diff(x, k: int = 1, by=BY) -> Column:
+def diff(x, k: int = 1, by=None) -> Column:
     return col(x) - lag(x, k, by)
 
 
-def rolling(agg, x, rows: int, least: int | None = None, by=BY) -> Column:
+def rolling(agg, x, rows: int, least: int | None = None, by=None) -> Column:
     """An aggregate of the last `rows` rows where at least `least` (all, by default) have a value."""
-    w = by.rowsBetween(1 - rows, 0)
+    w = (by or by_t()).rowsBetween(1 - rows, 0)
     return F.when(F.count(col(x)).over(w) >= (least or rows), agg(col(x)).over(w))
 
 
-def expanding(agg, x, least: int, by=BY) -> Column:
-    w = by.rowsBetween(Window.unboundedPreceding, 0)
+def expanding(agg, x, least: int, by=None) -> Column:
+    w = (by or by_t()).rowsBetween(Window.unboundedPreceding, 0)
     return F.when(F.count(col(x)).over(w) >= least, agg(col(x)).over(w))
 
 
-def slope(y, x, rows: int, by=BY) -> Column:
+def slope(y, x, rows: int, by=None) -> Column:
     """Least-squares slope over the last `rows` rows."""
-    w = by.rowsBetween(1 - rows, 0)
+    w = (by or by_t()).rowsBetween(1 - rows, 0)
     return F.when(F.count(col(y)).over(w) >= rows, F.regr_slope(col(y), col(x)).over(w))
 
 
@@ -48,7 +50,7 @@ def filled(x, steps: int, order: str = "month") -> Column:
 def sigma(full: bool = False, y: str = "value") -> list[tuple[str, Column]]:
     """Columns to add in turn for the rule's volatility `sig`: of the last 36 changes, of the first 24 where there are fewer than 24, or of all."""
     every = Window.partitionBy("series_id")
-    last36 = BY.rowsBetween(-35, 0)
+    last36 = by_t().rowsBetween(-35, 0)
     seed = F.stddev_samp(F.when((F.col("t") >= 1) & (F.col("t") <= 24), F.col("dy"))).over(every)
     rolled = F.when(F.count("dy").over(last36) >= 24, F.stddev_samp("dy").over(last36)).otherwise(seed)
     return [("dy", diff(y)), ("sig", F.stddev_samp("dy").over(every) if full else rolled)]
@@ -83,7 +85,7 @@ def without_short_runs(df: DataFrame, least: int, label: str = "label") -> DataF
     marked = run_ids(df, label)
     size = F.count("*").over(Window.partitionBy("series_id", "run_no"))
     kept = F.when((size >= least) | (F.col("run_no") == 0), F.col(label))
-    return marked.withColumn("_kept", kept).withColumn(label, F.last("_kept", ignorenulls=True).over(BY)).drop("_kept", "run_no")
+    return marked.withColumn("_kept", kept).withColumn(label, F.last("_kept", ignorenulls=True).over(by_t())).drop("_kept", "run_no")
 
 
 def average_rank(score: str, keys: list[str]) -> Column:

@@ -119,7 +119,7 @@ def pnl_metrics(called: DataFrame, values: DataFrame, keys: list[str]) -> DataFr
 
 def score(forecasts: DataFrame, truth: DataFrame, keys: list[str], h: int = 0) -> DataFrame:
     """All scores of forecasts made at t for t + h: month, event and, for h = 0, trading metrics. Events take null forecasts as even."""
-    target = forecasts.withColumn("m", F.col("t") + h).join(truth.select(*keys, F.col("t").alias("m"), "truth"), [*keys, "m"])
+    target = forecasts.select(*keys, "t", "p_down", "p_side", "p_up").withColumn("m", F.col("t") + h).join(truth.select(*keys, F.col("t").alias("m"), "truth"), [*keys, "m"])
     even = target.fillna(1 / 3, subset=["p_down", "p_side", "p_up"]).select(*keys, "t", calls().alias("call"))
     out = month_metrics(target.select(*keys, "t", "p_down", "p_side", "p_up", "truth"), keys).join(event_metrics(even, truth, keys, h), keys)
     return out.join(pnl_metrics(even, truth, keys), keys) if h == 0 else out

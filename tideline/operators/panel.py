@@ -16,7 +16,10 @@ SPREAD_VARS = ("y2", "ff", "y5", "y30", "be10", "fwd5y5y", "tips10", "clev10")
 LEVEL_VARS = ("cpi", "core_cpi", "core_pce", "unrate", "payems", "baa10y", "mich1", "clev10", "be10", "fwd5y5y", "vix")
 COMPACT = ("_z3", "_z12", "_spr", "_up", "_down")
 LAGS = (1, 3, 6, 12)
-BY_MONTH = Window.partitionBy("series_id").orderBy("month")
+
+
+def by_month():
+    return Window.partitionBy("series_id").orderBy("month")
 
 
 def known_at(panel: DataFrame, meta: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def info_set(live: DataFrame, month: str) -> DataFrame:
 def level(live: DataFrame, meta: DataFrame) -> DataFrame:
     """Rates as they are, yoy kinds as change on the year in %, prices as 100 times their log."""
     rows = live.join(F.broadcast(meta.select(F.col("id").alias("series_id"), "kind")), "series_id", "left")
-    yoy = 100 * (F.col("value") / F.nullif(F.lag("value", 12).over(BY_MONTH), F.lit(0.0)) - 1)
+    yoy = 100 * (F.col("value") / F.nullif(F.lag("value", 12).over(by_month()), F.lit(0.0)) - 1)
     price = 100 * F.ln(F.when(F.col("value") > 0, F.col("value")))
     kind = F.coalesce("kind", F.lit("rate"))
     return rows.withColumn("value", F.when(kind == "yoy", yoy).when(kind == "price", price).otherwise(F.col("value"))).drop("kind")
@@ -72,14 +75,14 @@ def x_features(levels: DataFrame, target: DataFrame, states: DataFrame | None =
     """Features of other variables by (series_id, month): changes, scaled changes, level, spread to the target (month, value) and trend state (series_id, month, label)."""
     x = F.col("value")
     rows = levels.join(target.select("month", F.col("value").alias("y")), "month", "left")
-    change = lambda c, k: F.col(c) - F.lag(c, k).over(BY_MONTH)
-    cols = [(f"d{k}", change("value", k)) for k in LAGS] + [("dx", change("value", 1)), ("sd", W.rolling(F.stddev_samp, "dx", 36, 12, BY_MONTH))]
+    change = lambda c, k: F.col(c) - F.lag(c, k).over(by_month())
+    cols = [(f"d{k}", change("value", k)) for k in LAGS] + [("dx", change("value", 1)), ("sd", W.rolling(F.stddev_samp, "dx", 36, 12, by_month()))]
     cols += [(f"z{k}", F.col(f"d{k}") / F.nullif(F.col("sd") * F.sqrt(F.lit(float(k))), F.lit(0.0))) for k in (3, 12)]
     cols += [("lvl", F.when(F.col("series_id").isin(*level_vars), x)), ("spr", F.when(F.col("series_id").isin(*spread_vars), F.col("y") - x)), ("spr_d12", change("spr", 12))]
     rows = W.with_columns(rows, cols).drop("dx", "sd", "y")
     if states is None:
         return rows
-    known = states.where("label is not null").withColumn("t", F.row_number().over(BY_MONTH))
+    known = states.where("label is not null").withColumn("t", F.row_number().over(by_month()))
     state = W.age(known).select("series_id", "month", (F.col("label") == 1).cast("double").alias("up"), (F.col("label") == -1).cast("double").alias("down"), "age")
     return rows.join(state, ["series_id", "month"], "left")
 
@@ -109,7 +112,7 @@ def causal_sigma(series: DataFrame) -> DataFrame:
 def trend_state(levels: DataFrame, setting: K.Setting | None = None, warmup: int = 12) -> DataFrame:
     """(series_id, month, label): the real-time state of D on the months that have a value, null in the first `warmup`, and everywhere if there are too few."""
     s = setting or K.Setting(**{k: v for k, v in R.X_TREND.items() if k != "setting_id"})
-    rows = causal_sigma(levels.where("value is not null").withColumn("t", (F.row_number().over(BY_MONTH) - 1).cast("int")))
+    rows = causal_sigma(levels.where("value is not null").withColumn("t", (F.row_number().over(by_month()) - 1).cast("int")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -129,7 +132,7 @@ def trend_state(levels: DataFrame, setting: K.Setting | None = None, warmup: int
 def macro_momentum(levels: DataFrame, parts: dict[str, int], least: int = 60, enough: int = 3) -> DataFrame:
     """(month, value): mean of the expanding z scores of 12-month changes of the series in `parts` (series -> sign), where `enough` of them are there."""
     sign = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), F.lit(float(v)))])
-    rows = levels.where(F.col("series_id").isin(*parts)).withColumn("d", sign[F.col("series_id")] * (F.col("value") - F.lag("value", 12).over(BY_MONTH)))
-    mean, sd = W.expanding(F.avg, "d", least, BY_MONTH), W.expanding(F.stddev_samp, "d", least, BY_MONTH)
+    rows = levels.where(F.col("series_id").isin(*parts)).withColumn("d", sign[F.col("series_id")] * (F.col("value") - F.lag("value", 12).over(by_month())))
+    mean, sd = W.expanding(F.avg, "d", least, by_month()), W.expanding(F.stddev_samp, "d", least, by_month())
     rows = rows.withColumn("m", mean).withColumn("s", sd).withColumn("score", (F.col("d") - F.col("m")) / F.nullif("s", F.lit(0.0)))
     return rows.groupBy("month").agg(F.when(F.count("score") >= enough, F.avg("score")).alias("value"))

@@ -34,7 +34,7 @@ def c_one(spark: SparkSession, sf: str) -> DataFrame:
 def forecasts(spark: SparkSession, sf: str) -> DataFrame:
     """Soft forecasts made of the walk: (series_id, t, p_down, p_side, p_up, truth, value); truth is c_one's label."""
     rows = c_one(spark, sf)
-    up = F.round(1 / (1 + F.exp(-(F.col("value") - F.lag("value", 3).over(L.W.BY)))), 4)
+    up = F.round(1 / (1 + F.exp(-(F.col("value") - F.lag("value", 3).over(L.W.by_t())))), 4)
     rows = rows.withColumn("u", F.coalesce(up, F.lit(0.5))).withColumn("truth", F.col("label"))
     return rows.select("series_id", "t", F.round((1 - F.col("u")) * 0.7, 6).alias("p_down"), F.lit(0.3).alias("p_side"), F.round(F.col("u") * 0.7, 6).alias("p_up"), "truth", "value")
 

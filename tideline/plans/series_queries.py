@@ -107,7 +107,7 @@ query("j15_vintages", f"with {SQL_WALK}, e as (select unnest([40, 60, 80]) as v)
 query("g02_g06_moments", f"with {SQL_SIG} select series_id, round(stddev_samp(dy), 6) as sd, round(var_pop(dy), 6) as vp, round(median(value), 6) as med, round(quantile_cont(value, 0.05), 6) as p5, round(quantile_cont(value, 0.95), 6) as p95, round(avg(case when dy > 0 then 1.0 else 0 end), 6)::double as share_up from dys group by 1")(lambda s, d: L.with_sigma(walk(s, d)).groupBy("series_id").agg(rnd(F.stddev_samp("dy"), 6).alias("sd"), rnd(F.var_pop("dy"), 6).alias("vp"), rnd(F.median("value"), 6).alias("med"), rnd(F.percentile("value", 0.05), 6).alias("p5"), rnd(F.percentile("value", 0.95), 6).alias("p95"), rnd(F.avg((F.coalesce("dy", F.lit(0.0)) > 0).cast("double")), 6).alias("share_up")))
 query("g04_beta", f"with {SQL_SIG} select a.series_id as x, b.series_id as y, case when count(*) > 24 then round(covar_samp(a.dy, b.dy) / var_samp(a.dy), 6) else 0 end as beta from dys a join dys b on a.month = b.month where a.dy is not null and b.dy is not null group by 1, 2")(lambda s, d: (lambda v: v.select(F.col("series_id").alias("x"), "month", F.col("dy").alias("a")).join(v.select(F.col("series_id").alias("y"), "month", F.col("dy").alias("b")), "month").groupBy("x", "y").agg(F.when(F.count("*") > 24, rnd(F.covar_samp("a", "b") / F.var_samp("a"), 6)).otherwise(0.0).alias("beta")))(L.with_sigma(walk(s, d)).where("dy is not null")))
 query("g08_best_month", f"with {SQL_WALK} select series_id, arg_max(month, value) as month, max(value) as value from walk group by 1")(lambda s, d: walk(s, d).groupBy("series_id").agg(F.max_by("month", "value").alias("month"), F.max("value").alias("value")))
-query("g13_transitions", f"with {SQL_C1} select series_id, prev, label, count(*) + case when prev = label then 21 else 1 end as n from (select series_id, label, lag(label) over (partition by series_id order by t) as prev from c1) where prev is not null group by 1, 2, 3")(lambda s, d: c_one(s, d).withColumn("prev", F.lag("label").over(W.BY)).where("prev is not null").groupBy("series_id", "prev", "label").agg((F.count("*") + F.when(F.first("prev") == F.first("label"), 21).otherwise(1)).alias("n")))
+query("g13_transitions", f"with {SQL_C1} select series_id, prev, label, count(*) + case when prev = label then 21 else 1 end as n from (select series_id, label, lag(label) over (partition by series_id order by t) as prev from c1) where prev is not null group by 1, 2, 3")(lambda s, d: c_one(s, d).withColumn("prev", F.lag("label").over(W.by_t())).where("prev is not null").groupBy("series_id", "prev", "label").agg((F.count("*") + F.when(F.first("prev") == F.first("label"), 21).otherwise(1)).alias("n")))
 
 # ---- windows
 query("w01_w02_lags", f"with {SQL_WALK} select series_id, t, lag(value, 1) over w as l1, lag(value, 6) over w as l6, round(value - lag(value, 3) over w, 6) as d3 from walk window w as (partition by series_id order by t)")(lambda s, d: walk(s, d).select("series_id", "t", W.lag("value").alias("l1"), W.lag("value", 6).alias("l6"), rnd(W.diff("value", 3), 6).alias("d3")))
@@ -122,7 +122,7 @@ query("w10_runs", f"with {SQL_C1} select series_id, run_no, label, min(t) as fir
 query("w11_age", f"with {SQL_C1} select series_id, t, label, round(ln(row_number() over (partition by series_id, run_no order by t)), 6) as age from crun")(lambda s, d: W.age(c_one(s, d)).select("series_id", "t", "label", rnd("age", 6).alias("age")))
 query("w13_flips", f"with {SQL_C1} select series_id, sum(new) - 1 as flips from crun0 group by 1")(lambda s, d: W.run_ids(c_one(s, d)).groupBy("series_id").agg(F.max("run_no").cast("long").alias("flips")))
 query("w14_average_rank", f"with {SQL_WALK}, x as (select series_id, t, round(value) + 0::double as v from walk) select series_id, t, v, rank() over (partition by series_id order by v) + (count(*) over (partition by series_id, v) - 1) / 2.0::double as r from x")(lambda s, d: walk(s, d).withColumn("v", rnd("value")).select("series_id", "t", "v", W.average_rank("v", ["series_id"]).alias("r")))
-query("w15_cumulative_sums", f"with {SQL_WALK} select series_id, t, sum(t) over w as sx, round(sum(value) over w + 1e-9::double, 5) as sy, round(sum(t * value) over w + 1e-9::double, 4) as sxy, round(sum(value * value) over w + 1e-9::double, 4) as syy from walk window w as (partition by series_id order by t)")(lambda s, d: (lambda w: walk(s, d).select("series_id", "t", F.sum("t").over(w).alias("sx"), rnd(F.sum("value").over(w) + 1e-9, 5).alias("sy"), rnd(F.sum(F.col("t") * F.col("value")).over(w) + 1e-9, 4).alias("sxy"), rnd(F.sum(F.col("value") * F.col("value")).over(w) + 1e-9, 4).alias("syy")))(W.BY.rowsBetween(Window.unboundedPreceding, 0)))
+query("w15_cumulative_sums", f"with {SQL_WALK} select series_id, t, sum(t) over w as sx, round(sum(value) over w + 1e-9::double, 5) as sy, round(sum(t * value) over w + 1e-9::double, 4) as sxy, round(sum(value * value) over w + 1e-9::double, 4) as syy from walk window w as (partition by series_id order by t)")(lambda s, d: (lambda w: walk(s, d).select("series_id", "t", F.sum("t").over(w).alias("sx"), rnd(F.sum("value").over(w) + 1e-9, 5).alias("sy"), rnd(F.sum(F.col("t") * F.col("value")).over(w) + 1e-9, 4).alias("sxy"), rnd(F.sum(F.col("value") * F.col("value")).over(w) + 1e-9, 4).alias("syy")))(W.by_t().rowsBetween(Window.unboundedPreceding, 0)))
 query("w16_autocovariance", f"with {SQL_SIG}, x as (select series_id, t, dy - avg(dy) over (partition by series_id) as dc from dys where dy is not null), k as (select unnest(range(0, 12)) as k) select a.series_id, k::int as k, round(sum(a.dc * b.dc) / any_value(n.n), 6) as cov from x a cross join k join x b on b.series_id = a.series_id and b.t = a.t - k join (select series_id, count(*) as n from x group by 1) n on n.series_id = a.series_id group by 1, 2")(lambda s, d: (lambda x: x.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("tk", F.col("t") - F.col("k")).join(x.select("series_id", F.col("t").alias("tk"), F.col("dc").alias("dk")), ["series_id", "tk"]).groupBy("series_id", "k").agg(rnd(F.sum(F.col("dc") * F.col("dk")) / F.first("n"), 6).alias("cov")))(L.with_sigma(walk(s, d)).where("dy is not null").withColumn("dc", F.col("dy") - F.avg("dy").over(Window.partitionBy("series_id"))).withColumn("n", F.count("*").over(Window.partitionBy("series_id")))))
 query("w17_short_runs", f"with {SQL_WALK}, x as (select series_id, t, case when value > lag(value) over (partition by series_id order by t) then 1 else 0 end as label from walk), n as (select *, case when label is not distinct from lag(label) over (partition by series_id order by t) then 0 else 1 end as new from x), r as (select *, sum(new) over (partition by series_id order by t) as run from n), k as (select *, case when run = 1 or count(*) over (partition by series_id, run) >= 3 then label end as kept from r) select series_id, t, last_value(kept ignore nulls) over (partition by series_id order by t) as label from k")(lambda s, d: W.without_short_runs(walk(s, d).withColumn("label", F.coalesce((F.col("value") > W.lag("value")).cast("int"), F.lit(0))), 3).select("series_id", "t", "label"))
 
@@ -148,7 +148,7 @@ query("f08_macro_momentum", f"with {SQL_LEVEL}, g as (select series_id, month, c
 
 # ---- rule
 query("t02_required", f"with {SQL_SIG}, h as (select unnest([1, 6, 12, 24]) as m) select series_id, t, m::int as m, round(greatest(0.8::double, sig * sqrt(least(greatest(m, 1), 12)::double)), 6) as req from sigs cross join h")(lambda s, d: L.with_settings(walk(s, d), grid(s, SCALED)).withColumn("m", F.explode(F.array(*map(F.lit, (1, 6, 12, 24))))).select("series_id", "t", "m", rnd(R.required(F.lit(0), F.col("m"), F.col("sig")), 6).alias("req")))
-query("t04_t05_label_and_score", f"with {SQL_SIG}, x as (select a.series_id, b.t as a, a.t as b, a.value - b.value as mv, a.sig, greatest(0.8::double, a.sig * sqrt(least(a.t - b.t, 12)::double)) as need from sigs a join sigs b on a.series_id = b.series_id and b.t = a.t - 6) select series_id, a, b, case when b - a < 3 then 0 when mv >= need - 1e-12::double then 1 when mv <= 1e-12::double - need then -1 else 0 end as label, round(abs(mv) / (sig * sqrt((b - a)::double)), 6) as score from x")(lambda s, d: (lambda v: v.withColumn("a", F.col("t") - 6).withColumn("mv", F.col("value") - F.lag("value", 6).over(W.BY)).where("mv is not null").select("series_id", "a", F.col("t").alias("b"), R.rule_label(F.col("mv"), F.col("a"), F.col("t"), F.col("sig")).alias("label"), rnd(R.zscore(F.col("mv"), F.col("a"), F.col("t"), F.col("sig")), 6).alias("score")))(L.with_settings(walk(s, d), grid(s, SCALED))))
+query("t04_t05_label_and_score", f"with {SQL_SIG}, x as (select a.series_id, b.t as a, a.t as b, a.value - b.value as mv, a.sig, greatest(0.8::double, a.sig * sqrt(least(a.t - b.t, 12)::double)) as need from sigs a join sigs b on a.series_id = b.series_id and b.t = a.t - 6) select series_id, a, b, case when b - a < 3 then 0 when mv >= need - 1e-12::double then 1 when mv <= 1e-12::double - need then -1 else 0 end as label, round(abs(mv) / (sig * sqrt((b - a)::double)), 6) as score from x")(lambda s, d: (lambda v: v.withColumn("a", F.col("t") - 6).withColumn("mv", F.col("value") - F.lag("value", 6).over(W.by_t())).where("mv is not null").select("series_id", "a", F.col("t").alias("b"), R.rule_label(F.col("mv"), F.col("a"), F.col("t"), F.col("sig")).alias("label"), rnd(R.zscore(F.col("mv"), F.col("a"), F.col("t"), F.col("sig")), 6).alias("score")))(L.with_settings(walk(s, d), grid(s, SCALED))))
 query("t08_required_table", f"with {SQL_SIG}, l as (select series_id, arg_max(sig, t) as sig from sigs group by 1), h as (select unnest([1, 3, 6, 12, 24]) as months) select series_id, months::int as months, round(100 * greatest(0.8::double, sig * sqrt(least(months, 12)::double)))::bigint as req_bp from l cross join h")(lambda s, d: R.required_table(L.with_settings(walk(s, d), grid(s, SCALED)).withColumn("last", F.max("t").over(Window.partitionBy("series_id"))).where("t = last")).select("series_id", "months", "req_bp"))
 query("o03_latest_rows", f"with {SQL_WALK} select series_id, t, value from (select *, row_number() over (partition by series_id order by t desc) as n from walk) where n <= 8")(lambda s, d: walk(s, d).withColumn("n", F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("t").desc()))).where("n <= 8").select("series_id", "t", "value"))
 query("s16_json_rows")(lambda s, d: S.as_json(walk(s, d)))
