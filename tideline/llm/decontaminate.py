@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import table, utf8
+from tideline.llm.shared import small_batches, table, utf8
 from tideline.llm.tokens import joined, words
 
 SHARD = 6 << 20
@@ -226,6 +226,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
 
         return run
 
+    small_batches(docs.sparkSession)
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     any_block = False
     for block in _blocks(items, item_id, item_text, block_bytes):

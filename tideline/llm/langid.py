@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import table
+from tideline.llm.shared import small_batches, table
 
 #: Families of ISO 639-1 codes. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -173,6 +173,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     Only the text is looked at. A text that is null or has no letter is `und` with score 0, and so is every text if there is no model.
     Columns that are named lang_pred or score already are replaced. Repeated rows stay; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     sent = docs.withColumn("_letters", cleaned(text_col)).withColumn("_some", letters)

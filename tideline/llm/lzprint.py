@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import table, utf8, width
+from tideline.llm.shared import small_batches, table, utf8, width
 from tideline.llm.tokens import PIECE, mix, span_hashes
 
 BINS = 128
@@ -151,6 +151,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if done:
             yield flush()
 
+    small_batches(docs.sparkSession)
     ring = _ring(docs, id_col, text_col)
     n = width(docs.sparkSession)
     return ring.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "t").mapInArrow(run, shape)

@@ -40,6 +40,11 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python workers in batches of `rows` from here on: at the default of 10,000, one batch of long texts takes hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def utf8(column) -> "F.Column":
     """UTF-8 bytes of a string column; null becomes empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")

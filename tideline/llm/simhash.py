@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.graph import components, local_components
-from tideline.llm.shared import cut, table, utf8
+from tideline.llm.shared import cut, small_batches, table, utf8
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
-BLOCK = 1 << 18
+BLOCK = 1 << 16
+WALK, LEAF = 1 << 15, 16  # node pairs that are walked at once; pairs of fingerprints below which a node pair is compared outright
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -44,6 +45,8 @@ def fingerprint(text: bytes, words: int) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(doc_id, fp) for every row. Null texts count as empty; rows and ids may repeat."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             fps = [fingerprint(t.as_py(), words) for t in b.column(1)]
@@ -64,7 +67,7 @@ def trie_pairs(a: np.ndarray, b: np.ndarray | None, upper: int, budget: int, low
     while stack:
         d, al, ah, bl, bh, e = stack.pop()
         na, nb = ah - al, bh - bl
-        leaf = (na * nb <= 64) if d < 64 else np.ones(len(al), dtype=bool)
+        leaf = (na * nb <= LEAF) if d < 64 else np.ones(len(al), dtype=bool)
         if leaf.any():
             n = (na * nb)[leaf]
             which = np.repeat(np.arange(len(n)), n)
@@ -95,8 +98,8 @@ def trie_pairs(a: np.ndarray, b: np.ndarray | None, upper: int, budget: int, low
         out = [np.concatenate(x) for x in zip(*parts, cross)]
         keep = (out[4] <= most) & (out[1] > out[0]) & (out[3] > out[2])
         out = [x[keep] for x in out]
-        for k in range(0, len(out[0]), BLOCK):
-            stack.append((d + 1, *[x[k : k + BLOCK] for x in out]))
+        for k in range(0, len(out[0]), WALK):
+            stack.append((d + 1, *[x[k : k + WALK].copy() for x in out]))
 
 
 def _forest(a: np.ndarray, b: np.ndarray | None, upper: int, budget: int, lower_from: int):
