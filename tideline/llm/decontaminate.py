@@ -135,6 +135,8 @@ def _shard(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, dict, dict
     at = np.minimum(np.searchsorted(phrases.vocabulary, h), len(phrases.vocabulary) - 1)
     number = np.where(phrases.vocabulary[at] == h, at + 1, 0)
     known = number > 0
+    if not known.any():
+        return n_words, spans, names
     doc = np.repeat(np.arange(len(texts)), n_words)
     head = known & (np.concatenate([[True], ~known[:-1]]) | np.concatenate([[True], doc[1:] != doc[:-1]]))
     run = np.cumsum(head) - 1

@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     small_batches(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    sent = docs.withColumn("_letters", cleaned(text_col)).withColumn("_some", letters)
+    sent = docs.select("*", cleaned(text_col).alias("_letters"), letters.alias("_some"))
     known = docs.sparkSession.sparkContext.broadcast(model)  # languages x 65,536 weights
 
     def run(batches):

@@ -71,13 +71,14 @@ def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, expone
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
     """`docs` as a mixture: the same rows and columns, each partition a sorted stretch of the mixture and partitions in its order. Rows that repeat an id share out its places."""
-    places = cut(mixed_order(docs, weights, **options).select(F.col("doc_id").alias("_id"), "position"), "places")
-    left, right = docs.withColumn("_k", F.lit(1)), places.withColumn("_n", F.lit(1))
-    if not places.groupBy("_id").count().where("count > 1").isEmpty():
-        left = docs.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1))))
-        right = places.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("position")))
-    both = left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (F.col("_k") == F.col("_n")))
-    return both.drop("_k", "_n", "_id").repartitionByRange("position").sortWithinPartitions("position").drop("position")
+    places = cut(mixed_order(docs, weights, **options).select("doc_id", "position"), "places")
+    left = docs.select("doc_id", F.struct("*").alias("row"), F.lit(1).alias("n"))
+    right = places.select(F.col("doc_id").alias("id"), "position", F.lit(1).alias("m"))
+    if not places.groupBy("doc_id").count().where("count > 1").isEmpty():
+        left = left.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1))))
+        right = right.withColumn("m", F.row_number().over(Window.partitionBy("id").orderBy("position")))
+    both = left.join(right, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n") == F.col("m"))).select("row", "position")
+    return both.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
 def op8_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,16 +39,14 @@ def assigned(docs: DataFrame, shards: int = 24, seed: int = 20, id_col: str = "d
 def sharded(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
     """`docs` with shard and slot. Columns of these names are replaced. Rows that repeat an id and a text share out their places."""
     docs = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
-    text = F.coalesce(F.col("text"), F.lit(""))
-    same = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(text.cast("binary")), F.octet_length(text).cast("long") + 8]
+    text, name, keys = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), ["id", "crc", "size", "n"]
     places = cut(assigned(docs, shards, seed), "places")
-    left = docs.withColumns({f"_{k}": c for k, c in enumerate(same)}).withColumn("_3", F.lit(1))
-    right = places.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_0"), F.col("text_crc32").alias("_1"), F.col("size").alias("_2"), "shard", "slot").withColumn("_3", F.lit(1))
-    if not right.groupBy("_0", "_1", "_2").count().where("count > 1").isEmpty():
-        keys = ["_0", "_1", "_2"]
-        left = left.withColumn("_3", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
-        right = right.withColumn("_3", F.row_number().over(Window.partitionBy(*keys).orderBy("shard", "slot")))
-    return left.join(right, ["_0", "_1", "_2", "_3"]).drop("_0", "_1", "_2", "_3")
+    left = docs.select(name.alias("id"), F.crc32(text.cast("binary")).alias("crc"), (F.octet_length(text).cast("long") + 8).alias("size"), F.lit(1).alias("n"), F.struct("*").alias("row"))
+    right = places.select(name.alias("id"), F.col("text_crc32").alias("crc"), "size", F.lit(1).alias("n"), "shard", "slot")
+    if not right.groupBy("id", "crc", "size").count().where("count > 1").isEmpty():
+        left = left.withColumn("n", F.row_number().over(Window.partitionBy("id", "crc", "size").orderBy(F.lit(1))))
+        right = right.withColumn("n", F.row_number().over(Window.partitionBy("id", "crc", "size").orderBy("shard", "slot")))
+    return left.join(right, keys).select("row.*", "shard", "slot")
 
 
 def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
