@@ -102,6 +102,23 @@ def test_trie_join_finds_all_links(spark, budget):
     assert (want == got).all()
 
 
+def test_near_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = np.array([f"w{k}" for k in range(500)])
+    rows, near = [], set()
+    for k in range(60):
+        w = rng.choice(vocabulary, 300)
+        rows.append((k, " ".join(w)))
+        if k % 3 == 0:
+            w[rng.choice(300, 3, replace=False)] = "changed"  # at most 15 of 296 shingles: a similarity of 0.9 or more
+            near.add(100 + k)
+            rows.append((100 + k, " ".join(w)))
+        if k % 3 == 1:
+            rows.append((200 + k, " ".join([*w[:150], *rng.choice(vocabulary, 150)])))  # half in common: 0.33
+    kept = {r[0] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert {i for i, _ in rows} - kept <= near and len(near - kept) >= 19
+
+
 def test_warc_round_trip(spark, sf):
     pages = dict(duckdb.sql(f"select page_id, html from '{sf}/pages.parquet'").fetchall())
     first = {}

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from tideline.llm.graph import components, local_components
 from tideline.llm.shared import cut, small_batches, table, utf8
+from tideline.llm.tokens import mix
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
 BLOCK = 1 << 16
+SLACK = 1.5  # standard deviations of the bits that differ, so that pairs of just the similarity asked for are seldom lost
 WALK, LEAF = 1 << 15, 16  # node pairs that are walked at once; pairs of fingerprints below which a node pair is compared outright
 
 
@@ -42,6 +44,25 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(2 * total > len(a), bitorder="little").view(np.int64)[0])
 
 
+def wide_fingerprint(text: bytes, words: int, segments: int) -> list[int]:
+    """`segments` SimHashes of one text, from independent hashes of the same shingles."""
+    w = text.translate(LOWER).split()
+    if not w:
+        return [0] * segments
+    joined = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(w) - words + 1)
+    a, b = starts[:n].tolist(), ends[min(words, len(w)) - 1 :].tolist()
+    total, digest = np.zeros((segments, 64), dtype=np.int64), xxhash.xxh64_intdigest
+    for k in range(0, n, BLOCK):
+        h = np.fromiter([digest(joined[x:y], SEED) for x, y in zip(a[k : k + BLOCK], b[k : k + BLOCK])], dtype=np.uint64)
+        for s in range(segments):
+            v = h if s == 0 else mix(h + np.uint64(s * 0x9E3779B97F4A7C15 % (1 << 64)))
+            total[s] += np.unpackbits(v.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > n, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(doc_id, fp) for every row. Null texts count as empty; rows and ids may repeat."""
 
@@ -214,17 +235,92 @@ def classes(docs: DataFrame, budget: int = 4, words: int = 4, id_col: str = "doc
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, budget: int = 4, words: int = 4) -> DataFrame:
-    """`docs` with one document of each near-duplicate group, that of the smallest doc_id; of rows with that same id, one. Rows of null id
-    stay only if their group has no other; one of them then stands for it."""
-    rows = cut(fingerprints(docs, "doc_id", "text", words), "simhash")
-    first = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(near_links(first.select("fp"), budget))
-    member = first.join(found.toDF("fp", "component"), "fp", "left").select("first", F.coalesce("component", "fp").alias("component"))
+def bits_for(similarity: float) -> float:
+    """Expected share of bits in which SimHashes differ, for shingle sets of equal size of this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _wide_task(segment: int, segments: int, swapped: bool, upper: int, budget: int, lower_from: int, most: int):
+    """As _task(), for one segment of wide fingerprints: its links count only if all segments together differ in at most `most` bits."""
+
+    def run(t):
+        k, side = t.column("k").to_numpy().view(np.uint64), t.column("side").to_numpy()
+        sig = np.stack([t.column(f"f{s}").to_numpy() for s in range(segments)], axis=1).view(np.uint64)
+        ids = t.column("id").to_numpy()
+        order = np.lexsort((k, side))
+        k, side, sig, ids = k[order], side[order], sig[order], ids[order]
+        near = lambda i, j: np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64) <= most
+        # rows of one key are linked to the first of them, which stands for all in the walk
+        head = np.concatenate([[True], (k[1:] != k[:-1]) | (side[1:] != side[:-1])])
+        first = np.flatnonzero(head)
+        rest = np.flatnonzero(~head)
+        leader = first[np.cumsum(head) - 1][rest]
+        ok = near(rest, leader)
+        label = local_components(len(k), rest[ok], leader[ok])
+        cut_at = int(np.searchsorted(side[first], 1))
+        a, b = first[:cut_at], first[cut_at:]
+        for i, j in trie_pairs(k[a], k[b] if len(b) else None, upper, budget, lower_from):
+            i, j = a[i], (b if len(b) else a)[j]
+            ok = near(i, j)
+            if ok.any():
+                label = local_components(len(k), *_joined(label, i[ok], j[ok]))
+        lost = np.flatnonzero(label != np.arange(len(k)))
+        return pa.table({"a": ids[lost], "b": ids[label[lost]]})
+
+    return run
+
+
+def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budget: int = 7, per_task: int = 200_000, nodes: int = 8) -> DataFrame:
+    """Links (a, b) between rows (id, f0, f1, ..) of wide fingerprints that make the same groups as all those of about `similarity` or more by the share of bits that differ.
+
+    Each segment has tries of its own: two rows are compared if any segment differs in at most `budget` bits, and then judged by all segments.
+    """
+    spark = wide.sparkSession
+    total = wide.count()
+    if total < 2:
+        return spark.createDataFrame([], "a long, b long")
+    size = max(64, min(per_task, -(-2 * total // nodes)), total // 4096)
+    depth = min(14, max(3, (total // size).bit_length()) + 4)
+    share, bits = bits_for(similarity), 64 * segments
+    most = int(share * bits + SLACK * (share * (1 - share) * bits) ** 0.5)
+    out, lower = None, budget // 2
+    for s in range(segments):
+        for swapped, upper, lower_from in ((False, lower, 0), (True, budget - lower - 1, lower + 1)):
+            f = F.col(f"f{s}")
+            key = F.shiftleft(f, 32).bitwiseOR(F.shiftrightunsigned(f, 32)) if swapped else f
+            keyed = wide.select("id", *[f"f{x}" for x in range(segments)], key.alias("k"), F.shiftrightunsigned(key, 64 - depth).alias("prefix"))
+            counts = {r[0]: r[1] for r in keyed.groupBy("prefix").count().collect()}  # at most 2 ** depth rows
+            routes = F.broadcast(spark.createDataFrame(_routes(counts, depth, size, upper)[0], "prefix long, part int, parts int, goes array<struct<task:int,side:int>>"))
+            dealt = keyed.join(routes, "prefix").where("pmod(xxhash64(id), parts) = part").select("id", *[f"f{x}" for x in range(segments)], "k", F.explode("goes").alias("g"))
+            links = dealt.select("id", *[f"f{x}" for x in range(segments)], "k", "g.task", "g.side").groupBy("task").applyInArrow(_wide_task(s, segments, swapped, upper, budget, lower_from, most), "a long, b long")
+            out = links if out is None else out.unionByName(links)
+    return out
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 6, budget: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one document of each near-duplicate group, that of the smallest id; of rows with that same id, one.
+
+    Documents are near duplicates if SimHashes of `segments` * 64 bits of their shingles of `words` words differ in no more bits than pairs of the Jaccard similarity asked for
+    mostly do: 1.5 standard deviations over the expected number. Around 0.8, 384 bits tell similarities apart to a standard deviation of about 0.03. Null and empty texts are one group. Rows of null id stay only if their group has no
+    other; one of them then stands for it. An empty table stays empty. All columns are kept.
+    """
+    small_batches(docs.sparkSession)
+    names = [f"f{s}" for s in range(segments)]
+
+    def run(batches):
+        for b in batches:
+            got = np.array([wide_fingerprint(t.as_py(), words, segments) for t in b.column(1)], dtype=np.int64).reshape(-1, segments)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(got[:, s]) for s in range(segments)]], ["doc_id", *names])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    rows = cut(rows.withColumn("id", F.xxhash64(*names)), "wide")
+    first = cut(rows.groupBy("id", *names).agg(F.min("doc_id").alias("first")), "distinct")
+    found = components(similar_links(first, segments, similarity, budget))
+    member = first.select("id", "first").join(found.toDF("id", "component"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
     kept = cut(member.groupBy("component").agg(F.min("first").alias("kept")).select("kept"), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
+    out = docs.join(kept, docs[id_col].eqNullSafe(kept["kept"]), "left_semi")
     repeated = rows.groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    return out if repeated.isEmpty() else out.dropDuplicates([id_col])
 
 
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
