@@ -11,6 +11,7 @@ from tideline.operators import labelers as L
 from tideline.operators import leadlag as LL
 from tideline.operators import metrics as M
 from tideline.plans.base import FIXED, LOW, SCALED, SQL_C1, SQL_FC, SQL_SIG, c_labels, c_one, forecasts, grid, rnd, sql_c, walk
+from tideline.plans.machine_sql import LIVE_A, LIVE_D
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -46,6 +47,8 @@ query("m04_method_c_causal")(lambda s, d: L.method_c_causal(walk(s, d), grid(s))
 for _m, _name in (("A", "m01_machine"), ("D", "m05_retracement"), ("B", "m03_piecewise"), ("E", "m07_kalman"), ("F", "m12_l1"), ("G", "m15_swings")):
     query(f"{_name}_segments")(lambda s, d, m=_m: L.machine_segments(walk(s, d), grid(s), (m,)))
     query(f"{_name}_labels")(lambda s, d, m=_m: L.machine_labels(walk(s, d), grid(s), (m, f"{m}_rt") if m in "ADEF" else (m,)))
+query("m01_live_a", LIVE_A)(lambda s, d: L.machine_labels(walk(s, d), grid(s, FIXED), ("A_rt",)))
+query("m05_live_d", LIVE_D)(lambda s, d: L.machine_labels(walk(s, d), grid(s, FIXED), ("D_rt",)))
 query("m02_pieces")(lambda s, d: L.pieces(walk(s, d), grid(s, FIXED)))
 query("m10_l1_levels")(lambda s, d: L.levels(walk(s, d), grid(s, FIXED), "l1"))
 query("m13_l1_live_levels")(lambda s, d: L.levels(walk(s, d), grid(s, FIXED), "l1_live"))

@@ -152,3 +152,17 @@ query("t04_t05_label_and_score", f"with {SQL_SIG}, x as (select a.series_id, b.t
 query("t08_required_table", f"with {SQL_SIG}, l as (select series_id, arg_max(sig, t) as sig from sigs group by 1), h as (select unnest([1, 3, 6, 12, 24]) as months) select series_id, months::int as months, round(100 * greatest(0.8::double, sig * sqrt(least(months, 12)::double)))::bigint as req_bp from l cross join h")(lambda s, d: R.required_table(L.with_settings(walk(s, d), grid(s, SCALED)).withColumn("last", F.max("t").over(Window.partitionBy("series_id"))).where("t = last")).select("series_id", "months", "req_bp"))
 query("o03_latest_rows", f"with {SQL_WALK} select series_id, t, value from (select *, row_number() over (partition by series_id order by t desc) as n from walk) where n <= 8")(lambda s, d: walk(s, d).withColumn("n", F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("t").desc()))).where("n <= 8").select("series_id", "t", "value"))
 query("s16_json_rows")(lambda s, d: S.as_json(walk(s, d)))
+
+# ---- more joins, aggregates, sets and orders
+query("s07_monthly_values", "select 'x' as series_id, date_trunc('month', d::date)::date as month, v::double as value from (values ('2020-01-15', '1.5'), ('2020-02-10', '2.5')) as t(d, v)")(lambda s, d: S.monthly_values(s.createDataFrame([("2020-01-15", "1.5"), ("2020-02-10", "2.5"), ("2020-03-10", "."), ("bad", "1")], "d string, v string"), "d", "v", "x"))
+query("j04_coalesce_join", f"with {SQL_FLAG} select coalesce(a.month, b.month) as month, coalesce(a.value, b.value / 1.95583::double) as value from (select * from flag where series_id = 'A' and month >= date '1999-01-01') a full join (select * from flag where series_id = 'R') b using (month)".replace("select coalesce(a.month, b.month) as month", "select month"))(lambda s, d: S.price_by_flag(s, d).where("series_id = 'A' and month >= date'1999-01-01'").select("month", F.col("value").alias("a")).join(S.price_by_flag(s, d).where("series_id = 'R'").select("month", F.col("value").alias("b")), "month", "full").select("month", F.coalesce("a", F.col("b") / 1.95583).alias("value")))
+query("j05_metadata_lookup", f"with {SQL_PRIO} select series_id, month, coalesce(pub_lag, 0) as pub_lag, coalesce(kind, 'rate') as kind from prio left join (select * from meta where id <> '5-LOW') on id = series_id")(lambda s, d: prio(s, d).join(F.broadcast(meta(s).where("id <> '5-LOW'")), F.col("series_id") == F.col("id"), "left").select("series_id", "month", F.coalesce("pub_lag", F.lit(0)).alias("pub_lag"), F.coalesce("kind", F.lit("rate")).alias("kind")))
+query("j13_paired_months", f"with {SQL_C1} select a.series_id, a.t, a.label as x, b.label as y from c1 a join c1 b on a.t = b.t and a.series_id = 'A' and b.series_id = 'R'")(lambda s, d: c_one(s, d).where("series_id = 'A'").select("series_id", "t", F.col("label").alias("x")).join(c_one(s, d).where("series_id = 'R'").select("t", F.col("label").alias("y")), "t"))
+query("j14_membership", f"with {SQL_WALK} select series_id, t, value from walk where series_id in (select series_id from walk group by 1 having max(value) > 3)")(lambda s, d: walk(s, d).select("series_id", "t", "value").join(walk(s, d).groupBy("series_id").agg(F.max("value").alias("m")).where("m > 3").select("series_id"), "series_id", "left_semi"))
+query("g01_mean_last_count", f"with {SQL_WALK} select series_id, year(month)::int as year, round(avg(value) + 1e-9::double, 6) as mean, arg_max(value, month) as last, count(*) as n from walk group by 1, 2")(lambda s, d: walk(s, d).groupBy("series_id", F.year("month").alias("year")).agg(rnd(F.avg("value") + 1e-9, 6).alias("mean"), F.max_by("value", "month").alias("last"), F.count("*").alias("n")))
+query("g07_g09_shares_and_distinct", f"with {SQL_C1} select series_id, count(distinct label) as classes, round(avg((label = 1)::int), 6) as up, count(*) filter (where label = -1) as n_down from c1 group by 1")(lambda s, d: c_one(s, d).groupBy("series_id").agg(F.countDistinct("label").alias("classes"), rnd(F.avg((F.col("label") == 1).cast("double")), 6).alias("up"), F.count_if(F.col("label") == -1).alias("n_down")))
+query("u01_union", f"with {SQL_FLAG}, {SQL_PRIO} select series_id, count(*) as n from (select * from flag union all select * from prio) group by 1")(lambda s, d: S.price_by_flag(s, d).unionByName(prio(s, d)).groupBy("series_id").agg(F.count("*").alias("n")))
+query("u02_set_difference", f"with {SQL_FLAG}, {SQL_PRIO} select month from prio except select month from flag where series_id = 'A' and month > date '1998-01-01'")(lambda s, d: prio(s, d).select("month").subtract(S.price_by_flag(s, d).where("series_id = 'A' and month > date'1998-01-01'").select("month")))
+query("u03_month_intersection", f"with {SQL_FLAG}, {SQL_PRIO} select month from prio intersect select month from flag where month > date '1999-01-01'")(lambda s, d: prio(s, d).select("month").intersect(S.price_by_flag(s, d).where("month > date'1999-01-01'").select("month")))
+query("o02_top_moves", f"with {SQL_SIG} select series_id, t, round(dy, 6) as dy from dys where dy is not null order by abs(dy) desc, series_id, t limit 3")(lambda s, d: L.with_sigma(walk(s, d)).where("dy is not null").orderBy(F.abs("dy").desc(), "series_id", "t").limit(3).select("series_id", "t", rnd("dy", 6).alias("dy")))
+query("o05_distinct_breakpoints", f"with {SQL_C1} select series_id, array_to_string(list_sort(list_distinct(list(start))), ',') as breaks from (select series_id, run_no, greatest(min(t) - 1, 0) as start from crun group by 1, 2) group by 1")(lambda s, d: W.runs(c_one(s, d)).groupBy("series_id").agg(F.array_join(F.array_sort(F.collect_set(F.greatest(F.col("first") - 1, F.lit(0)))), ",").alias("breaks")))

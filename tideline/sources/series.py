@@ -59,6 +59,12 @@ def monthly(raw: DataFrame, ts: str, value, keys: list[Column], how: str = "mean
     return months.withColumn("last", last).join(gap, "series_id", "left").where(~((F.col("month") == F.col("last")) & (F.col("n") < 15) & F.coalesce(F.col("gap") < 5, F.lit(False)))).select("series_id", "month", "value")
 
 
+def monthly_values(raw: DataFrame, date_col: str, value_col: str, series_id: str) -> DataFrame:
+    """A series that is monthly already: dates to the first of their month, values that aren't numbers dropped; nothing is merged."""
+    rows = raw.select(F.lit(series_id).alias("series_id"), month_of(F.expr(f"try_cast(`{date_col}` as date)")).alias("month"), F.expr(f"try_cast(`{value_col}` as double)").alias("value"))
+    return rows.dropna(subset=["month", "value"])
+
+
 def build_panel(parts: list[DataFrame], first: str = "1947-01-01", last: str | None = None) -> DataFrame:
     """Series aligned on months: in long form that is a union, bounded by a first and a last month."""
     out = parts[0].select("series_id", "month", "value")
