@@ -240,10 +240,11 @@ def bits_for(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _wide_task(segment: int, segments: int, swapped: bool, upper: int, budget: int, lower_from: int, most: int):
-    """As _task(), for one segment of wide fingerprints: its links count only if all segments together differ in at most `most` bits."""
+def _wide_task(segments: int, views: list[tuple[int, int]], budget: int, most: int):
+    """As _task(), for a view of one segment of wide fingerprints: its links count only if all segments together differ in at most `most` bits."""
 
     def run(t):
+        upper, lower_from = views[t.column("view")[0].as_py()]
         k, side = t.column("k").to_numpy().view(np.uint64), t.column("side").to_numpy()
         sig = np.stack([t.column(f"f{s}").to_numpy() for s in range(segments)], axis=1).view(np.uint64)
         ids = t.column("id").to_numpy()
@@ -283,18 +284,25 @@ def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budge
     depth = min(14, max(3, (total // size).bit_length()) + 4)
     share, bits = bits_for(similarity), 64 * segments
     most = int(share * bits + SLACK * (share * (1 - share) * bits) ** 0.5)
-    out, lower = None, budget // 2
-    for s in range(segments):
+    lower = budget // 2
+    views, keys, names = [], [], [f"f{x}" for x in range(segments)]
+    for f in map(F.col, names):
         for swapped, upper, lower_from in ((False, lower, 0), (True, budget - lower - 1, lower + 1)):
-            f = F.col(f"f{s}")
             key = F.shiftleft(f, 32).bitwiseOR(F.shiftrightunsigned(f, 32)) if swapped else f
-            keyed = wide.select("id", *[f"f{x}" for x in range(segments)], key.alias("k"), F.shiftrightunsigned(key, 64 - depth).alias("prefix"))
-            counts = {r[0]: r[1] for r in keyed.groupBy("prefix").count().collect()}  # at most 2 ** depth rows
-            routes = F.broadcast(spark.createDataFrame(_routes(counts, depth, size, upper)[0], "prefix long, part int, parts int, goes array<struct<task:int,side:int>>"))
-            dealt = keyed.join(routes, "prefix").where("pmod(xxhash64(id), parts) = part").select("id", *[f"f{x}" for x in range(segments)], "k", F.explode("goes").alias("g"))
-            links = dealt.select("id", *[f"f{x}" for x in range(segments)], "k", "g.task", "g.side").groupBy("task").applyInArrow(_wide_task(s, segments, swapped, upper, budget, lower_from, most), "a long, b long")
-            out = links if out is None else out.unionByName(links)
-    return out
+            keys.append(F.struct(F.lit(len(views)).alias("view"), key.alias("k")))
+            views.append((upper, lower_from))
+    keyed = wide.select("id", *names, F.explode(F.array(*keys)).alias("v")).select("id", *names, "v.view", "v.k", F.shiftrightunsigned("v.k", 64 - depth).alias("prefix"))
+    counts: dict[int, dict[int, int]] = {}
+    for view, prefix, n in keyed.groupBy("view", "prefix").count().collect():  # at most 2 ** depth rows a view
+        counts.setdefault(view, {})[prefix] = n
+    rows, tasks = [], 0
+    for view, (upper, _) in enumerate(views):
+        got, more = _routes(counts[view], depth, size, upper)
+        rows += [(view, p, part, parts, [(tasks + t, side) for t, side in goes]) for p, part, parts, goes in got]
+        tasks += more
+    routes = F.broadcast(spark.createDataFrame(rows, "view int, prefix long, part int, parts int, goes array<struct<task:int,side:int>>"))
+    dealt = keyed.join(routes, ["view", "prefix"]).where("pmod(xxhash64(id), parts) = part").select("view", "id", *names, "k", F.explode("goes").alias("g"))
+    return dealt.select("view", "id", *names, "k", "g.task", "g.side").groupBy("task").applyInArrow(_wide_task(segments, views, budget, most), "a long, b long")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 6, budget: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
