@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tideline import cli
 from tideline.functions import stats
 from tideline.operators import kernels as K
 from tideline.operators import labelers as L
@@ -115,3 +116,13 @@ def test_user_series_and_meta(spark):
     rows, meta = S.with_user_series(panel, user, spark.createDataFrame([("x", "rate"), ("u", "price")], "id string, kind string"), spark.createDataFrame([("u",)], "id string"))
     assert [r["value"] for r in rows.where("series_id = 'u'").orderBy("month").collect()] == [None, 5.0, None]
     assert {r["id"]: (r["group"], r["kind"]) for r in meta.collect()} == {"x": ("user", "rate"), "u": ("user", "rate")}
+
+
+def test_panel_files_and_command(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("date,a,b\n2020-01-01,1,\n2020-02-01,2,5\n")
+    (tmp_path / "m.csv").write_text("id,kind,pub_lag\na,rate,1\nb,,\n")
+    panel, meta = S.load_panel(spark, f"file://{tmp_path}/p.csv", f"file://{tmp_path}/m.csv")
+    assert panel.where("value is not null").count() == 3 and {r["id"]: r["pub_lag"] for r in meta.collect()} == {"a": 1, "b": 0}
+    S.zigzag(spark).select(F.col("month").alias("Date"), F.col("value").alias("Rate")).coalesce(1).write.option("header", True).csv(f"file://{tmp_path}/z")
+    cli.main(["label", f"file://{tmp_path}/z", "--out", f"file://{tmp_path}/out", "--fixed"])
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/out/labels").count() == 30

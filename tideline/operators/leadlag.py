@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import windows as W
+from tideline.operators import labelers as L
 from tideline.operators import metrics as M
+from tideline.sources.series import numbered
 
 #: Series that move against the target.
 INVERTED = ("unrate", "baa10y", "vix")
 
 
+def own_truth(levels: DataFrame, settings: DataFrame, least: int = 40) -> DataFrame:
+    """(series_id, t, month, label): ex-post labels of D of each variable on the months that it has, where these are more than `least`."""
+    rows = numbered(levels)
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("series_id"))).where(F.col("n") > least).drop("n")
+    labels = L.machine_labels(rows, settings, ("D",)).select("series_id", "t", "label")
+    return labels.join(rows.select("series_id", "t", "month"), ["series_id", "t"])
+
+
 def turns(labels: DataFrame) -> DataFrame:
     """(series_id, t, dir): first months of trends, a series' first run left out."""
     return W.runs(labels).where("label <> 0 and run_no > 0").select("series_id", F.col("first").alias("t"), F.col("label").alias("dir"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import stats
 from tideline.operators import metrics as M
+from tideline.operators import walkforward as G
 
 DELTAS = ["bal_acc", "bss", "brier", "auc_up", "auc_down", "delay_med", "delay_mean", "hit_rate", "capture", "false_alarms_10y", "precision", "flips_yr"]
 TRADED = ["pnl_bp_yr", "sharpe"]
@@ -82,3 +83,25 @@ def best_model(board: DataFrame, metric: str = "bss", h: int = 0) -> DataFrame:
 def significant(comparisons: DataFrame, level: float = 0.1, top: int = 3) -> DataFrame:
     """Gains in Brier skill with p below `level`, most certain first."""
     return comparisons.where((F.col("p_dm") < level) & (F.col("d_bss") > 0)).orderBy("p_dm").limit(top)
+
+
+def full(features: DataFrame, jobs: DataFrame, truth: DataFrame, own: tuple[str, ...], candidates: dict[str, tuple[str, ...]], setting, horizons: tuple[int, ...] = (0, 3), draws: int = 200) -> dict[str, DataFrame]:
+    """The whole study: a leaderboard of rule, own-series and all-variable models; every candidate block added alone to the own-series model; every block left out of the model with all.
+
+    Both models of a comparison learn from the first month in which the larger one's variables are all there, so that they differ in nothing but the variables.
+    """
+    every = tuple(v for block in candidates.values() for v in block)
+    detectors = [G.Climatology(), G.RuleDetector(), G.RuleDetector(False, "Rule A"), G.Supervised(own, name="Logit own"), G.SwitchingDetector(name="MS own"), G.Supervised((*own, *every), name="Logit all")]
+    matched = jobs.join(G.first_usable(features, [*own, *every]).fillna(0), "series_id")
+    board = G.run(features, matched, detectors, setting, horizons)
+    added, left_out = None, None
+    for name, block in candidates.items():
+        from_ = jobs.join(G.first_usable(features, [*own, *block]).fillna(0), "series_id")
+        pair = G.run(features, from_, [G.Supervised(own, name="base"), G.Supervised((*own, *block), name=f"+{name}")], setting, horizons)
+        one = compare(pair, truth, f"+{name}", "base", draws=draws)
+        added = one if added is None else added.unionByName(one)
+        rest = tuple(v for v in every if v not in block)
+        pair = board.where("detector = 'Logit all'").unionByName(G.run(features, matched, [G.Supervised((*own, *rest), name=f"-{name}")], setting, horizons))
+        one = compare(pair, truth, "Logit all", f"-{name}", draws=draws)
+        left_out = one if left_out is None else left_out.unionByName(one)
+    return {"forecasts": board, "leaderboard": leaderboard(board, truth, horizons), "add_one": added, "leave_one_out": left_out}

@@ -38,6 +38,13 @@ def to_wide(series: DataFrame, ids: list[str], value: str = "value") -> DataFram
     return series.groupBy("month").pivot("series_id", ids).agg(F.first(value))
 
 
+def load_panel(spark: SparkSession, panel_path: str, meta_path: str, date_col: str = "date") -> tuple[DataFrame, DataFrame]:
+    """A wide CSV panel as rows, and its metadata CSV with defaults filled in."""
+    wide = spark.read.option("header", True).csv(panel_path)
+    wide = wide.select(date_col, *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in wide.columns if c != date_col])
+    return from_wide(wide, date_col), with_meta_defaults(spark.read.option("header", True).csv(meta_path))
+
+
 def with_meta_defaults(meta: DataFrame) -> DataFrame:
     """Metadata (id, ...) with group, kind, unit, pub_lag and name filled in where they are missing or null."""
     for c, v in META_DEFAULTS.items():
