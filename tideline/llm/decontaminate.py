@@ -26,7 +26,6 @@ class FMIndex:
 
     def __init__(self, seq: np.ndarray, sigma: int, sample: int = SAMPLE):
         n = len(seq)
-        self.sa_sample = None
         sa = suffix_array(seq)
         before = np.where(sa > 0, seq[sa - 1], 0)
         counts = np.bincount(seq, minlength=sigma + 1)
@@ -250,3 +249,19 @@ def op6_decontamination_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_OP6 = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id::varchar as item, {_WORDS} as w from benchmark),
+n as (select item, w, least(10, len(w)) as n from b where len(w) > 0),
+win as (select distinct item, n, array_to_string(list_slice(w, k + 1, k + n), ' ') as g from (select *, unnest(range(len(w) - n + 1)) as k from n)),
+sizes as (select distinct n from win),
+grams as (select doc_id, n, k, array_to_string(list_slice(w, k + 1, k + n), ' ') as g from (select doc_id, w, n, unnest(range(len(w) - n + 1)) as k from d cross join sizes where len(w) >= n)),
+hits as (select g.doc_id, g.k, g.n, win.item from grams g join win using (n, g)),
+spots as (select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest(range(k, k + n)) as spot from hits) group by 1),
+items as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as names from hits where item is not null group by 1)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join spots using (doc_id) left join items using (doc_id)
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_collinear_passages": passages.op9_collinear_passages,
     "op10_stratified_shards": sharding.op10_stratified_shards,
 }
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.ORACLE_OP1, "op7_host_reputation": reputation.ORACLE_OP7, "op8_pfair_mixture": mixing.ORACLE_OP8, "op10_stratified_shards": sharding.ORACLE_OP10}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.ORACLE_OP1, "op5_warc_chain": warc.ORACLE_OP5, "op6_decontamination_fm": decontaminate.ORACLE_OP6, "op7_host_reputation": reputation.ORACLE_OP7, "op8_pfair_mixture": mixing.ORACLE_OP8, "op10_stratified_shards": sharding.ORACLE_OP10}

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_folders: dict[str, str | None] = {}  # by application, where no shared folder is set
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any file system it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,15 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = conf.get("tideline.test.dir", None)
-        if not root:
-            root = getattr(spark, "_tideline_dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="tideline-")
-            spark._tideline_dir = root
+        root = _own_folders.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="tideline-")
+        _own_folders[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/tideline"
 
 

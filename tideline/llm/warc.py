@@ -169,3 +169,13 @@ def op5_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+
+
+ORACLE_OP5 = f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages),
+f as (select *, min(page_id) over (partition by html) as first from p)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('{BASE32}', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from f
+"""
