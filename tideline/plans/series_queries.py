@@ -120,9 +120,9 @@ query("w08_bounded_fill", f"with {SQL_LIVE} select * from live")(live)
 query("w09_rolling_slope", f"with {SQL_WALK} select series_id, t, case when count(value) over w >= 12 then round(regr_slope(value, t) over w + 1e-9::double, 6) end as slope from walk window w as (partition by series_id order by t rows between 11 preceding and current row)")(lambda s, d: walk(s, d).select("series_id", "t", rnd(W.slope("value", "t", 12) + 1e-9, 6).alias("slope")))
 query("w10_runs", f"with {SQL_C1} select series_id, run_no, label, min(t) as first, max(t) as last from crun group by 1, 2, 3")(lambda s, d: W.runs(c_one(s, d)))
 query("w11_age", f"with {SQL_C1} select series_id, t, label, round(ln(row_number() over (partition by series_id, run_no order by t)), 6) as age from crun")(lambda s, d: W.age(c_one(s, d)).select("series_id", "t", "label", rnd("age", 6).alias("age")))
-query("w13_flips", f"with {SQL_C1} select series_id, sum(new) - 1 as flips from crun0 group by 1")(lambda s, d: W.run_ids(c_one(s, d)).groupBy("series_id").agg(F.max("run_no").cast("long").alias("flips")))
+query("w13_flips", f"with {SQL_C1} select series_id, (sum(new) - 1)::bigint as flips from crun0 group by 1")(lambda s, d: W.run_ids(c_one(s, d)).groupBy("series_id").agg(F.max("run_no").cast("long").alias("flips")))
 query("w14_average_rank", f"with {SQL_WALK}, x as (select series_id, t, round(value) + 0::double as v from walk) select series_id, t, v, rank() over (partition by series_id order by v) + (count(*) over (partition by series_id, v) - 1) / 2.0::double as r from x")(lambda s, d: walk(s, d).withColumn("v", rnd("value")).select("series_id", "t", "v", W.average_rank("v", ["series_id"]).alias("r")))
-query("w15_cumulative_sums", f"with {SQL_WALK} select series_id, t, sum(t) over w as sx, round(sum(value) over w + 1e-9::double, 5) as sy, round(sum(t * value) over w + 1e-9::double, 4) as sxy, round(sum(value * value) over w + 1e-9::double, 4) as syy from walk window w as (partition by series_id order by t)")(lambda s, d: (lambda w: walk(s, d).select("series_id", "t", F.sum("t").over(w).alias("sx"), rnd(F.sum("value").over(w) + 1e-9, 5).alias("sy"), rnd(F.sum(F.col("t") * F.col("value")).over(w) + 1e-9, 4).alias("sxy"), rnd(F.sum(F.col("value") * F.col("value")).over(w) + 1e-9, 4).alias("syy")))(W.by_t().rowsBetween(Window.unboundedPreceding, 0)))
+query("w15_cumulative_sums", f"with {SQL_WALK} select series_id, t, (sum(t) over w)::bigint as sx, round(sum(value) over w + 1e-9::double, 5) as sy, round(sum(t * value) over w + 1e-9::double, 4) as sxy, round(sum(value * value) over w + 1e-9::double, 4) as syy from walk window w as (partition by series_id order by t)")(lambda s, d: (lambda w: walk(s, d).select("series_id", "t", F.sum("t").over(w).alias("sx"), rnd(F.sum("value").over(w) + 1e-9, 5).alias("sy"), rnd(F.sum(F.col("t") * F.col("value")).over(w) + 1e-9, 4).alias("sxy"), rnd(F.sum(F.col("value") * F.col("value")).over(w) + 1e-9, 4).alias("syy")))(W.by_t().rowsBetween(Window.unboundedPreceding, 0)))
 query("w16_autocovariance", f"with {SQL_SIG}, x as (select series_id, t, dy - avg(dy) over (partition by series_id) as dc from dys where dy is not null), k as (select unnest(range(0, 12)) as k) select a.series_id, k::int as k, round(sum(a.dc * b.dc) / any_value(n.n), 6) as cov from x a cross join k join x b on b.series_id = a.series_id and b.t = a.t - k join (select series_id, count(*) as n from x group by 1) n on n.series_id = a.series_id group by 1, 2")(lambda s, d: (lambda x: x.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("tk", F.col("t") - F.col("k")).join(x.select("series_id", F.col("t").alias("tk"), F.col("dc").alias("dk")), ["series_id", "tk"]).groupBy("series_id", "k").agg(rnd(F.sum(F.col("dc") * F.col("dk")) / F.first("n"), 6).alias("cov")))(L.with_sigma(walk(s, d)).where("dy is not null").withColumn("dc", F.col("dy") - F.avg("dy").over(Window.partitionBy("series_id"))).withColumn("n", F.count("*").over(Window.partitionBy("series_id")))))
 query("w17_short_runs", f"with {SQL_WALK}, x as (select series_id, t, case when value > lag(value) over (partition by series_id order by t) then 1 else 0 end as label from walk), n as (select *, case when label is not distinct from lag(label) over (partition by series_id order by t) then 0 else 1 end as new from x), r as (select *, sum(new) over (partition by series_id order by t) as run from n), k as (select *, case when run = 1 or count(*) over (partition by series_id, run) >= 3 then label end as kept from r) select series_id, t, last_value(kept ignore nulls) over (partition by series_id order by t) as label from k")(lambda s, d: W.without_short_runs(walk(s, d).withColumn("label", F.coalesce((F.col("value") > W.lag("value")).cast("int"), F.lit(0))), 3).select("series_id", "t", "label"))
 
