@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import small_batches, table, utf8
+from tideline.llm.shared import cut, small_batches, table, utf8
 from tideline.llm.tokens import joined, words
 
 SHARD = 6 << 20
@@ -240,7 +240,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """`docs` without the documents that contain a test window. Rows keep all their columns."""
-    hit = contamination(docs, items, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit")).distinct()
+    # Written, so that its size is known: few ids are broadcast, many are joined by shuffling.
+    hit = cut(contamination(docs, items, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit")).distinct(), "hits")
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit"]), "left_anti")
 
 

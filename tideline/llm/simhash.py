@@ -325,10 +325,12 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
     first = cut(rows.groupBy("id", *names).agg(F.min("doc_id").alias("first")), "distinct")
     found = components(similar_links(first, segments, similarity, budget))
     member = first.select("id", "first").join(found.toDF("id", "component"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
-    kept = cut(member.groupBy("component").agg(F.min("first").alias("kept")).select("kept"), "kept")
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["kept"]), "left_semi")
-    repeated = rows.groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col])
+    kept = member.groupBy("component").agg(F.min("first").alias("kept")).select("kept")
+    ids = rows.groupBy("doc_id").count()
+    # Written, so that its size is known: few ids are broadcast, many are joined by shuffling.
+    gone = cut(ids.join(kept, ids["doc_id"].eqNullSafe(kept["kept"]), "left_anti").select(F.col("doc_id").alias("gone")), "gone")
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["gone"]), "left_anti")
+    return out if ids.where("count > 1").isEmpty() else out.dropDuplicates([id_col])
 
 
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
