@@ -23,6 +23,7 @@ def scored(forecasts: DataFrame, truth: DataFrame, h: int = 0) -> DataFrame:
 
 
 def leaderboard(forecasts: DataFrame, truth: DataFrame, horizons: tuple[int, ...] = (0, 3)) -> DataFrame:
+    forecasts, truth = forecasts.persist(), truth.persist()  # every metric reads them; the fits behind them run once
     out = None
     for h in horizons:
         s = scored(forecasts, truth, h).withColumn("h", F.lit(h))
@@ -32,7 +33,8 @@ def leaderboard(forecasts: DataFrame, truth: DataFrame, horizons: tuple[int, ...
 
 def compare(forecasts: DataFrame, truth: DataFrame, a: str, b: str, h: int = 0, draws: int = 500) -> DataFrame:
     """Detector a against b on the same months, by series: differences of metrics, Diebold-Mariano on Brier scores, block bootstrap of balanced accuracy, signed ranks of delays."""
-    at = forecasts.where((F.col("h") == h) & F.col("detector").isin(a, b))
+    truth = truth.persist()
+    at = forecasts.where((F.col("h") == h) & F.col("detector").isin(a, b)).persist()
     s = scored(at, truth, h)
     names = [c for c in DELTAS + TRADED if c in s.columns]
     left = s.where(F.col("detector") == a).select("series_id", *[F.col(c).alias(f"a_{c}") for c in names])

@@ -14,8 +14,19 @@ SCALED = {"setting_id": "scaled", "thr": 0.8, "scaled": True, "z": 1.0, "min_len
 LOW = {"setting_id": "fixed0.5", "thr": 0.5}
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(name: str, spark: SparkSession, sf: str, make) -> DataFrame:
+    """make(), persisted once a session and folder: small monthly tables that many queries start from."""
+    key = (spark.sparkContext.applicationId, name, sf)
+    if key not in _kept:
+        _kept[key] = make().persist()
+    return _kept[key]
+
+
 def walk(spark: SparkSession, sf: str) -> DataFrame:
-    return S.price_walk(spark, sf)
+    return kept("walk", spark, sf, lambda: S.price_walk(spark, sf))
 
 
 def grid(spark: SparkSession, *rows) -> DataFrame:

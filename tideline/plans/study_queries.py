@@ -11,7 +11,7 @@ from tideline.operators import labelers as L
 from tideline.operators import leadlag as LL
 from tideline.operators import study as S
 from tideline.operators import walkforward as G
-from tideline.plans.base import FIXED, SQL_C1, c_one, grid, walk
+from tideline.plans.base import FIXED, SQL_C1, c_one, grid, kept, walk
 from tideline.plans.series_queries import levels, live
 
 Q: dict = {}
@@ -32,6 +32,10 @@ def query(name: str, sql: str | None = None):
 
 def features(s, d) -> DataFrame:
     """The walk with its volatility, own features and a predictor as it was known."""
+    return kept("features", s, d, lambda: _features(s, d))
+
+
+def _features(s, d) -> DataFrame:
     base = L.with_sigma(walk(s, d))
     own = W.with_columns(base, [("d1", W.diff("value")), ("d3", W.diff("value", 3)), ("d12", W.diff("value", 12)), ("vol12", W.rolling(F.stddev_samp, "dy", 12))])
     x = live(s, d).where("series_id = '2-HIGH'").select("month", F.col("value").alias("x"))
@@ -43,13 +47,17 @@ def truth(s, d) -> DataFrame:
 
 
 def bounds(s, d) -> DataFrame:
+    return kept("bounds", s, d, lambda: _bounds(s, d))
+
+
+def _bounds(s, d) -> DataFrame:
     series = walk(s, d)
     segs = L.machine_segments(series, grid(s, FIXED), ("D",))
     return G.bounds(series, L.settled_end(segs, series.groupBy("series_id").agg(F.count("*").alias("n"))), "1998-01-01")
 
 
 def evaluated_truth(s, d) -> DataFrame:
-    return truth(s, d).join(bounds(s, d), "series_id").where("t <= e1").drop("e0", "e1")
+    return kept("truth", s, d, lambda: truth(s, d).join(bounds(s, d), "series_id").where("t <= e1").drop("e0", "e1"))
 
 
 def forecasts(s, d, detectors) -> DataFrame:
