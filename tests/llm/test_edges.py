@@ -166,3 +166,15 @@ def test_pipeline(spark, sf, odd, none):
     want = simhash.deduplicated(table).select("doc_id").join(dirty, "doc_id", "left_anti")
     assert sorted(r[0] for r in kept.collect()) == sorted(r[0] for r in want.collect())
     assert out.count() == kept.count()
+
+
+def test_filters_judge_rows_not_ids(spark, odd):
+    texts = [" ".join(f"{x}{k}" for k in range(40)) for x in "abcdef"]
+    dirty = "see lorem ipsum dolor sit amet lorem ipsum dolor sit amet lorem now"
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, None), (7, texts[2]), (7, texts[3]), (7, texts[0]), (8, texts[4]), (8, texts[4]), (9, dirty), (9, texts[5]), (None, dirty)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda rows: sorted(rows, key=str)
+    want = [(7, texts[0]), (None, texts[1]), (None, None), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, dirty), (9, texts[5])]
+    assert order(map(tuple, simhash.deduplicated(docs).collect())) == order(want)
+    clean = [r for r in rows if r[1] != dirty]
+    assert order(map(tuple, decontaminate.decontaminated(docs, items(spark)).collect())) == order(clean)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import cut, small_batches, table, utf8
+from tideline.llm.shared import cut, digests, small_batches, table, utf8
 from tideline.llm.tokens import joined, words
 
 SHARD = 6 << 20
@@ -204,6 +204,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     Null and empty texts have no words and no hits; an item without words has no window; equal windows of several items count
     for all of them; a null item id marks spans but isn't named. Repeated rows are all returned. An empty test set hits nothing. Other columns are ignored.
     """
+    return _marked(docs, items, window, id_col, text_col, item_id, item_text, block_bytes).drop("t")
+
+
+def _marked(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """contamination() with the text as column t."""
     shape = "doc_id long, t binary, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     sc = docs.sparkSession.sparkContext
@@ -235,14 +240,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
         any_block = True
     if not any_block:
         out = out.mapInArrow(against(sc.broadcast(Phrases([], window))), shape)
-    return out.drop("t")
+    return out
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """`docs` without the documents that contain a test window. Rows keep all their columns."""
-    # Written, so that its size is known: few ids are broadcast, many are joined by shuffling.
-    hit = cut(contamination(docs, items, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit")).distinct(), "hits")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit"]), "left_anti")
+    """`docs` without the rows that contain a test window, whatever other rows of the same or of null id hold. Rows keep all their columns."""
+    # Written, so that its size is known: few rows are broadcast, many are joined by shuffling.
+    t1, t2 = digests(F.col("t"))
+    hit = cut(_marked(docs, items, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit"), t1.alias("g1"), t2.alias("g2")).distinct(), "hits")
+    own = digests(utf8("text"))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit"]) & (own[0] == hit["g1"]) & (own[1] == hit["g2"]), "left_anti")
 
 
 def op6_decontamination_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def utf8(column) -> "F.Column":
     """UTF-8 bytes of a string column; null becomes empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
+
+
+def digests(column) -> "list[F.Column]":
+    """Two 64-bit hashes of the bytes of a column, which together with an id name a row by what it says rather than by its id alone."""
+    return [F.xxhash64(column), F.xxhash64(F.lit(1), column)]

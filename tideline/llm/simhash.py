@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.graph import components, local_components
-from tideline.llm.shared import cut, small_batches, table, utf8
+from tideline.llm.shared import cut, digests, small_batches, table, utf8
 from tideline.llm.tokens import mix
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -306,7 +306,7 @@ def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budge
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 6, budget: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each near-duplicate group, that of the smallest id; of rows with that same id, one.
+    """`docs` with one document of each near-duplicate group, that of the smallest id; of rows that repeat both id and text, one. Rows of one id or of null id but of different texts are judged apart.
 
     Documents are near duplicates if SimHashes of `segments` * 64 bits of their shingles of `words` words differ in no more bits than pairs of the Jaccard similarity asked for
     mostly do: 1.5 standard deviations over the expected number. Around 0.8, 384 bits tell similarities apart to a standard deviation of about 0.03. Null and empty texts are one group. Rows of null id stay only if their group has no
@@ -317,20 +317,25 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
 
     def run(batches):
         for b in batches:
-            got = np.array([wide_fingerprint(t.as_py(), words, segments) for t in b.column(1)], dtype=np.int64).reshape(-1, segments)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(got[:, s]) for s in range(segments)]], ["doc_id", *names])
+            got = np.array([wide_fingerprint(t.as_py(), words, segments) for t in b.column(3)], dtype=np.int64).reshape(-1, segments)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(got[:, s]) for s in range(segments)]], [*key, *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
-    rows = cut(rows.withColumn("id", F.xxhash64(*names)), "wide")
-    first = cut(rows.groupBy("id", *names).agg(F.min("doc_id").alias("first")), "distinct")
+    key, own = ["doc_id", "h1", "h2"], digests(utf8(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), own[0].alias("h1"), own[1].alias("h2"), utf8(text_col).alias("t"))
+    rows = cut(rows.mapInArrow(run, ", ".join(f"{n} long" for n in [*key, *names])).withColumn("id", F.xxhash64(*names)), "wide")
+    first = cut(rows.groupBy("id", *names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("first")), "distinct")
     found = components(similar_links(first, segments, similarity, budget))
     member = first.select("id", "first").join(found.toDF("id", "component"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
-    kept = member.groupBy("component").agg(F.min("first").alias("kept")).select("kept")
-    ids = rows.groupBy("doc_id").count()
-    # Written, so that its size is known: few ids are broadcast, many are joined by shuffling.
-    gone = cut(ids.join(kept, ids["doc_id"].eqNullSafe(kept["kept"]), "left_anti").select(F.col("doc_id").alias("gone")), "gone")
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["gone"]), "left_anti")
-    return out if ids.where("count > 1").isEmpty() else out.dropDuplicates([id_col])
+    kept = member.groupBy("component").agg(F.min("first").alias("kept")).select("kept.*").toDF("none", "kept", "k1", "k2")
+    each = rows.groupBy(*key).count()
+    # Written, so that its size is known: few rows are broadcast, many are joined by shuffling.
+    gone = each.join(kept, each["doc_id"].eqNullSafe(kept["kept"]) & (each["h1"] == kept["k1"]) & (each["h2"] == kept["k2"]), "left_anti")
+    gone = cut(gone.select(F.col("doc_id").alias("gone"), F.col("h1").alias("g1"), F.col("h2").alias("g2")), "gone")
+    out = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["gone"]) & (own[0] == gone["g1"]) & (own[1] == gone["g2"]), "left_anti")
+    if each.where("count > 1").isEmpty():
+        return out
+    marks = ["_digest_1", "_digest_2"]
+    return out.withColumns(dict(zip(marks, own))).dropDuplicates([id_col, *marks]).drop(*marks)
 
 
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
