@@ -178,3 +178,20 @@ def test_filters_judge_rows_not_ids(spark, odd):
     assert order(map(tuple, simhash.deduplicated(docs).collect())) == order(want)
     clean = [r for r in rows if r[1] != dirty]
     assert order(map(tuple, decontaminate.decontaminated(docs, items(spark)).collect())) == order(clean)
+
+
+def test_shards_follow_the_mixture(spark, sf):
+    rows = [(k, f"text {k}", "en", "big" if k < 4800 else "small", 1) for k in range(6000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    without = stages["shards"](spark, docs, sf).toPandas()
+    got = stages["shards"](spark, stages["mixture"](spark, docs, sf), sf)
+    assert got.columns == [*docs.columns, "shard", "slot"]
+    got = got.toPandas()
+    assert sorted(got["doc_id"]) == list(range(6000)) and (got.groupby("shard").size() == 250).all()
+    assert all(sorted(g["slot"]) == list(range(250)) for _, g in got.groupby("shard"))
+    # square roots of 4800 and 1200 are as 2 to 1: until the small source is used up, a third of any shard's slots
+    early = got[got["slot"] < 120].groupby("shard")["source"].apply(lambda s: (s == "small").mean())
+    assert early.between(0.28, 0.39).all()
+    natural = without[without["slot"] < 120].groupby("shard")["source"].apply(lambda s: (s == "small").mean())
+    assert natural.between(0.15, 0.25).all()

@@ -49,6 +49,15 @@ def sharded(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
     return left.join(right, keys).select("row.*", "shard", "slot")
 
 
+def dealt(docs: DataFrame, place: str, shards: int = 24) -> DataFrame:
+    """`docs` with shard and slot by the places 0, 1, .. of a given order in column `place`, which goes: dealt in turn, so that up to any slot each shard has the order's own mixture.
+
+    Each round starts at a shard drawn by a hash of its number, or shards would meet blocks of the order always at the same rows. Counts of shards are at most one apart, slots run from 0 within a shard. Columns named shard and slot are replaced."""
+    at = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
+    slot = F.expr(f"`{place}` div {shards}")
+    return at.withColumn("shard", F.pmod(F.col(place) % shards + F.pmod(F.xxhash64(slot), F.lit(shards)), F.lit(shards)).cast("int")).withColumn("slot", slot).drop(place)
+
+
 def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of all documents, stratified by source."""
     out = assigned(table(spark, sf_dir, "documents"))
