@@ -126,3 +126,14 @@ def test_panel_files_and_command(spark, tmp_path):
     S.zigzag(spark).select(F.col("month").alias("Date"), F.col("value").alias("Rate")).coalesce(1).write.option("header", True).csv(f"file://{tmp_path}/z")
     cli.main(["label", f"file://{tmp_path}/z", "--out", f"file://{tmp_path}/out", "--fixed"])
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/out/labels").count() == 30
+
+
+def test_replay_cuts_ranges_without_one_task_for_all(spark):
+    rows = spark.range(0, 40_000, 1, 4).select((F.col("id") % 50).cast("string").alias("k"), F.expr("timestamp'2000-01-01' + make_interval(0, 0, 0, cast(pmod(id * 7919, 1400) as int))").alias("ts"), F.col("id").cast("double").alias("v"))
+    stream = live.replay(rows, "ts")
+    path = stream._jdf.queryExecution().analyzed().toString().split("FileSource[")[1].split("]")[0]
+    assert len(spark.read.parquet(path).inputFiles()) == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = live.drain(live.monthly(stream, "ts", F.col("v"), F.col("k"))).toPandas()
+    want = rows.groupBy(F.col("k").alias("series_id"), F.to_date(F.date_trunc("month", "ts")).alias("month")).agg(F.avg("v").alias("value"), F.count("v").alias("n")).toPandas()
+    both = got.merge(want, on=["series_id", "month", "n"])
+    assert len(both) == len(got) == (want["month"] <= got["month"].max()).sum() and (abs(both["value_x"] - both["value_y"]) < 1e-6).all()

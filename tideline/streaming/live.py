@@ -108,15 +108,21 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def replay(table: DataFrame, order: str, parts: int = 4) -> DataFrame:
-    """A stream of a table's rows, in `parts` micro-batches of consecutive ranges of `order`."""
-    spark, path = table.sparkSession, folder(table.sparkSession)
-    ranks = table.withColumn("_p", F.ntile(parts).over(_by(order)))
-    for k in range(1, parts + 1):
-        ranks.where(F.col("_p") == k).drop("_p").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
+    """A stream of a table's rows, in `parts` micro-batches or fewer of consecutive ranges of `order`, a date or timestamp; rows of equal or null `order` share a batch.
 
-def _by(order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy(order)
+    Ranges end at approximate quantiles. All have the same number of files, so that a trigger takes just one range; no task needs more than a part of one."""
+    spark, path = table.sparkSession, folder(table.sparkSession)
+    at = F.col(order).cast("timestamp").cast("double")
+    ends = sorted(set(table.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.01)))
+    part = F.coalesce(sum(((at > F.lit(e)).cast("int") for e in ends), F.lit(0)), F.lit(0))
+    kept = table.withColumn("_p", part)
+    counts = sorted((r[0], r[1]) for r in kept.groupBy("_p").count().collect())
+    # Rows are dealt in turn: of a source partition with `files` rows or more each file has some. An empty file would not be written.
+    sources = max(1, table.rdd.getNumPartitions())
+    files = max(1, min([int(spark.conf.get("spark.sql.shuffle.partitions")), *(n // sources for _, n in counts)]))
+    for k, _ in counts:
+        rows = kept.where(F.col("_p") == k).drop("_p")
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(path)
+    if not counts:
+        table.limit(0).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
