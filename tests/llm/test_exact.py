@@ -236,3 +236,25 @@ def test_lz_long_texts_by_pieces(monkeypatch):
     monkeypatch.setattr(lzprint, "PIECE", 300)
     assert (lzprint.signatures([text], [ends]) == whole).all()
     assert (lzprint.signatures([text, b"", text], [ends, [], ends])[[0, 2]] == whole).all()
+
+
+def test_chains_are_cut_where_texts_differ(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n, tag: [f"{tag}{k}" for k in rng.permutation(n)]
+    one, two = word(100, "p"), word(100, "q")
+    texts = [word(30, "r") + one + word(80, "s") + two + word(30, "t"), word(30, "u") + one + word(80, "v") + two + word(30, "x")]
+    rows = passages.repeated(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted((r["first"], r["last"], r["equal"]) for r in rows) == [(30, 130, 100), (210, 310, 100)]
+
+
+def test_common_subsequences_of_any_length():
+    rng = np.random.default_rng(12)
+    for n, m, size in ((40, 60, 5), (300, 300, 50), (500, 20, 9)):
+        a, b = rng.integers(0, size, n), rng.integers(0, size, m)
+        last = np.zeros(m + 1, dtype=int)
+        for v in a:
+            row = np.zeros(m + 1, dtype=int)
+            for q in range(m):
+                row[q + 1] = last[q] + 1 if v == b[q] else max(last[q + 1], row[q])
+            last = row
+        assert passages._common(a, b) == last[m]
