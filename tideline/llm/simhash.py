@@ -328,10 +328,15 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
     member = first.select("id", "first").join(found.toDF("id", "component"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
     kept = member.groupBy("component").agg(F.min("first").alias("kept")).select("kept.*").toDF("none", "kept", "k1", "k2")
     each = rows.groupBy(*key).count()
-    # Written, so that its size is known: few rows are broadcast, many are joined by shuffling.
     gone = each.join(kept, each["doc_id"].eqNullSafe(kept["kept"]) & (each["h1"] == kept["k1"]) & (each["h2"] == kept["k2"]), "left_anti")
     gone = cut(gone.select(F.col("doc_id").alias("gone"), F.col("h1").alias("g1"), F.col("h2").alias("g2")), "gone")
-    out = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["gone"]) & (own[0] == gone["g1"]) & (own[1] == gone["g2"]), "left_anti")
+    some = kept.select(F.col("kept").alias("some")).distinct()
+    # Ids of which no row stays go by the id alone, which is short; digests are needed only where other rows of the id stay.
+    # Both are written, so that their sizes are known: few rows are broadcast, many are joined by shuffling.
+    whole = cut(gone.join(some, gone["gone"].eqNullSafe(some["some"]), "left_anti").select(F.col("gone").alias("whole")).distinct(), "whole")
+    part = cut(gone.join(some, gone["gone"].eqNullSafe(some["some"]), "left_semi"), "part")
+    out = docs.join(whole, docs[id_col].cast("long").eqNullSafe(whole["whole"]), "left_anti")
+    out = out.join(part, out[id_col].cast("long").eqNullSafe(part["gone"]) & (own[0] == part["g1"]) & (own[1] == part["g2"]), "left_anti")
     if each.where("count > 1").isEmpty():
         return out
     marks = ["_digest_1", "_digest_2"]
