@@ -189,22 +189,73 @@ def test_mixture_is_never_a_block_off(spark, sf):
 
 
 def test_passages(spark, sf, docs):
+    """Every word of an exact stretch of 50 words that two texts share lies in a passage, and passages are what they say."""
     rows = registry.QUERIES["op9_collinear_passages"](spark, sf).collect()
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    w = {i: word.findall(LOW(t)) for i, t in docs.items()}
-    seen, need = {}, set()
-    for i in sorted(w):
-        for k in range(len(w[i]) - 54):
-            g = tuple(w[i][k : k + 55])
-            if len(set(g)) > 8 and seen.setdefault(g, i) != i:
-                need |= {i, seen[g]}
-    got = {r["doc_id"] for r in rows} | {r["other_id"] for r in rows}
-    assert need <= got
+    first = {}
+    for i in sorted(docs):
+        first.setdefault(docs[i], i)
+    w = {i: word.findall(LOW(docs[i])) for i in first.values()}
+    holders, have = collections.defaultdict(set), collections.defaultdict(set)
+    for i in w:
+        for k in range(len(w[i]) - 49):
+            holders[tuple(w[i][k : k + 50])].add(i)
+    copies = {i: first[docs[i]] for i in docs if i != first[docs[i]]}
     for r in rows:
+        if r["doc_id"] in copies:
+            n = len(w[copies[r["doc_id"]]])
+            assert (r["first"], r["last"], r["other_id"], r["equal"]) == (0, n, copies[r["doc_id"]], n)
+            continue
         a, b = w[r["doc_id"]][r["first"] : r["last"]], w[r["other_id"]][r["other_first"] : r["other_last"]]
         assert min(len(a), len(b)) >= 50 and r["equal"] >= 0.8 * max(len(a), len(b))
-        common = sum((collections.Counter(a) & collections.Counter(b)).values())
-        assert r["equal"] <= common
+        assert r["equal"] <= sum((collections.Counter(a) & collections.Counter(b)).values())
+        have[r["doc_id"]] |= set(range(r["first"], r["last"]))
+        have[r["other_id"]] |= set(range(r["other_first"], r["other_last"]))
+    assert {r["doc_id"] for r in rows} >= {i for i, k in copies.items() if len(w[k]) >= 50}
+    for i in w:
+        for k in range(len(w[i]) - 49):
+            if len(holders[tuple(w[i][k : k + 50])]) > 1:
+                assert set(range(k, k + 50)) <= have[i]
+
+
+def _passage_pairs(spark, texts):
+    rows = passages.repeated(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    return {(r["doc_id"], r["other_id"]): r for r in rows}
+
+
+def test_passages_whose_parts_occur_elsewhere(spark):
+    rng = np.random.default_rng(21)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 50_000, n)]
+    whole = draw(240)
+    texts = [draw(60) + whole[k : k + 35] + draw(60) for k in range(0, 240, 35)] + [draw(80) + whole + draw(50), draw(30) + whole + draw(90)]
+    two = draw(40), draw(40)  # with the words around it none of these is a passage
+    texts += [draw(50) + two[0] + draw(50), draw(50) + two[1] + draw(50), draw(70) + two[0] + two[1], two[0] + two[1] + draw(70)]
+    got = _passage_pairs(spark, texts)
+    assert set(got) == {(8, 7), (12, 11)}
+    assert (got[8, 7]["first"], got[8, 7]["last"], got[8, 7]["equal"]) == (30, 270, 240) and got[12, 11]["equal"] == 80
+
+
+@pytest.mark.parametrize("n", [50, 60, 120])
+def test_recall_of_fuzzy_passages(spark, n):
+    rng = np.random.default_rng(n)
+    draw = lambda m: [f"w{k}" for k in rng.integers(0, 50_000, m)]
+    texts, cases = [], collections.defaultdict(set)
+    for share in (0.8, 0.85, 0.9, 0.95, "every 5th", "every 8th", "in and out"):
+        for _ in range(50):
+            p = draw(n)
+            q = list(p)
+            if share == "in and out":
+                for k in sorted(rng.choice(n, n // 10, replace=False).tolist(), reverse=True):
+                    q[k : k + 1] = [] if k % 2 else ["new", q[k]]
+            else:
+                at = rng.choice(n, round(n * (1 - share)), replace=False) if isinstance(share, float) else range(int(rng.integers(5)), n, int(share[6]))
+                for k in at:
+                    q[k] = f"x{rng.integers(1 << 40)}"
+            cases[share].add((len(texts) + 1, len(texts)))
+            texts += [draw(80) + p + draw(80), draw(80) + q + draw(80)]
+    got = _passage_pairs(spark, texts)
+    assert set(got) <= set().union(*cases.values())
+    assert all(len(c & set(got)) >= 0.9 * len(c) for c in cases.values()), {s: len(c & set(got)) for s, c in cases.items()}
 
 
 def test_chains_are_best(spark):
@@ -214,7 +265,7 @@ def test_chains_are_best(spark):
         x, y = [p[0] for p in pts], [p[1] for p in pts]
 
         def score(c):
-            return passages.K * len(c) - passages.GAP * ((x[c[-1]] - x[c[0]]) + (y[c[-1]] - y[c[0]]))
+            return passages.SPAN * len(c) - passages.GAP * ((x[c[-1]] - x[c[0]]) + (y[c[-1]] - y[c[0]]))
 
         best = max(score([k for k in range(len(pts)) if m >> k & 1]) for m in range(1, 1 << len(pts)) if all(x[a] < x[b] and y[a] < y[b] for a, b in zip([k for k in range(len(pts)) if m >> k & 1], [k for k in range(len(pts)) if m >> k & 1][1:])))
         assert score(passages.chains(x, y)[0]) == pytest.approx(best)
