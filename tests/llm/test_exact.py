@@ -119,6 +119,58 @@ def test_near_copies_go_and_others_stay(spark):
     assert {i for i, _ in rows} - kept <= near and len(near - kept) >= 19
 
 
+def _shingle_set(t):
+    w = LOW(t).encode().split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def _near_kept(texts):
+    """The least ids of the groups that links of a Jaccard similarity of 0.8 make, by all pairs with a shingle in common."""
+    sets, holders, up = {i: _shingle_set(t) for i, t in texts.items()}, collections.defaultdict(list), {i: i for i in texts}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sorted(sets):
+        common = collections.Counter(j for g in sets[i] or [None] for j in holders[g])
+        for j, n in common.items():
+            if not sets[i] or n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+        for g in sets[i] or [None]:
+            holders[g].append(i)
+    return {i for i in texts if find(i) == i}
+
+
+def test_near_duplicates_of_all_documents(spark, sf, docs):
+    kept = {r[0] for r in simhash.deduplicated(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id").collect()}
+    assert kept == _near_kept(docs)
+
+
+def test_near_duplicates_around_the_threshold(spark):
+    """Documents of 0.7 to 0.95, a large group of near copies of one text, and equal lines: few of the near ones may be missed, none else may go."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 30_000, n)]
+    texts, near = {}, 0
+    for k in range(120):
+        w = draw(300)
+        texts[k] = " ".join(w)
+        for at in rng.choice(296, 2 + k % 14, replace=False):
+            w[at] = "changed"
+        texts[1000 + k] = " ".join(w)
+    base = draw(200)
+    for k in range(150):
+        w = list(base)
+        w[int(rng.integers(200))] = f"n{k}"
+        texts[2000 + k] = " ".join(w)
+    texts[3000], texts[3001] = "one line " * 400 + " ".join(draw(150)), "one line " * 400 + " ".join(draw(150))
+    want = _near_kept(texts)
+    kept = {r[0] for r in simhash.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("doc_id").collect()}
+    assert want <= kept and len(kept - want) <= 0.05 * (len(texts) - len(want))
+
+
 def test_warc_round_trip(spark, sf):
     pages = dict(duckdb.sql(f"select page_id, html from '{sf}/pages.parquet'").fetchall())
     first = {}

@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.graph import components, local_components
-from tideline.llm.shared import cut, digests, small_batches, table, utf8
-from tideline.llm.tokens import mix
+from tideline.llm.shared import cut, digests, small_batches, table, utf8, width
+from tideline.llm.tokens import joined, mix
+from tideline.llm.tokens import words as split
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
 BLOCK = 1 << 16
-SLACK = 1.5  # standard deviations of the bits that differ, so that pairs of just the similarity asked for are seldom lost
+SOLID = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
+BATCH = 1 << 20
+SLACK = 3  # standard deviations of the bits that differ between pairs of just the similarity asked for: beyond them the bits decide, within them the shingles
 WALK, LEAF = 1 << 15, 16  # node pairs that are walked at once; pairs of fingerprints below which a node pair is compared outright
 
 
@@ -44,23 +47,35 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(2 * total > len(a), bitorder="little").view(np.int64)[0])
 
 
-def wide_fingerprint(text: bytes, words: int, segments: int) -> list[int]:
-    """`segments` SimHashes of one text, from independent hashes of the same shingles."""
-    w = text.translate(LOWER).split()
-    if not w:
-        return [0] * segments
-    joined = b" ".join(w)
-    ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(w) - words + 1)
-    a, b = starts[:n].tolist(), ends[min(words, len(w)) - 1 :].tolist()
-    total, digest = np.zeros((segments, 64), dtype=np.int64), xxhash.xxh64_intdigest
-    for k in range(0, n, BLOCK):
-        h = np.fromiter([digest(joined[x:y], SEED) for x, y in zip(a[k : k + BLOCK], b[k : k + BLOCK])], dtype=np.uint64)
+def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """The set of 64-bit hashes of each text's shingles of `words` whitespace-separated words, A-Z lower-cased; a text of fewer words has one shingle, one of none has none."""
+    out: list = []
+    while len(out) < len(texts):
+        group, held = [], 0
+        while len(out) + len(group) < len(texts) and (not group or held < BATCH):
+            group.append(texts[len(out) + len(group)])
+            held += len(group[-1])
+        buf, off = joined(group)
+        s, _, h = split(buf, SOLID)
+        per = np.searchsorted(s, off)
+        for k in range(len(group)):
+            w = h[per[k] : per[k + 1]]
+            n = min(words, len(w))
+            g = np.zeros(len(w) - n + 1 if n else 0, dtype=np.uint64)
+            for x in range(n):
+                g = g * np.uint64(0x9E3779B97F4A7C15) + w[x : x + len(g)]
+            out.append(np.unique(mix(g)))
+    return out
+
+
+def wide_fingerprint(h: np.ndarray, segments: int) -> np.ndarray:
+    """`segments` SimHashes of a set of shingle hashes, from independent hashes of the same shingles."""
+    total = np.zeros((segments, 64), dtype=np.int64)
+    for k in range(0, len(h), BLOCK):
         for s in range(segments):
-            v = h if s == 0 else mix(h + np.uint64(s * 0x9E3779B97F4A7C15 % (1 << 64)))
+            v = mix(h[k : k + BLOCK] + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
             total[s] += np.unpackbits(v.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > n, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+    return np.packbits(2 * total > len(h), axis=1, bitorder="little").view(np.int64).ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -76,9 +91,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray | None, upper: int, budget: int, lower_from: int):
+def trie_pairs(a: np.ndarray, b: np.ndarray | None, upper: int, budget: int, lower_from: int, head: int = 32):
     """Index pairs of the sorted uint64 arrays a and b (b None: a with itself, i < j) that differ in at most
-    `upper` of the upper 32 bits, at most `budget` bits in all, and at least `lower_from` of the lower 32; in blocks."""
+    `upper` of the `head` upper bits, at most `budget` bits in all, and at least `lower_from` of the other ones; in blocks."""
     own = b is None
     b = a if own else b
     if not len(a) or not len(b):
@@ -98,7 +113,7 @@ def trie_pairs(a: np.ndarray, b: np.ndarray | None, upper: int, budget: int, low
                 keep = i < j
                 i, j = i[keep], j[keep]
             x = a[i] ^ b[j]
-            hi, lo = np.bitwise_count(x >> np.uint64(32)).astype(np.int64), np.bitwise_count(x & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            hi, lo = np.bitwise_count(x >> np.uint64(64 - head)).astype(np.int64), np.bitwise_count(x & np.uint64((1 << (64 - head)) - 1)).astype(np.int64)
             keep = (hi <= upper) & (hi + lo <= budget) & (lo >= lower_from)
             if keep.any():
                 yield i[keep], j[keep]
@@ -110,7 +125,7 @@ def trie_pairs(a: np.ndarray, b: np.ndarray | None, upper: int, budget: int, low
         above = np.uint64(((1 << 64) - 1) ^ ((1 << (64 - d)) - 1))
         am = np.clip(np.searchsorted(a, (a[al] & above) | bit), al, ah)
         bm = np.clip(np.searchsorted(b, (b[bl] & above) | bit), bl, bh)
-        most = upper if d < 32 else budget
+        most = upper if d < head else budget
         parts = [(al, am, bl, bm, e), (am, ah, bm, bh, e), (al, am, bm, bh, e + 1)]
         cross = (am, ah, bl, bm, e + 1)
         if own:  # the mirror image of a node with itself is the pair met already
@@ -240,94 +255,147 @@ def bits_for(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _wide_task(segments: int, views: list[tuple[int, int]], budget: int, most: int):
-    """As _task(), for a view of one segment of wide fingerprints: its links count only if all segments together differ in at most `most` bits."""
+def _spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, i, j): those of the links (i, j), likeliest first, that join what label, the least member of each one's group, holds apart, without a circle; and the labels after them."""
+    kept_i, kept_j, rank = [], [], np.arange(len(i))
+    while True:
+        a, b = label[i], label[j]
+        open_ = a != b
+        i, j, a, b, rank = i[open_], j[open_], a[open_], b[open_], rank[open_]
+        if not len(i):
+            return label, np.concatenate([*kept_i, i]), np.concatenate([*kept_j, j])
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((rank, high))
+        pick = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+        kept_i.append(i[pick])
+        kept_j.append(j[pick])
+        up = np.arange(len(label))
+        up[high[pick]] = low[pick]
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        label = up[label]
+
+
+def _wide_task(segments: int, upper: int, budget: int, sure: int, most: int):
+    """The grouped function for a view of one segment of wide fingerprints: links of rows that differ in at most `budget` bits of it and in at most `most` of all.
+
+    Of those within `sure` bits only as many are given as keep their groups together; of the others, which shingles have to decide, all between such groups, and marked `now` as many as would keep groups together."""
 
     def run(t):
-        upper, lower_from = views[t.column("view")[0].as_py()]
         k, side = t.column("k").to_numpy().view(np.uint64), t.column("side").to_numpy()
         sig = np.stack([t.column(f"f{s}").to_numpy() for s in range(segments)], axis=1).view(np.uint64)
         ids = t.column("id").to_numpy()
         order = np.lexsort((k, side))
         k, side, sig, ids = k[order], side[order], sig[order], ids[order]
-        near = lambda i, j: np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64) <= most
-        # rows of one key are linked to the first of them, which stands for all in the walk
-        head = np.concatenate([[True], (k[1:] != k[:-1]) | (side[1:] != side[:-1])])
-        first = np.flatnonzero(head)
-        rest = np.flatnonzero(~head)
-        leader = first[np.cumsum(head) - 1][rest]
-        ok = near(rest, leader)
-        label = local_components(len(k), rest[ok], leader[ok])
-        cut_at = int(np.searchsorted(side[first], 1))
-        a, b = first[:cut_at], first[cut_at:]
-        for i, j in trie_pairs(k[a], k[b] if len(b) else None, upper, budget, lower_from):
-            i, j = a[i], (b if len(b) else a)[j]
-            ok = near(i, j)
-            if ok.any():
-                label = local_components(len(k), *_joined(label, i[ok], j[ok]))
-        lost = np.flatnonzero(label != np.arange(len(k)))
-        return pa.table({"a": ids[lost], "b": ids[label[lost]]})
+        cut_at = int(np.searchsorted(side, 1))
+        a, b = k[:cut_at], k[cut_at:]
+        label, certain, open_ = np.arange(len(k)), [], []
+        for i, j in trie_pairs(a, b if len(b) else None, upper, budget, 0, 16):
+            j = j + (cut_at if len(b) else 0)
+            d = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64)
+            label, x, y = _spanning(label, i[d <= sure], j[d <= sure])
+            certain.append((x, y))
+            between = (d > sure) & (d <= most) & (label[i] != label[j])
+            open_.append((i[between], j[between], d[between]))
+        x, y = (np.concatenate([np.zeros(0, dtype=np.int64), *z]) for z in zip(*certain)) if certain else (np.zeros(0, dtype=np.int64),) * 2
+        i, j, d = (np.concatenate([np.zeros(0, dtype=np.int64), *z]) for z in zip(*open_)) if open_ else (np.zeros(0, dtype=np.int64),) * 3
+        put = np.argsort(d, kind="stable")
+        put = put[label[i[put]] != label[j[put]]]
+        i, j = i[put], j[put]
+        _, u, v = _spanning(label, i, j)
+        a, b = np.concatenate([x, u, i]), np.concatenate([y, v, j])
+        now = np.arange(len(a)) < len(x) + len(u)
+        return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "now": now})
 
     return run
 
 
-def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budget: int = 7, per_task: int = 200_000, nodes: int = 8) -> DataFrame:
-    """Links (a, b) between rows (id, f0, f1, ..) of wide fingerprints that make the same groups as all those of about `similarity` or more by the share of bits that differ.
+def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budget: int = 8, per_task: int = 400_000) -> DataFrame:
+    """Links (a, b, now) between rows (id, f0, f1, ..) of wide fingerprints that may have `similarity` or more; those marked `now` would make the same groups if all held.
 
-    Each segment has tries of its own: two rows are compared if any segment differs in at most `budget` bits, and then judged by all segments.
+    Each segment has four tries, with one of its 16-bit quarters first: two rows are compared if any segment differs in at most `budget` bits, and so in at most a quarter of these in one quarter, and then judged by all
+    segments. A task holds `per_task` rows of two trie nodes at most.
     """
     spark = wide.sparkSession
     total = wide.count()
     if total < 2:
-        return spark.createDataFrame([], "a long, b long")
-    size = max(64, min(per_task, -(-2 * total // nodes)), total // 4096)
+        return spark.createDataFrame([], "a long, b long, now boolean")
+    size = max(per_task // 2 if total > per_task else per_task, total // 4096)
     depth = min(14, max(3, (total // size).bit_length()) + 4)
     share, bits = bits_for(similarity), 64 * segments
-    most = int(share * bits + SLACK * (share * (1 - share) * bits) ** 0.5)
-    lower = budget // 2
-    views, keys, names = [], [], [f"f{x}" for x in range(segments)]
-    for f in map(F.col, names):
-        for swapped, upper, lower_from in ((False, lower, 0), (True, budget - lower - 1, lower + 1)):
-            key = F.shiftleft(f, 32).bitwiseOR(F.shiftrightunsigned(f, 32)) if swapped else f
-            keys.append(F.struct(F.lit(len(views)).alias("view"), key.alias("k")))
-            views.append((upper, lower_from))
+    slack = SLACK * (share * (1 - share) * bits) ** 0.5
+    names = [f"f{x}" for x in range(segments)]
+    turned = [F.shiftleft(f, 16 * q).bitwiseOR(F.shiftrightunsigned(f, 64 - 16 * q)) if q else F.col(f) for f in names for q in range(4)]
+    keys = [F.struct(F.lit(view).alias("view"), key.alias("k")) for view, key in enumerate(turned)]
     keyed = wide.select("id", *names, F.explode(F.array(*keys)).alias("v")).select("id", *names, "v.view", "v.k", F.shiftrightunsigned("v.k", 64 - depth).alias("prefix"))
     counts: dict[int, dict[int, int]] = {}
     for view, prefix, n in keyed.groupBy("view", "prefix").count().collect():  # at most 2 ** depth rows a view
         counts.setdefault(view, {})[prefix] = n
     rows, tasks = [], 0
-    for view, (upper, _) in enumerate(views):
-        got, more = _routes(counts[view], depth, size, upper)
+    for view in range(len(keys)):
+        got, more = _routes(counts[view], depth, size, budget // 4)
         rows += [(view, p, part, parts, [(tasks + t, side) for t, side in goes]) for p, part, parts, goes in got]
         tasks += more
     routes = F.broadcast(spark.createDataFrame(rows, "view int, prefix long, part int, parts int, goes array<struct<task:int,side:int>>"))
-    dealt = keyed.join(routes, ["view", "prefix"]).where("pmod(xxhash64(id), parts) = part").select("view", "id", *names, "k", F.explode("goes").alias("g"))
-    return dealt.select("view", "id", *names, "k", "g.task", "g.side").groupBy("task").applyInArrow(_wide_task(segments, views, budget, most), "a long, b long")
+    dealt = keyed.join(routes, ["view", "prefix"]).where("pmod(xxhash64(id), parts) = part").select("id", *names, "k", F.explode("goes").alias("g"))
+    run = _wide_task(segments, budget // 4, budget, int(share * bits - slack), int(share * bits + slack))
+    return dealt.select("id", *names, "k", "g.task", "g.side").groupBy("task").applyInArrow(run, "a long, b long, now boolean")
 
 
-def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 6, budget: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _similar(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts (id, t) have shingle sets of a Jaccard similarity of `similarity` or more."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(*(shingles(b.column(c).to_pylist(), words) for c in ("ta", "tb"))):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    n = width(links.sparkSession)
+    both = links.repartition(n, "a").join(texts.toDF("a", "ta"), "a").repartition(n, "b").join(texts.toDF("b", "tb"), "b")
+    return cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "similar")
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 8, budget: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each near-duplicate group, that of the smallest id; of rows that repeat both id and text, one. Rows of one id or of null id but of different texts are judged apart.
 
-    Documents are near duplicates if SimHashes of `segments` * 64 bits of their shingles of `words` words differ in no more bits than pairs of the Jaccard similarity asked for
-    mostly do: 1.5 standard deviations over the expected number. Around 0.8, 384 bits tell similarities apart to a standard deviation of about 0.03. Null and empty texts are one group. Rows of null id stay only if their group has no
-    other; one of them then stands for it. An empty table stays empty. All columns are kept.
+    Documents are near duplicates if the sets of their shingles of `words` words have a Jaccard similarity of `similarity` or more; a group is what these links reach. Candidates are found by SimHashes of `segments`
+    * 64 bits: pairs that differ in at most `budget` bits of some segment, and by all bits are within three standard deviations of the similarity asked for; their shingles are then compared. (At 0.8, a pair is missed once in about thirty.)
+    Null and empty texts are one group, and so are texts without a word. Rows of null id stay only if their group has no
+    other; one of them then stands for it. An empty table stays empty. All columns are kept, whatever their names.
     """
     small_batches(docs.sparkSession)
     names = [f"f{s}" for s in range(segments)]
 
     def run(batches):
         for b in batches:
-            got = np.array([wide_fingerprint(t.as_py(), words, segments) for t in b.column(3)], dtype=np.int64).reshape(-1, segments)
+            got = np.array([wide_fingerprint(h, segments) for h in shingles(b.column(3).to_pylist(), words)], dtype=np.int64).reshape(-1, segments)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(got[:, s]) for s in range(segments)]], [*key, *names])
 
     key, own = ["doc_id", "h1", "h2"], digests(utf8(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), own[0].alias("h1"), own[1].alias("h2"), utf8(text_col).alias("t"))
-    rows = cut(rows.mapInArrow(run, ", ".join(f"{n} long" for n in [*key, *names])).withColumn("id", F.xxhash64(*names)), "wide")
-    first = cut(rows.groupBy("id", *names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("first")), "distinct")
-    found = components(similar_links(first, segments, similarity, budget))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), own[0].alias("h1"), own[1].alias("h2"), utf8(text_col).alias("t"))
+    rows = cut(plain.mapInArrow(run, ", ".join(f"{n} long" for n in [*key, *names])), "wide")
+    each = rows.groupBy(*key).count()
+    repeats = not each.where("count > 1").isEmpty()
+    first = rows.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), *[F.first(f).alias(f) for f in names])
+    first = cut(first.select(F.monotonically_increasing_id().alias("id"), F.struct("least.none", "least.doc_id", "h1", "h2").alias("first"), *names), "distinct")
+    links = cut(similar_links(first.select("id", *names), segments, similarity, budget), "links")
+    need = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    need = cut(need.join(first, "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.h1").alias("g1"), F.col("first.h2").alias("g2")), "need")
+    texts = plain.join(need, plain["doc_id"].eqNullSafe(need["d"]) & (plain["h1"] == need["g1"]) & (plain["h2"] == need["g2"])).select("id", "t")
+    texts = cut(texts.dropDuplicates(["id"]) if repeats else texts, "texts")
+    good = _similar(links.where("now").select("a", "b").distinct(), texts, words, similarity)
+    found = components(good)
+    # What these links didn't bring together may be by others.
+    to = found.toDF("node", "to")
+    rest = links.where("not now").select("a", "b").distinct().join(to.toDF("a", "ca"), "a", "left").join(to.toDF("b", "cb"), "b", "left")
+    rest = cut(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "rest")
+    if not rest.isEmpty():
+        found = components(good.unionByName(_similar(rest, texts, words, similarity)))
     member = first.select("id", "first").join(found.toDF("id", "component"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
     kept = member.groupBy("component").agg(F.min("first").alias("kept")).select("kept.*").toDF("none", "kept", "k1", "k2")
-    each = rows.groupBy(*key).count()
     gone = each.join(kept, each["doc_id"].eqNullSafe(kept["kept"]) & (each["h1"] == kept["k1"]) & (each["h2"] == kept["k2"]), "left_anti")
     gone = cut(gone.select(F.col("doc_id").alias("gone"), F.col("h1").alias("g1"), F.col("h2").alias("g2")), "gone")
     some = kept.select(F.col("kept").alias("some")).distinct()
@@ -337,7 +405,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
     part = cut(gone.join(some, gone["gone"].eqNullSafe(some["some"]), "left_semi"), "part")
     out = docs.join(whole, docs[id_col].cast("long").eqNullSafe(whole["whole"]), "left_anti")
     out = out.join(part, out[id_col].cast("long").eqNullSafe(part["gone"]) & (own[0] == part["g1"]) & (own[1] == part["g2"]), "left_anti")
-    if each.where("count > 1").isEmpty():
+    if not repeats:
         return out
     marks = ["_digest_1", "_digest_2"]
     return out.withColumns(dict(zip(marks, own))).dropDuplicates([id_col, *marks]).drop(*marks)
