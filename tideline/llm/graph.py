@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every round each node moves to the least of its closed neighbourhood and the graph is contracted to these.
     Rounds alternate between the order of the ids, which collapses stars in one step, and a fresh random order,
     which at least halves any other graph in expectation, long paths included. Every round's tables are written to the shared
-    folder. No edges: an empty result.
+    folder, and joined by shuffling at any size, so that the driver holds none of them. No edges: an empty result.
     """
     graph = cut(edges.select("a", "b").where("a <> b").distinct(), "edges")
     moved: DataFrame | None = None
@@ -46,11 +46,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
         step = cut(least.select(F.col("a").alias("node"), F.least(F.col("m"), order(F.col("a")))["v"].alias("to")), "step")
         left, right = step.toDF("a", "ra"), step.toDF("b", "rb")
-        graph = cut(graph.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        graph = cut(graph.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         if moved is None:
             moved = step
         else:
-            moved = cut(moved.join(step.toDF("to", "next"), "to", "left").select("node", F.coalesce("next", "to").alias("to")), "moved")
+            moved = cut(moved.join(step.toDF("to", "next").hint("merge"), "to", "left").select("node", F.coalesce("next", "to").alias("to")), "moved")
         k += 1
     if moved is None:
         moved = graph.select(F.col("a").alias("node"), F.col("b").alias("to"))

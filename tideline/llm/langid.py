@@ -75,7 +75,7 @@ def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 1.0
     """Weights and bias of a linear support vector machine with hinge loss, by dual coordinate descent; y is 1 or -1. Classes weigh alike."""
     w, bias = np.zeros(1 << BITS), 0.0
     alpha, rng = np.zeros(len(y)), np.random.default_rng(7)
-    norm = np.array([float(v @ v) + 1.0 for _, v in rows])
+    norm = np.array([float(v.astype(np.float64) @ v) + 1.0 for _, v in rows])
     most = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     for _ in range(epochs):
         moved = 0.0
@@ -127,9 +127,9 @@ class Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, most: int = 20_000) -> Model | None:
     """Fits a model to a bounded sample of `docs`: of each language the `per_lang` rows whose ids hash lowest, fewer where there are so
-    many languages that this would exceed `most` rows. Rows with a null or blank language or without a letter teach nothing. None if no row is left.
+    many languages that this would exceed `most` rows. Rows with a null language or without a letter teach nothing. None if no row is left.
     """
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and trim(lang) <> ''")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return None
@@ -149,7 +149,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     order = got.select(["lang", "h"]).to_pandas().sort_values(["lang", "h"], kind="stable").index
     langs = np.array(got.column("lang").to_pylist(), dtype=object)[order]
     at, v = got.column("at").combine_chunks(), got.column("v").combine_chunks()
-    rows = [(at[int(k)].values.to_numpy(), v[int(k)].values.to_numpy().astype(np.float64)) for k in order]
+    del got
+    rows = [(at[int(k)].values.to_numpy(), v[int(k)].values.to_numpy()) for k in order]
     if not rows:
         return None
     names = sorted(set(langs))

@@ -72,7 +72,7 @@ def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, expone
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, place: str | None = None, **options) -> DataFrame:
     """`docs` as a mixture: the same rows and columns, each partition a sorted stretch of the mixture and partitions in its order. Rows that repeat an id share out its places.
 
-    place: a column to add that holds the row's place in the mixture, from 0 without gaps; later steps can't rely on the order of files."""
+    place: a column to add that holds the row's place in the mixture, from 0 without gaps. With it rows aren't sorted: the column says their order, and later steps can't rely on that of files."""
     places = cut(mixed_order(docs, weights, **options).select("doc_id", "position"), "places")
     left = docs.select("doc_id", F.struct("*").alias("row"), F.lit(1).alias("n"))
     right = places.select(F.col("doc_id").alias("id"), "position", F.lit(1).alias("m"))
@@ -80,8 +80,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, place: str |
         left = left.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1))))
         right = right.withColumn("m", F.row_number().over(Window.partitionBy("id").orderBy("position")))
     both = left.join(right, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n") == F.col("m"))).select("row", "position")
-    both = both.repartitionByRange("position").sortWithinPartitions("position")
-    return both.select("row.*", F.col("position").alias(place)) if place else both.select("row.*")
+    if place:
+        return both.select("row.*", F.col("position").alias(place))
+    return both.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
 def op8_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,7 +354,7 @@ def _similar(links: DataFrame, texts: DataFrame, words: int, similarity: float)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     n = width(links.sparkSession)
-    both = links.repartition(n, "a").join(texts.toDF("a", "ta"), "a").repartition(n, "b").join(texts.toDF("b", "tb"), "b")
+    both = links.repartition(n, "a").join(texts.toDF("a", "ta").hint("merge"), "a").repartition(n, "b").join(texts.toDF("b", "tb").hint("merge"), "b")
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "similar")
 
 
@@ -383,18 +383,18 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
     first = cut(first.select(F.monotonically_increasing_id().alias("id"), F.struct("least.none", "least.doc_id", "h1", "h2").alias("first"), *names), "distinct")
     links = cut(similar_links(first.select("id", *names), segments, similarity, budget), "links")
     need = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    need = cut(need.join(first, "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.h1").alias("g1"), F.col("first.h2").alias("g2")), "need")
+    need = cut(need.join(first.hint("merge"), "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.h1").alias("g1"), F.col("first.h2").alias("g2")), "need")
     texts = plain.join(need, plain["doc_id"].eqNullSafe(need["d"]) & (plain["h1"] == need["g1"]) & (plain["h2"] == need["g2"])).select("id", "t")
     texts = cut(texts.dropDuplicates(["id"]) if repeats else texts, "texts")
     good = _similar(links.where("now").select("a", "b").distinct(), texts, words, similarity)
     found = components(good)
     # What these links didn't bring together may be by others.
     to = found.toDF("node", "to")
-    rest = links.where("not now").select("a", "b").distinct().join(to.toDF("a", "ca"), "a", "left").join(to.toDF("b", "cb"), "b", "left")
+    rest = links.where("not now").select("a", "b").distinct().join(to.toDF("a", "ca").hint("merge"), "a", "left").join(to.toDF("b", "cb").hint("merge"), "b", "left")
     rest = cut(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "rest")
     if not rest.isEmpty():
         found = components(good.unionByName(_similar(rest, texts, words, similarity)))
-    member = first.select("id", "first").join(found.toDF("id", "component"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
+    member = first.select("id", "first").join(found.toDF("id", "component").hint("merge"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
     kept = member.groupBy("component").agg(F.min("first").alias("kept")).select("kept.*").toDF("none", "kept", "k1", "k2")
     gone = each.join(kept, each["doc_id"].eqNullSafe(kept["kept"]) & (each["h1"] == kept["k1"]) & (each["h2"] == kept["k2"]), "left_anti")
     gone = cut(gone.select(F.col("doc_id").alias("gone"), F.col("h1").alias("g1"), F.col("h2").alias("g2")), "gone")
