@@ -147,3 +147,49 @@ def test_switching_model_finds_its_states():
         alpha, a = m.filter(z)
         assert (alpha.argmax(axis=1) == s).mean() > 0.9 and (m.smooth(z).argmax(axis=1) == s).mean() > 0.95
         assert np.allclose(m.ahead(alpha, a, 3).sum(axis=1), 1)
+
+
+def _model():
+    rng = np.random.default_rng(3)
+    states = np.repeat(rng.integers(0, 3, 30), rng.integers(3, 9, 30))
+    z = np.column_stack([states - 1 + 0.4 * rng.standard_normal(len(states)), rng.standard_normal(len(states))])
+    return z, states, rng.standard_normal((len(states), 1))
+
+
+def test_switching_filter_and_smoother_equal_enumeration():
+    z, states, u = _model()
+    m = learners.Switching().fit_labelled(z, u, states)
+    z, u = z[:6], u[:6]
+    moves, seen = m.moves(m._inputs(u, 6)), np.exp(m.seen(z))
+    filtered, smooth = np.zeros((6, 3)), np.zeros((6, 3))
+    for n in range(1, 7):
+        for path in np.ndindex(*[3] * n):
+            p = m.first[path[0]] * seen[0, path[0]]
+            for t in range(1, n):
+                p *= moves[t - 1, path[t - 1], path[t]] * seen[t, path[t]]
+            filtered[n - 1, path[-1]] += p
+            if n == 6:
+                smooth[np.arange(6), path] += p
+    assert np.allclose(m.filter(z, u)[0], filtered / filtered.sum(axis=1, keepdims=True))
+    assert np.allclose(m.smooth(z, u), smooth / smooth.sum(axis=1, keepdims=True))
+
+
+def test_switching_likelihood_never_falls():
+    z, states, _ = _model()
+    m = learners.Switching(ridge=0.0).fit(z, tol=1e-9)
+    assert len(m.loglik) > 3 and (np.diff(m.loglik) > -1e-3).all()  # the intercepts' penalty is small but not nothing
+    assert (np.diff(m.mean[:, 0]) > 0).all() and np.mean(m.smooth(z).argmax(axis=1) == states) > 0.9
+
+
+def test_l1_trend_is_optimal_and_the_same_at_any_length():
+    rng = np.random.default_rng(5)
+    y = np.cumsum(rng.standard_normal(150))
+    x, _ = K.l1_trend(y, 5.0, 20_000)
+    # y - x = D'm with |m| at most lam, and at lam with the bend's sign wherever the level bends
+    m = np.linalg.lstsq(np.diff(np.eye(150), 2, axis=0).T, y - x, rcond=None)[0]
+    bend = np.diff(x, 2)
+    assert np.abs(m).max() < 5 + 1e-4 and np.allclose(m[np.abs(bend) > 1e-4], 5 * np.sign(bend[np.abs(bend) > 1e-4]), atol=1e-3)
+    long = np.cumsum(rng.standard_normal(1200))
+    n = len(long)
+    bends = np.diff(np.eye(n), 2, axis=0)
+    assert np.allclose(K._damped(long, 5.0), np.linalg.solve(np.eye(n) + 5.0 * bends.T @ bends, long), atol=1e-9)
