@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions import stats
 from tideline.operators import metrics as M
 from tideline.operators import walkforward as G
+from tideline.operators.tables import written
 
 DELTAS = ["bal_acc", "bss", "brier", "auc_up", "auc_down", "delay_med", "delay_mean", "hit_rate", "capture", "false_alarms_10y", "precision", "flips_yr"]
 TRADED = ["pnl_bp_yr", "sharpe"]
@@ -23,7 +24,7 @@ def scored(forecasts: DataFrame, truth: DataFrame, h: int = 0) -> DataFrame:
 
 
 def leaderboard(forecasts: DataFrame, truth: DataFrame, horizons: tuple[int, ...] = (0, 3)) -> DataFrame:
-    forecasts, truth = forecasts.persist(), truth.persist()  # every metric reads them; the fits behind them run once
+    forecasts, truth = written(forecasts, "forecasts"), written(truth, "truth")  # every metric reads them; the fits behind them run once
     out = None
     for h in horizons:
         s = scored(forecasts, truth, h).withColumn("h", F.lit(h))
@@ -33,9 +34,9 @@ def leaderboard(forecasts: DataFrame, truth: DataFrame, horizons: tuple[int, ...
 
 def compare(forecasts: DataFrame, truth: DataFrame, a: str, b: str, h: int = 0, draws: int = 500) -> DataFrame:
     """Detector a against b on the same months, by series: differences of metrics, Diebold-Mariano on Brier scores, block bootstrap of balanced accuracy, signed ranks of delays."""
-    truth = truth.persist()
-    at = forecasts.where((F.col("h") == h) & F.col("detector").isin(a, b)).persist()
-    s = scored(at, truth, h)
+    truth = written(truth, "truth")
+    at = written(forecasts.where((F.col("h") == h) & F.col("detector").isin(a, b)), "pair")
+    s = written(scored(at, truth, h), "scored")
     names = [c for c in DELTAS + TRADED if c in s.columns]
     left = s.where(F.col("detector") == a).select("series_id", *[F.col(c).alias(f"a_{c}") for c in names])
     right = s.where(F.col("detector") == b).select("series_id", *[F.col(c).alias(f"b_{c}") for c in names])
@@ -69,12 +70,17 @@ def compare(forecasts: DataFrame, truth: DataFrame, a: str, b: str, h: int = 0,
 
 
 def all_against(forecasts: DataFrame, truth: DataFrame, pairs: list[tuple[str, str]], h: int = 0, draws: int = 500) -> DataFrame:
-    """compare() for a list of (augmented, baseline) detectors: the add-one and leave-one-out studies."""
-    out = None
-    for a, b in pairs:
-        c = compare(forecasts, truth, a, b, h, draws)
-        out = c if out is None else out.unionByName(c)
-    return out
+    """compare() for a list of (augmented, baseline) detectors, all in one plan: the add-one and leave-one-out studies.
+
+    Each pair is a study of its own series, named by the pair's number and the series, and its detectors are just a and b in it."""
+    spark = forecasts.sparkSession
+    sides = [(f"{k}:", d, side) for k, pair in enumerate(pairs) for d, side in zip(pair, "ab")]
+    sides = F.broadcast(spark.createDataFrame(sides, "pair string, detector string, side string"))  # two rows a pair
+    own = forecasts.join(sides, "detector").withColumn("series_id", F.concat("pair", "series_id")).withColumn("detector", F.col("side")).drop("pair", "side")
+    true = truth.withColumn("pair", F.explode(F.array(*[F.lit(f"{k}:") for k in range(len(pairs))]))).withColumn("series_id", F.concat("pair", "series_id")).drop("pair")
+    names = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string"))
+    out = compare(own, true, "a", "b", h, draws).drop("a", "b").withColumn("k", F.substring_index("series_id", ":", 1).cast("int"))
+    return out.withColumn("series_id", F.expr("substr(series_id, instr(series_id, ':') + 1)")).join(names, "k").drop("k")
 
 
 def best_model(board: DataFrame, metric: str = "bss", h: int = 0) -> DataFrame:
@@ -96,14 +102,14 @@ def full(features: DataFrame, jobs: DataFrame, truth: DataFrame, own: tuple[str,
     detectors = [G.Climatology(), G.RuleDetector(), G.RuleDetector(False, "Rule A"), G.Supervised(own, name="Logit own"), G.SwitchingDetector(name="MS own"), G.Supervised((*own, *every), name="Logit all")]
     matched = jobs.join(G.first_usable(features, [*own, *every]).fillna(0), "series_id")
     board = G.run(features, matched, detectors, setting, horizons)
-    added, left_out = None, None
+    board = written(board, "board")
+    fits = board.where("detector = 'Logit all'")
     for name, block in candidates.items():
         from_ = jobs.join(G.first_usable(features, [*own, *block]).fillna(0), "series_id")
-        pair = G.run(features, from_, [G.Supervised(own, name="base"), G.Supervised((*own, *block), name=f"+{name}")], setting, horizons)
-        one = compare(pair, truth, f"+{name}", "base", draws=draws)
-        added = one if added is None else added.unionByName(one)
+        fits = fits.unionByName(G.run(features, from_, [G.Supervised(own, name=f"base of {name}"), G.Supervised((*own, *block), name=f"+{name}")], setting, horizons))
         rest = tuple(v for v in every if v not in block)
-        pair = board.where("detector = 'Logit all'").unionByName(G.run(features, matched, [G.Supervised((*own, *rest), name=f"-{name}")], setting, horizons))
-        one = compare(pair, truth, "Logit all", f"-{name}", draws=draws)
-        left_out = one if left_out is None else left_out.unionByName(one)
+        fits = fits.unionByName(G.run(features, matched, [G.Supervised((*own, *rest), name=f"-{name}")], setting, horizons))
+    fits = written(fits, "fits")
+    added = all_against(fits, truth, [(f"+{name}", f"base of {name}") for name in candidates], draws=draws)
+    left_out = all_against(fits, truth, [("Logit all", f"-{name}") for name in candidates], draws=draws)
     return {"forecasts": board, "leaderboard": leaderboard(board, truth, horizons), "add_one": added, "leave_one_out": left_out}

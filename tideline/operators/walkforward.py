@@ -200,7 +200,7 @@ def run(features: DataFrame, jobs: DataFrame, detectors: list, setting: K.Settin
     need = sorted({v for d in detectors for v in d.variables})
     jobs = jobs if "train_from" in jobs.columns else jobs.withColumn("train_from", F.lit(0))
     jobs = jobs.withColumn("detector", F.explode(F.array(*[F.lit(n) for n in known])))
-    rows = features.select("series_id", "t", "value", "sig", *need).join(F.broadcast(jobs), "series_id").where("t <= last")  # a row a job
+    rows = features.select("series_id", "t", "value", "sig", *need).join(jobs, "series_id").where("t <= last")  # a row a job
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")

@@ -21,5 +21,6 @@ def orders(s, d):
     return S.replay(o.withColumn("ts", F.col("o_orderdate").cast("timestamp")).drop("o_orderdate"), "ts")
 
 
-Q["stream_monthly_buckets"] = lambda s, d: S.drain(S.monthly(orders(s, d), "ts", F.col("o_totalprice"), F.col("o_orderpriority"))).where("month < date'2001-01-01'").select("series_id", "month", rnd("value", 4).alias("value"), "n")
-SQL["stream_monthly_buckets"] = "select o_orderpriority as series_id, date_trunc('month', o_orderdate)::date as month, round(avg(o_totalprice), 4) as value, count(*) as n from orders where o_orderdate < date '2001-01-01' group by 1, 2"
+# Months that the watermark, 31 days behind the last one seen, has not passed stay open.
+Q["stream_monthly_buckets"] = lambda s, d: S.drain(S.monthly(orders(s, d), "ts", F.col("o_totalprice"), F.col("o_orderpriority"))).select("series_id", "month", rnd("value", 4).alias("value"), "n")
+SQL["stream_monthly_buckets"] = "select o_orderpriority as series_id, date_trunc('month', o_orderdate)::date as month, round(avg(o_totalprice), 4) as value, count(*) as n from orders where date_trunc('month', o_orderdate) <= (select date_trunc('month', max(o_orderdate)) - interval 31 day from orders) group by 1, 2"

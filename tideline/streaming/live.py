@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,16 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.operators import kernels as K
+from tideline.operators.tables import folder
 
 OUT = "series_id string, month date, t int, label int"
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all machines share, under spark.checkpoint.dir; a temporary one where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tideline-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def monthly(events: DataFrame, ts: str, value: Column, key: Column, late: str = "31 days") -> DataFrame:
     """(series_id, month, value, n): monthly means of an event stream; in append mode a month comes out once the watermark has passed it, so a bucket that is still filling never does."""
     rows = events.select(key.alias("series_id"), F.date_trunc("month", ts).alias("month_ts"), value.cast("double").alias("v")).withWatermark("month_ts", late)
@@ -111,7 +104,7 @@ def replay(table: DataFrame, order: str, parts: int = 4) -> DataFrame:
     """A stream of a table's rows, in `parts` micro-batches or fewer of consecutive ranges of `order`, a date or timestamp; rows of equal or null `order` share a batch.
 
     Ranges end at approximate quantiles. All have the same number of files, so that a trigger takes just one range; no task needs more than a part of one."""
-    spark, path = table.sparkSession, folder(table.sparkSession)
+    spark, path = table.sparkSession, folder(table.sparkSession, "stream")
     at = F.col(order).cast("timestamp").cast("double")
     ends = sorted(set(table.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.01)))
     part = F.coalesce(sum(((at > F.lit(e)).cast("int") for e in ends), F.lit(0)), F.lit(0))
