@@ -39,8 +39,9 @@ def width(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python workers in batches of `rows` from here on: at the default of 10,000, one batch of long texts takes hundreds of MB."""
+    """Texts go to Python workers in batches of `rows` and about 8 MB from here on: at the defaults of 10,000 and 64 MB, one batch of long texts takes hundreds of MB there."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def utf8(column) -> "F.Column":
