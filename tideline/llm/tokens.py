@@ -39,6 +39,12 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((s[ends] - s[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def spans(buf: np.ndarray, is_word: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal runs of word bytes."""
+    edge = np.flatnonzero(np.diff(is_word[buf].view(np.int8), prepend=0, append=0))
+    return edge[0::2], edge[1::2]
+
+
 def words(buf: np.ndarray, is_word: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the maximal runs of word bytes, lower-cased for the hash. Long buffers are taken in
     pieces that end between words; a single word longer than a piece is hashed by pieces of its own."""
@@ -49,9 +55,7 @@ def words(buf: np.ndarray, is_word: np.ndarray = ALNUM) -> tuple[np.ndarray, np.
             gap = np.flatnonzero(~is_word[buf[at:to]][::-1][: PIECE // 2])
             to = to - int(gap[0]) if len(gap) else to
         part = buf[at:to]
-        w = is_word[part]
-        edge = np.flatnonzero(np.diff(w.view(np.int8), prepend=0, append=0))
-        s, e = edge[0::2], edge[1::2]
+        s, e = spans(part, is_word)
         out.append((s + at, e + at, span_hashes(LOWER[part], s, e)))
         at = to
     if not out:
