@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Shuffle files of a written table go when it is written, instead of at some collection of the driver's memory.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_folders: dict[str, str | None] = {}  # by application, where no shared folder is set
 
 
@@ -28,9 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Writes `df` once into the shared folder and reads it back, so that lost executors cost no more than their own tasks."""
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def width(spark: SparkSession) -> int:
