@@ -276,10 +276,11 @@ def _spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarr
         label = up[label]
 
 
-def _wide_task(segments: int, upper: int, budget: int, sure: int, most: int):
+def _wide_task(segments: int, upper: int, budget: int, sure: int, most: int, known: bool):
     """The grouped function for a view of one segment of wide fingerprints: links of rows that differ in at most `budget` bits of it and in at most `most` of all.
 
-    Of those within `sure` bits only as many are given as keep their groups together; of the others, which shingles have to decide, all between such groups, and marked `now` as many as would keep groups together."""
+    Of those within `sure` bits, and of the others, which shingles have to decide, only as many are given (`now`) as would keep groups together if all held; rows that have others besides are given as links to themselves.
+    Where the groups that links have made are known (column c), all links between different groups are given instead."""
 
     def run(t):
         k, side = t.column("k").to_numpy().view(np.uint64), t.column("side").to_numpy()
@@ -287,31 +288,52 @@ def _wide_task(segments: int, upper: int, budget: int, sure: int, most: int):
         ids = t.column("id").to_numpy()
         order = np.lexsort((k, side))
         k, side, sig, ids = k[order], side[order], sig[order], ids[order]
+        group = t.column("c").to_numpy()[order] if known else ids
         cut_at = int(np.searchsorted(side, 1))
         a, b = k[:cut_at], k[cut_at:]
-        label, certain, open_ = np.arange(len(k)), [], []
+        n, label, more = len(k), np.arange(len(k)), np.zeros(len(k), dtype=bool)
+        none = np.zeros(0, dtype=np.int64)
+        certain, forest, waiting, held = [(none, none)], (none, none), [(none, none)], 0
+        bits = lambda i, j: np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64)
+
+        def spanned(forest, waiting):
+            """The likeliest links that keep together what these do, of groups that `label` holds apart; the rows of others are marked."""
+            i, j = (np.concatenate(z) for z in zip(forest, *waiting))
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            put = np.argsort(bits(i, j), kind="stable")
+            _, u, v = _spanning(label, i[put], j[put])
+            over = ~np.isin(i * n + j, u * n + v)
+            more[i[over]] = more[j[over]] = True
+            return u, v
+
         for i, j in trie_pairs(a, b if len(b) else None, upper, budget, 0, 16):
             j = j + (cut_at if len(b) else 0)
-            d = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64)
-            label, x, y = _spanning(label, i[d <= sure], j[d <= sure])
-            certain.append((x, y))
-            between = (d > sure) & (d <= most) & (label[i] != label[j])
-            open_.append((i[between], j[between], d[between]))
-        x, y = (np.concatenate([np.zeros(0, dtype=np.int64), *z]) for z in zip(*certain)) if certain else (np.zeros(0, dtype=np.int64),) * 2
-        i, j, d = (np.concatenate([np.zeros(0, dtype=np.int64), *z]) for z in zip(*open_)) if open_ else (np.zeros(0, dtype=np.int64),) * 3
-        put = np.argsort(d, kind="stable")
-        put = put[label[i[put]] != label[j[put]]]
-        i, j = i[put], j[put]
-        _, u, v = _spanning(label, i, j)
-        a, b = np.concatenate([x, u, i]), np.concatenate([y, v, j])
-        now = np.arange(len(a)) < len(x) + len(u)
-        return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "now": now})
+            d = bits(i, j)
+            if known:
+                open_ = (d <= most) & (group[i] != group[j])
+            else:
+                label, x, y = _spanning(label, i[d <= sure], j[d <= sure])
+                certain.append((x, y))
+                open_ = (d > sure) & (d <= most) & (label[i] != label[j])
+            waiting.append((i[open_], j[open_]))
+            held += int(open_.sum())
+            if not known and held > max(BLOCK, len(forest[0])):
+                forest, waiting, held = spanned(forest, waiting), [(none, none)], 0
+        if known:
+            x, y = (np.concatenate(z) for z in zip(*waiting))
+        else:
+            x, y = (np.concatenate(z) for z in zip(*certain, spanned(forest, waiting)))
+        own = np.flatnonzero(more)
+        p, q = ids[np.concatenate([x, own])], ids[np.concatenate([y, own])]
+        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q), "now": np.arange(len(p)) < len(x)})
 
     return run
 
 
 def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budget: int = 8, per_task: int = 400_000) -> DataFrame:
-    """Links (a, b, now) between rows (id, f0, f1, ..) of wide fingerprints that may have `similarity` or more; those marked `now` would make the same groups if all held.
+    """Links (a, b, now) between rows (id, f0, f1, ..) of wide fingerprints that may have `similarity` or more: those marked `now` would make the same groups as all, if all held; rows with further links are given once
+    more, linked to themselves and not marked. With a column c in `wide`, the groups that links have made since, all links between different groups, marked `now`.
 
     Each segment has four tries, with one of its 16-bit quarters first: two rows are compared if any segment differs in at most `budget` bits, and so in at most a quarter of these in one quarter, and then judged by all
     segments. A task holds `per_task` rows of two trie nodes at most.
@@ -324,10 +346,11 @@ def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budge
     depth = min(14, max(3, (total // size).bit_length()) + 4)
     share, bits = bits_for(similarity), 64 * segments
     slack = SLACK * (share * (1 - share) * bits) ** 0.5
-    names = [f"f{x}" for x in range(segments)]
+    names, known = [f"f{x}" for x in range(segments)], "c" in wide.columns
+    held = ["id", *names, *(["c"] if known else [])]
     turned = [F.shiftleft(f, 16 * q).bitwiseOR(F.shiftrightunsigned(f, 64 - 16 * q)) if q else F.col(f) for f in names for q in range(4)]
     keys = [F.struct(F.lit(view).alias("view"), key.alias("k")) for view, key in enumerate(turned)]
-    keyed = wide.select("id", *names, F.explode(F.array(*keys)).alias("v")).select("id", *names, "v.view", "v.k", F.shiftrightunsigned("v.k", 64 - depth).alias("prefix"))
+    keyed = wide.select(*held, F.explode(F.array(*keys)).alias("v")).select(*held, "v.view", "v.k", F.shiftrightunsigned("v.k", 64 - depth).alias("prefix"))
     counts: dict[int, dict[int, int]] = {}
     for view, prefix, n in keyed.groupBy("view", "prefix").count().collect():  # at most 2 ** depth rows a view
         counts.setdefault(view, {})[prefix] = n
@@ -337,9 +360,9 @@ def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budge
         rows += [(view, p, part, parts, [(tasks + t, side) for t, side in goes]) for p, part, parts, goes in got]
         tasks += more
     routes = F.broadcast(spark.createDataFrame(rows, "view int, prefix long, part int, parts int, goes array<struct<task:int,side:int>>"))
-    dealt = keyed.join(routes, ["view", "prefix"]).where("pmod(xxhash64(id), parts) = part").select("id", *names, "k", F.explode("goes").alias("g"))
-    run = _wide_task(segments, budget // 4, budget, int(share * bits - slack), int(share * bits + slack))
-    return dealt.select("id", *names, "k", "g.task", "g.side").groupBy("task").applyInArrow(run, "a long, b long, now boolean")
+    dealt = keyed.join(routes, ["view", "prefix"]).where("pmod(xxhash64(id), parts) = part").select(*held, "k", F.explode("goes").alias("g"))
+    run = _wide_task(segments, budget // 4, budget, int(share * bits - slack), int(share * bits + slack), known)
+    return dealt.select(*held, "k", "g.task", "g.side").groupBy("task").applyInArrow(run, "a long, b long, now boolean")
 
 
 def _similar(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -388,10 +411,11 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
     texts = cut(texts.dropDuplicates(["id"]) if repeats else texts, "texts")
     good = _similar(links.where("now").select("a", "b").distinct(), texts, words, similarity)
     found = components(good)
-    # What these links didn't bring together may be by others.
-    to = found.toDF("node", "to")
-    rest = links.where("not now").select("a", "b").distinct().join(to.toDF("a", "ca").hint("merge"), "a", "left").join(to.toDF("b", "cb").hint("merge"), "b", "left")
-    rest = cut(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "rest")
+    # What these links didn't bring together may be by others: rows that have more are compared again, knowing their groups.
+    more = links.where("not now").select(F.col("a").alias("id")).distinct()
+    again = first.select("id", *names).join(more.hint("merge"), "id").join(found.toDF("id", "c").hint("merge"), "id", "left")
+    again = cut(again.select("id", *names, F.coalesce("c", "id").alias("c")), "again")
+    rest = cut(similar_links(again, segments, similarity, budget).select("a", "b").distinct(), "rest")
     if not rest.isEmpty():
         found = components(good.unionByName(_similar(rest, texts, words, similarity)))
     member = first.select("id", "first").join(found.toDF("id", "component").hint("merge"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
