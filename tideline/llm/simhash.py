@@ -276,8 +276,16 @@ def _spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarr
         label = up[label]
 
 
-def _wide_task(segments: int, upper: int, budget: int, sure: int, most: int, known: bool):
-    """The grouped function for a view of one segment of wide fingerprints: links of rows that differ in at most `budget` bits of it and in at most `most` of all.
+def _first_view(x: np.ndarray, upper: int, budget: int) -> np.ndarray:
+    """The first of the four views of each segment that shows a pair, given the bits x (pairs, segments) in which it differs: at most `budget` bits of the segment, `upper` of the quarter."""
+    segment = np.argmax(np.bitwise_count(x) <= budget, axis=1)
+    quarters = x[np.arange(len(x)), segment][:, None] >> np.array([48, 32, 16, 0], dtype=np.uint64) & np.uint64(0xFFFF)
+    return 4 * segment + np.argmax(np.bitwise_count(quarters) <= upper, axis=1)
+
+
+def _wide_task(segments: int, starts: list[int], upper: int, budget: int, sure: int, most: int, known: bool):
+    """The grouped function for a view of one segment of wide fingerprints: links of rows that differ in at most `budget` bits of it and in at most `most` of all. A pair counts in the first
+    view that shows it only; starts: the first task of each view.
 
     Of those within `sure` bits, and of the others, which shingles have to decide, only as many are given (`now`) as would keep groups together if all held; rows that have others besides are given as links to themselves.
     Where the groups that links have made are known (column c), all links between different groups are given instead."""
@@ -286,6 +294,7 @@ def _wide_task(segments: int, upper: int, budget: int, sure: int, most: int, kno
         k, side = t.column("k").to_numpy().view(np.uint64), t.column("side").to_numpy()
         sig = np.stack([t.column(f"f{s}").to_numpy() for s in range(segments)], axis=1).view(np.uint64)
         ids = t.column("id").to_numpy()
+        view = int(np.searchsorted(starts, t.column("task")[0].as_py(), "right")) - 1
         order = np.lexsort((k, side))
         k, side, sig, ids = k[order], side[order], sig[order], ids[order]
         group = t.column("c").to_numpy()[order] if known else ids
@@ -309,7 +318,9 @@ def _wide_task(segments: int, upper: int, budget: int, sure: int, most: int, kno
 
         for i, j in trie_pairs(a, b if len(b) else None, upper, budget, 0, 16):
             j = j + (cut_at if len(b) else 0)
-            d = bits(i, j)
+            x = sig[i] ^ sig[j]
+            d, mine = np.bitwise_count(x).sum(axis=1, dtype=np.int64), _first_view(x, upper, budget) == view
+            i, j, d = i[mine], j[mine], d[mine]
             if known:
                 open_ = (d <= most) & (group[i] != group[j])
             else:
@@ -354,14 +365,15 @@ def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budge
     counts: dict[int, dict[int, int]] = {}
     for view, prefix, n in keyed.groupBy("view", "prefix").count().collect():  # at most 2 ** depth rows a view
         counts.setdefault(view, {})[prefix] = n
-    rows, tasks = [], 0
+    rows, tasks, starts = [], 0, []
     for view in range(len(keys)):
+        starts.append(tasks)
         got, more = _routes(counts[view], depth, size, budget // 4)
         rows += [(view, p, part, parts, [(tasks + t, side) for t, side in goes]) for p, part, parts, goes in got]
         tasks += more
     routes = F.broadcast(spark.createDataFrame(rows, "view int, prefix long, part int, parts int, goes array<struct<task:int,side:int>>"))
     dealt = keyed.join(routes, ["view", "prefix"]).where("pmod(xxhash64(id), parts) = part").select(*held, "k", F.explode("goes").alias("g"))
-    run = _wide_task(segments, budget // 4, budget, int(share * bits - slack), int(share * bits + slack), known)
+    run = _wide_task(segments, starts, budget // 4, budget, int(share * bits - slack), int(share * bits + slack), known)
     return dealt.select(*held, "k", "g.task", "g.side").groupBy("task").applyInArrow(run, "a long, b long, now boolean")
 
 
