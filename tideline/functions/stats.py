@@ -77,6 +77,15 @@ def p_of_t(stat, df):
     return F.pandas_udf(p, T.DoubleType())(stat, df)
 
 
+def p_of_ranks(differences):
+    """Two-sided signed-rank p-value of a column of arrays; null for fewer than 5 differences, or where all are 0."""
+
+    def p(d: pd.Series) -> pd.Series:
+        return pd.Series([wilcoxon(x)[1] if len(x) >= 5 and np.any(x != 0) else None for x in map(np.asarray, d)], dtype=float)
+
+    return F.pandas_udf(p, T.DoubleType())(differences)
+
+
 def block_bootstrap(calls_a, calls_b, truth, draws: int = 1000, block: int = 24, seed: int = 0) -> tuple[float, float, float]:
     """5th and 95th percentile of the difference in balanced accuracy over moving-block resamples, and the share of draws at or below 0."""
     ok = {k: (np.stack([calls_a, calls_b]) == k) for k in (-1, 0, 1)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions import windows as W
 from tideline.operators import labelers as L
 from tideline.operators import metrics as M
+from tideline.operators import scoring as C
 from tideline.sources.series import numbered
 
 #: Series that move against the target.
@@ -56,9 +57,13 @@ def lead_lag(x: DataFrame, y: DataFrame, inverted: tuple[str, ...] = INVERTED) -
     return conc.select("x", "y", "share0", F.col("b.share").alias("best_share"), (-F.col("b.neg")).alias("best_lag")).join(near, ["x", "y"], "left")
 
 
-def frontier(forecasts: DataFrame, truth: DataFrame, thetas: tuple[float, ...]) -> DataFrame:
-    """Event scores of hysteresis calls for each threshold."""
-    rows = forecasts.withColumn("theta", F.explode(F.array(*map(F.lit, thetas))))
-    called = M.hysteresis_calls(rows, F.col("theta"), ("series_id", "theta")).select("series_id", "theta", "t", "call")
-    true = truth.withColumn("theta", F.explode(F.array(*map(F.lit, thetas))))
-    return M.event_metrics(called, true, ["series_id", "theta"])
+#: The thresholds of a frontier.
+THETAS = (0.0, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90)
+
+
+def frontier(forecasts: DataFrame, truth: DataFrame, thetas: tuple[float, ...] = THETAS, keys: tuple[str, ...] = ("series_id",), plain: tuple[str, ...] = ()) -> DataFrame:
+    """Scores of turning points and balanced accuracy of hysteresis calls by (keys, theta, h), for forecasts (keys, h, t, probabilities); detectors named in `plain`, whose calls are certain, only at the first threshold."""
+    rows = forecasts.fillna(1 / 3, subset=C.PROBABILITIES).withColumn("theta", F.explode(F.array(*map(F.lit, thetas))))
+    rows = rows.where((F.col("theta") == thetas[0]) | ~F.col("detector").isin(*plain)) if plain else rows
+    called = M.hysteresis_calls(rows, F.col("theta"), (*keys, "h", "theta"))
+    return C.event_scores(called, truth, [*keys, "theta"])

@@ -91,23 +91,6 @@ def false_alarms(called: DataFrame, truth: DataFrame, keys: list[str], h: int =
     return eps.join(near, [*keys, "run_no"], "left_anti")
 
 
-def event_metrics(called: DataFrame, truth: DataFrame, keys: list[str], h: int = 0) -> DataFrame:
-    """Turning-point scores by keys."""
-    d = event_delays(called, truth, keys, h)
-    late = lambda k: F.avg((F.coalesce("delay", F.lit(99)) <= k).cast("double"))
-    ev = d.groupBy(*keys).agg(F.count("*").alias("n_events"), F.avg(F.col("delay").isNotNull().cast("double")).alias("hit_rate"), F.median("delay").alias("delay_med"), F.avg("delay").alias("delay_mean"), late(3).alias("within3"), late(6).alias("within6"), F.avg("capture").alias("capture"))
-    target = called.select(*keys, (F.col("t") + h).alias("t"), "call")
-    by = Window.partitionBy(*keys).orderBy("t")
-    both = target.join(truth.select(*keys, "t", "truth"), [*keys, "t"])
-    both = both.withColumn("f", (F.col("call") != F.lag("call").over(by)).cast("int")).withColumn("g", (F.col("truth") != F.lag("truth").over(by)).cast("int"))
-    years = F.count("*") / 12
-    flips = both.groupBy(*keys).agg((F.coalesce(F.sum("f"), F.lit(0)) / years).alias("flips_yr"), (F.coalesce(F.sum("g"), F.lit(0)) / years).alias("truth_flips_yr"), years.alias("years"))
-    eps = W.runs(target, "call", tuple(keys)).where("call <> 0").groupBy(*keys).agg(F.count("*").alias("eps"))
-    fa = false_alarms(called, truth, keys, h).groupBy(*keys).agg(F.count("*").alias("fa"))
-    out = flips.join(ev, keys, "left").join(eps, keys, "left").join(fa, keys, "left").fillna(0, subset=["n_events", "eps", "fa"])
-    return out.select(*keys, "n_events", "hit_rate", "delay_med", "delay_mean", "within3", "within6", "capture", (10 * F.col("fa") / F.col("years")).alias("false_alarms_10y"), ((F.col("eps") - F.col("fa")) / F.nullif("eps", F.lit(0))).alias("precision"), "flips_yr", "truth_flips_yr")
-
-
 def pnl_metrics(called: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     """Trading the call against the next month's change (keys, t, value): long when down is called."""
     by = Window.partitionBy(*keys).orderBy("t")
@@ -117,14 +100,6 @@ def pnl_metrics(called: DataFrame, values: DataFrame, keys: list[str]) -> DataFr
     return rows.groupBy(*keys).agg((12 * F.avg("pnl")).alias("pnl_bp_yr"), F.when(sd > 0, F.sqrt(F.lit(12.0)) * F.avg("pnl") / sd).alias("sharpe"), F.avg(F.when(F.col("call") != 0, (F.col("pnl") > 0).cast("double"))).alias("hit"), F.avg((F.col("call") != 0).cast("double")).alias("exposure"))
 
 
-def score(forecasts: DataFrame, truth: DataFrame, keys: list[str], h: int = 0) -> DataFrame:
-    """All scores of forecasts made at t for t + h: month, event and, for h = 0, trading metrics. Events take null forecasts as even."""
-    target = forecasts.select(*keys, "t", "p_down", "p_side", "p_up").withColumn("m", F.col("t") + h).join(truth.select(*keys, F.col("t").alias("m"), "truth"), [*keys, "m"])
-    even = target.fillna(1 / 3, subset=["p_down", "p_side", "p_up"]).select(*keys, "t", calls().alias("call"))
-    out = month_metrics(target.select(*keys, "t", "p_down", "p_side", "p_up", "truth"), keys).join(event_metrics(even, truth, keys, h), keys)
-    return out.join(pnl_metrics(even, truth, keys), keys) if h == 0 else out
-
-
 def dm_statistic(rows: DataFrame, keys: list[str], h: int = 0) -> DataFrame:
     """Diebold-Mariano statistic of the mean of d (keys, t, d), with Bartlett weights to lag h + 11 and the small-sample factor: (keys, n, mean_d, stat)."""
     by = Window.partitionBy(*keys)

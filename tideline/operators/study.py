@@ -1,115 +1,45 @@
-"""Studies: matched comparisons, leaderboards, leave-one-out, and findings read off their tables."""
+"""Scores and comparisons of a few detectors' forecasts; `matrix` runs the whole study."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions import stats
-from tideline.operators import metrics as M
-from tideline.operators import walkforward as G
+from tideline.operators import matrix as X
+from tideline.operators import scoring as C
 from tideline.operators.tables import written
 
-DELTAS = ["bal_acc", "bss", "brier", "auc_up", "auc_down", "delay_med", "delay_mean", "hit_rate", "capture", "false_alarms_10y", "precision", "flips_yr"]
-TRADED = ["pnl_bp_yr", "sharpe"]
-
 
 def scored(forecasts: DataFrame, truth: DataFrame, h: int = 0) -> DataFrame:
-    """All metrics by (series_id, detector) of forecasts at horizon h; truth is (series_id, t, truth, value)."""
-    at = forecasts.where(F.col("h") == h)
-    true = at.select("series_id", "detector").distinct().join(truth, "series_id")
-    return M.score(at, true, ["series_id", "detector"], h)
+    """All scores by (series_id, detector) of forecasts at horizon h; truth is (series_id, t, truth, value)."""
+    return leaderboard(forecasts, truth, (h,)).drop("h")
 
 
 def leaderboard(forecasts: DataFrame, truth: DataFrame, horizons: tuple[int, ...] = (0, 3)) -> DataFrame:
-    forecasts, truth = written(forecasts, "forecasts"), written(truth, "truth")  # every metric reads them; the fits behind them run once
-    out = None
-    for h in horizons:
-        s = scored(forecasts, truth, h).withColumn("h", F.lit(h))
-        out = s if out is None else out.unionByName(s, allowMissingColumns=True)
-    return out
-
-
-def compare(forecasts: DataFrame, truth: DataFrame, a: str, b: str, h: int = 0, draws: int = 500) -> DataFrame:
-    """Detector a against b on the same months, by series: differences of metrics, Diebold-Mariano on Brier scores, block bootstrap of balanced accuracy, signed ranks of delays."""
-    truth = written(truth, "truth")
-    at = written(forecasts.where((F.col("h") == h) & F.col("detector").isin(a, b)), "pair")
-    s = written(scored(at, truth, h), "scored")
-    names = [c for c in DELTAS + TRADED if c in s.columns]
-    left = s.where(F.col("detector") == a).select("series_id", *[F.col(c).alias(f"a_{c}") for c in names])
-    right = s.where(F.col("detector") == b).select("series_id", *[F.col(c).alias(f"b_{c}") for c in names])
-    delta = left.join(right, "series_id").select("series_id", *[(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"d_{c}") for c in names])
-    rows = at.withColumn("m", F.col("t") + h).join(truth.select("series_id", F.col("t").alias("m"), "truth"), ["series_id", "m"])
-    brier = sum((F.pow(F.col(p) - (F.col("truth") == k).cast("double"), 2) for k, p in M.CLASSES), F.lit(0.0))
-    rows = rows.select("series_id", "detector", "t", "truth", M.calls().alias("call"), brier.alias("brier"))
-    one = lambda d, x: rows.where(F.col("detector") == d).select("series_id", "t", "truth", F.col("call").alias(f"call_{x}"), F.col("brier").alias(f"brier_{x}"))
-    pair = one(a, "a").join(one(b, "b").drop("truth"), ["series_id", "t"])
-    dm = M.dm_statistic(pair.select("series_id", "t", (F.col("brier_a") - F.col("brier_b")).alias("d")), ["series_id"], h)
-    dm = dm.select("series_id", F.col("mean_d").alias("dm_brier_diff"), F.col("stat"), "n").withColumn("p_dm", stats.p_of_t(F.col("stat"), (F.col("n") - 1).cast("double"))).drop("n", "stat")
-
-    def boot(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        lo, hi, p = stats.block_bootstrap(pdf["call_a"].to_numpy(), pdf["call_b"].to_numpy(), pdf["truth"].to_numpy(), draws)
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "ci_low": [lo], "ci_high": [hi], "p_boot": [p]})
-
-    ci = pair.select("series_id", "t", "truth", "call_a", "call_b").groupBy("series_id").applyInPandas(boot, "series_id string, ci_low double, ci_high double, p_boot double")
-    called = rows.select("series_id", "detector", F.col("t"), "call")
-    true = called.select("series_id", "detector").distinct().join(truth, "series_id")
-    delays = M.event_delays(called, true, ["series_id", "detector"], h)
-    both = delays.groupBy("series_id", "event").agg(F.max(F.when(F.col("detector") == a, F.col("delay"))).alias("da"), F.max(F.when(F.col("detector") == b, F.col("delay"))).alias("db"))
-
-    def ranks(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf["da"] - pdf["db"]).dropna().to_numpy(float)
-        p = stats.wilcoxon(d)[1] if len(d) >= 5 and np.any(d != 0) else None
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "p_wilcoxon_delay": [p]}).astype({"p_wilcoxon_delay": "float64"})
-
-    w = both.select("series_id", F.col("da").cast("double").alias("da"), F.col("db").cast("double").alias("db")).groupBy("series_id").applyInPandas(ranks, "series_id string, p_wilcoxon_delay double")
-    return delta.join(dm, "series_id", "left").join(ci, "series_id", "left").join(w, "series_id", "left").withColumns({"a": F.lit(a), "b": F.lit(b), "h": F.lit(h)})
+    """All scores by (series_id, detector, h)."""
+    return C.scores(forecasts.where(F.col("h").isin(*horizons)), truth, ["series_id", "detector"])
 
 
 def all_against(forecasts: DataFrame, truth: DataFrame, pairs: list[tuple[str, str]], h: int = 0, draws: int = 500) -> DataFrame:
-    """compare() for a list of (augmented, baseline) detectors, all in one plan: the add-one and leave-one-out studies.
+    """(series_id, a, b, h, differences and tests) for a list of pairs of detectors, all in one plan; the forecasts are written first, as scores and tests both read them."""
+    made = written(forecasts.where(F.col("h") == h).withColumn("tier", F.lit("-")), "pairs")
+    rows = [{"study": "-", "var": "-", "members": [], "label": "-", "tier": "-", "family": "-", "aug": a, "base": b} for a, b in pairs]
+    out = X.compared(made, truth, C.scores(made, truth, X.RUN), X.pair_table(forecasts.sparkSession, rows), draws)
+    tests = ["dm_brier_diff", "p_dm", "ci_low", "ci_high", "p_boot", "p_wilcoxon_delay"]
+    return out.select("series_id", F.col("aug").alias("a"), F.col("base").alias("b"), "h", *[f"d_{c}" for c in C.DIFFERENCES], *tests)
+
 
-    Each pair is a study of its own series, named by the pair's number and the series, and its detectors are just a and b in it."""
-    spark = forecasts.sparkSession
-    sides = [(f"{k}:", d, side) for k, pair in enumerate(pairs) for d, side in zip(pair, "ab")]
-    sides = F.broadcast(spark.createDataFrame(sides, "pair string, detector string, side string"))  # two rows a pair
-    own = forecasts.join(sides, "detector").withColumn("series_id", F.concat("pair", "series_id")).withColumn("detector", F.col("side")).drop("pair", "side")
-    true = truth.withColumn("pair", F.explode(F.array(*[F.lit(f"{k}:") for k in range(len(pairs))]))).withColumn("series_id", F.concat("pair", "series_id")).drop("pair")
-    names = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string"))
-    out = compare(own, true, "a", "b", h, draws).drop("a", "b").withColumn("k", F.substring_index("series_id", ":", 1).cast("int"))
-    return out.withColumn("series_id", F.expr("substr(series_id, instr(series_id, ':') + 1)")).join(names, "k").drop("k")
+def compare(forecasts: DataFrame, truth: DataFrame, a: str, b: str, h: int = 0, draws: int = 500) -> DataFrame:
+    """Detector a against b on the same months, by series."""
+    return all_against(forecasts, truth, [(a, b)], h, draws)
 
 
 def best_model(board: DataFrame, metric: str = "bss", h: int = 0) -> DataFrame:
-    """(series_id, detector, metric) of the best model at a horizon."""
-    return board.where(F.col("h") == h).groupBy("series_id").agg(F.max_by("detector", metric).alias("detector"), F.max(metric).alias(metric))
+    """(series_id, detector, metric) of the best model at a horizon; the first by name of equal ones."""
+    first = Window.partitionBy("series_id").orderBy(F.col(metric).desc_nulls_last(), "detector")
+    return board.where(F.col("h") == h).withColumn("n", F.row_number().over(first)).where("n = 1").select("series_id", "detector", metric)
 
 
 def significant(comparisons: DataFrame, level: float = 0.1, top: int = 3) -> DataFrame:
     """Gains in Brier skill with p below `level`, most certain first."""
     return comparisons.where((F.col("p_dm") < level) & (F.col("d_bss") > 0)).orderBy("p_dm").limit(top)
-
-
-def full(features: DataFrame, jobs: DataFrame, truth: DataFrame, own: tuple[str, ...], candidates: dict[str, tuple[str, ...]], setting, horizons: tuple[int, ...] = (0, 3), draws: int = 200) -> dict[str, DataFrame]:
-    """The whole study: a leaderboard of rule, own-series and all-variable models; every candidate block added alone to the own-series model; every block left out of the model with all.
-
-    Both models of a comparison learn from the first month in which the larger one's variables are all there, so that they differ in nothing but the variables.
-    """
-    every = tuple(v for block in candidates.values() for v in block)
-    detectors = [G.Climatology(), G.RuleDetector(), G.RuleDetector(False, "Rule A"), G.Supervised(own, name="Logit own"), G.SwitchingDetector(name="MS own"), G.Supervised((*own, *every), name="Logit all")]
-    matched = jobs.join(G.first_usable(features, [*own, *every]).fillna(0), "series_id")
-    board = G.run(features, matched, detectors, setting, horizons)
-    board = written(board, "board")
-    fits = board.where("detector = 'Logit all'")
-    for name, block in candidates.items():
-        from_ = jobs.join(G.first_usable(features, [*own, *block]).fillna(0), "series_id")
-        fits = fits.unionByName(G.run(features, from_, [G.Supervised(own, name=f"base of {name}"), G.Supervised((*own, *block), name=f"+{name}")], setting, horizons))
-        rest = tuple(v for v in every if v not in block)
-        fits = fits.unionByName(G.run(features, matched, [G.Supervised((*own, *rest), name=f"-{name}")], setting, horizons))
-    fits = written(fits, "fits")
-    added = all_against(fits, truth, [(f"+{name}", f"base of {name}") for name in candidates], draws=draws)
-    left_out = all_against(fits, truth, [("Logit all", f"-{name}") for name in candidates], draws=draws)
-    return {"forecasts": board, "leaderboard": leaderboard(board, truth, horizons), "add_one": added, "leave_one_out": left_out}

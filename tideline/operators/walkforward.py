@@ -144,15 +144,22 @@ class SwitchingDetector:
     labelled: bool = True
     name: str = "MS"
     l2: float = 5.0
+    as_is: tuple = ()  # inputs that drive the transitions by their level, not by its change on the year
 
     def __post_init__(self):
         self.variables = tuple(dict.fromkeys([*self.observed, *self.inputs]))
 
+    def sample(self, y, columns: dict, n: int):
+        """(observables, inputs or None) of the first n months, null where they can't be told."""
+        cols = [100 * np.diff(y[:n], prepend=np.nan)] + [np.diff(columns[c][:n], prepend=np.nan) for c in self.observed]
+        z = np.column_stack([c / pd.Series(c).rolling(36, min_periods=12).std().shift(1).to_numpy() for c in cols])
+        change = lambda x: x - np.r_[np.full(min(12, n), np.nan), x[: max(0, n - 12)]]
+        u = np.column_stack([columns[c][:n] if c in self.as_is else change(columns[c][:n]) for c in self.inputs]) if self.inputs else None
+        return z, u
+
     def predict(self, v: View):
         n = v.last + 1
-        cols = [100 * np.diff(v.y[:n], prepend=np.nan)] + [np.diff(v.columns[c][:n], prepend=np.nan) for c in self.observed]
-        z = np.column_stack([c / pd.Series(c).rolling(36, min_periods=12).std().shift(1).to_numpy() for c in cols])
-        u = np.column_stack([v.columns[c][:n] - np.r_[np.full(12, np.nan), v.columns[c][: n - 12]] for c in self.inputs]) if self.inputs else None
+        z, u = self.sample(v.y, v.columns, n)
         bad = np.isnan(z).any(axis=1) | (np.isnan(u).any(axis=1) if u is not None else False)
         # an unbroken sample: from the last gap that was known at T
         gaps = np.flatnonzero(bad[: v.T + 1])

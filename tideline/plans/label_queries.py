@@ -10,6 +10,7 @@ from tideline.functions import windows as W
 from tideline.operators import labelers as L
 from tideline.operators import leadlag as LL
 from tideline.operators import metrics as M
+from tideline.operators import scoring as C
 from tideline.plans.base import FIXED, LOW, SCALED, SQL_C1, SQL_FC, SQL_SIG, c_labels, c_one, forecasts, grid, rnd, sql_c, walk
 from tideline.plans.machine_sql import LIVE_A, LIVE_D
 
@@ -109,9 +110,29 @@ a as (select series_id, count(*) as n_events, avg((delay is not null)::int) as h
 b as (select series_id, count(*) / 12.0::double as years, sum(f) as f, sum(g) as g from (select series_id, coalesce((call <> lag(call) over w)::int, 0) as f, coalesce((truth <> lag(truth) over w)::int, 0) as g from called window w as (partition by series_id order by t)) group by 1)
 select b.series_id, coalesce(n_events, 0) as n_events, round(hit_rate, 5) as hit_rate, delay_med, round(delay_mean, 5) as delay_mean, round(within3, 5) as within3, round(within6, 5) as within6, round(capture, 5) as capture,
   round(10 * coalesce(nf, 0) / years, 5) as false_alarms_10y, round((coalesce(ne, 0) - coalesce(nf, 0)) / nullif(coalesce(ne, 0), 0)::double, 5) as precision, round(f / years, 5) as flips_yr, round(g / years, 5) as truth_flips_yr
-from b left join a using (series_id) left join (select series_id, count(*) as ne from eps group by 1) using (series_id) left join (select series_id, count(*) as nf from fa group by 1) using (series_id)""")(lambda s, d: rounded(M.event_metrics(called(s, d), forecasts(s, d), KEY), 5))
+from b left join a using (series_id) left join (select series_id, count(*) as ne from eps group by 1) using (series_id) left join (select series_id, count(*) as nf from fa group by 1) using (series_id)""")(lambda s, d: rounded(C.event_scores(called(s, d).withColumn("h", F.lit(0)), forecasts(s, d).drop("p_down", "p_side", "p_up"), KEY).drop("h", "bal_acc"), 5))
 query("x05_pnl", f"with {SQL_FC}, p as (select series_id, call, call * (lead(value) over (partition by series_id order by t) - value) * 100 as pnl from called) select series_id, round(12 * avg(pnl), 5) as pnl_bp_yr, round(case when stddev_samp(pnl) > 0 then sqrt(12) * avg(pnl) / stddev_samp(pnl) end, 5) as sharpe, round(avg(case when call <> 0 then (pnl > 0)::int end), 5) as hit, round(avg((call <> 0)::int), 5) as exposure from p where pnl is not null group by 1")(lambda s, d: rounded(M.pnl_metrics(called(s, d), walk(s, d), KEY), 5))
-query("x06_score")(lambda s, d: rounded(M.score(forecasts(s, d), forecasts(s, d), KEY), 5))
+
+
+def score_parts(*names):
+    """The SQL of queries as the CTEs they are, with the columns of each."""
+    return ", ".join(f"{n} as ({SQL[n]})" for n in names)
+
+
+def scored(s, d):
+    f = forecasts(s, d)
+    return C.scores(f.select("series_id", F.lit(0).alias("h"), "t", *C.PROBABILITIES), f.select("series_id", "t", "truth", "value"), KEY)
+
+
+def score_columns(s, d):
+    out = scored(s, d).drop("h", "auc_down")
+    digits = lambda c: 6 if c == "auc_up" else 5
+    return out.select(*[rnd(F.col(c) + (1e-9 if c == "brier" else 0.0), digits(c)).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes])
+
+
+query("x06_score", f"""with {score_parts('x02_auc', 'x03_month_metrics', 'x04_event_metrics', 'x05_pnl')}
+select x03_month_metrics.*, x02_auc.auc as auc_up, x04_event_metrics.* exclude (series_id), x05_pnl.* exclude (series_id)
+from x03_month_metrics join x02_auc using (series_id) join x04_event_metrics using (series_id) join x05_pnl using (series_id)""")(score_columns)
 query("x07_dm_statistic", f"""with {SQL_FC}, l as (select series_id, t, power(p_up - (truth = 1)::int, 2) - power(p_down - (truth = -1)::int, 2) as d from fc),
 x as (select *, row_number() over (partition by series_id order by t) as i, count(*) over (partition by series_id) as n, avg(d) over (partition by series_id) as m, d - avg(d) over (partition by series_id) as dc from l),
 k as (select unnest(range(0, 12)) as k),
@@ -128,7 +149,16 @@ def hysteresis(s, d):
 
 
 query("x11_hysteresis", f"with {_HYS} select series_id, theta, t, call from hyst")(lambda s, d: hysteresis(s, d).select("series_id", "theta", "t", "call"))
-query("x12_frontier")(lambda s, d: rounded(LL.frontier(forecasts(s, d), forecasts(s, d), (0.0, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6)), 5))
+# Every threshold is a series of its own here, so that the SQL of x04 holds for each.
+_BY_THETA = SQL_FC.replace(SQL_C1, sql_c(FIXED) + f""", th as (select unnest([{", ".join(map(str, LL.THETAS))}])::double as theta),
+c1 as (select c.series_id || '@' || theta as series_id, t, month, value, label from c cross join th),
+crun0 as (select *, case when label is not distinct from lag(label) over (partition by series_id order by t) then 0 else 1 end as new from c1),
+crun as (select series_id, t, month, value, label, (sum(new) over (partition by series_id order by t) - 1)::int as run_no from crun0)""").replace("called as (", "likely as (") + """,
+firmly as (select *, split_part(series_id, '@', 2)::double as theta, case call when -1 then p_down when 0 then p_side else p_up end as top from likely),
+firm as (select * exclude (call), case when row_number() over (partition by series_id order by t) = 1 or theta <= 0 or top >= theta then call end as firm from firmly),
+called as (select * exclude (firm), last_value(firm ignore nulls) over (partition by series_id order by t) as call from firm)"""
+query("x12_frontier", SQL["x04_event_metrics"].replace(SQL_FC, _BY_THETA).replace("select b.series_id,", "select split_part(b.series_id, '@', 1) as series_id, split_part(b.series_id, '@', 2)::double as theta,").replace("from b left join a", "round(bal_acc, 5) as bal_acc from b join (select series_id, avg(r) as bal_acc from (select series_id, avg((call = truth)::int) as r from called group by series_id, truth) group by 1) using (series_id) left join a").replace("as truth_flips_yr", "as truth_flips_yr,"))(
+    lambda s, d: rounded(LL.frontier(forecasts(s, d).withColumn("h", F.lit(0)).drop("truth", "value"), forecasts(s, d).select("series_id", "t", "truth", "value")).drop("h"), 5))
 _TURN = _EV.replace("where label <> 0", "where label <> 0 and run_no > 0")
 query("x13_turns", f"with {SQL_C1}{_TURN} select series_id, start as t, dir from ev")(lambda s, d: LL.turns(c_one(s, d)))
 query("j07_nearest_turn", f"with {SQL_C1}{_TURN}, p as (select a.series_id as x, b.series_id as y, b.start as t, b.dir, a.start - b.start as lead, row_number() over (partition by a.series_id, b.series_id, b.start order by abs(a.start - b.start), a.start - b.start) as n from ev a join ev b on a.dir = b.dir and a.series_id <> b.series_id and abs(a.start - b.start) <= 12) select x, y, t, dir, lead from p where n = 1")(lambda s, d: LL.nearest_turns(LL.turns(c_one(s, d)), LL.turns(c_one(s, d))))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators import labelers as L
-from tideline.plans import label_queries, series_queries, stream_queries, study_queries
+from tideline.plans import label_queries, matrix_queries, series_queries, stream_queries, study_queries
 from tideline.plans.base import FIXED, grid, walk
 
-QUERIES: dict = {**series_queries.Q, **label_queries.Q, **study_queries.Q, **stream_queries.Q}
-ORACLE_SQL: dict[str, str] = {**series_queries.SQL, **label_queries.SQL, **study_queries.SQL, **stream_queries.SQL}
+QUERIES: dict = {**series_queries.Q, **label_queries.Q, **study_queries.Q, **matrix_queries.Q, **stream_queries.Q}
+ORACLE_SQL: dict[str, str] = {**series_queries.SQL, **label_queries.SQL, **study_queries.SQL, **matrix_queries.SQL, **stream_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

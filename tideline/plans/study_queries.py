@@ -82,6 +82,4 @@ query("x18_leaderboard")(lambda s, d: S.leaderboard(forecasts(s, d, [*rules(), G
 query("x09_compare")(lambda s, d: S.compare(forecasts(s, d, [*rules(), G.Supervised(OWN, name="Logit own")]), evaluated_truth(s, d), "Logit own", "Climatology", draws=200))
 query("x17_add_one")(lambda s, d: S.all_against(forecasts(s, d, [G.Supervised(OWN, name="base"), G.Supervised((*OWN, "x"), name="base+x"), G.RuleDetector(), G.CompositeRule("x")]), evaluated_truth(s, d), [("base+x", "base"), ("Rule+x", "Rule D")], draws=100))
 query("x20_findings")(lambda s, d: S.best_model(S.leaderboard(forecasts(s, d, rules()), evaluated_truth(s, d), (0,))))
-query("z05_full_study_add_one")(lambda s, d: S.full(features(s, d), G.schedule(bounds(s, d)), evaluated_truth(s, d), OWN, {"x": ("x",)}, SETTING, (0,), 50)["add_one"])
-query("z05_full_study_leave_one_out")(lambda s, d: S.full(features(s, d), G.schedule(bounds(s, d)), evaluated_truth(s, d), OWN, {"x": ("x",)}, SETTING, (0,), 50)["leave_one_out"])
 query("x14_own_truth")(lambda s, d: LL.own_truth(levels(s, d), grid(s, FIXED)))
