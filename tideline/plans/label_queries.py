@@ -143,9 +143,12 @@ _HYS = SQL_FC + """, th as (select unnest([0.0, 0.4, 0.5, 0.6])::double as theta
 hyst as (select series_id, theta, t, last_value(firm ignore nulls) over (partition by series_id, theta order by t) as call from hx)"""
 
 
+def with_thetas(rows):
+    return rows.withColumn("theta", F.explode(F.array(*map(F.lit, (0.0, 0.4, 0.5, 0.6)))))
+
+
 def hysteresis(s, d):
-    rows = forecasts(s, d).withColumn("theta", F.explode(F.array(*map(F.lit, (0.0, 0.4, 0.5, 0.6)))))
-    return M.hysteresis_calls(rows, F.col("theta"), ("series_id", "theta"))
+    return M.hysteresis_calls(with_thetas(forecasts(s, d)), F.col("theta"), ("series_id", "theta"))
 
 
 query("x11_hysteresis", f"with {_HYS} select series_id, theta, t, call from hyst")(lambda s, d: hysteresis(s, d).select("series_id", "theta", "t", "call"))

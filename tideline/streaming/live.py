@@ -24,7 +24,7 @@ def monthly(events: DataFrame, ts: str, value: Column, key: Column, late: str =
 
 
 class Follower:
-    """A machine that reads months one by one and keeps only what later months can ask for: the months since its segment began and the last 36 changes.
+    """A machine that reads months one by one and keeps only what later months can ask for: at most `max(cap, min_len, stall)` and one months, and the last 36 changes.
 
     Volatility is causal: of the changes so far in the first 24 months, where there are 6.
     """
@@ -34,6 +34,9 @@ class Follower:
         self.t, self.last_month, self.y, self.sigma, self.changes = -1, "", [], [], []
         self.machine = None
 
+    def new_machine(self) -> K.Machine:
+        return K.Machine(K.Rule(self.setting, self.sigma), self.legs, 12 if self.legs else 6)
+
     def read(self, value: float) -> int:
         if self.y:
             self.changes.append(value - self.y[-1])
@@ -42,38 +45,46 @@ class Follower:
         self.changes = d
         self.y.append(value)
         self.sigma.append(float(np.std(d, ddof=1)) if len(d) >= 6 else float("nan"))
-        rule = K.Rule(self.setting, self.sigma)
         if self.machine is None:
-            self.machine = K.Machine(rule, self.legs, 12 if self.legs else 6)
+            self.machine = self.new_machine()
             return 0
         m = self.machine
-        m.rule = rule
+        m.rule = K.Rule(self.setting, self.sigma)
         m.step(np.asarray(self.y), len(self.y) - 1)
-        drop = min(m.start, m.extreme, m.turn) if m.state else m.start
-        if drop:
+        drop = min(m.needed(), len(self.y) - 1)
+        if drop > 0:
             self.y, self.sigma = self.y[drop:], self.sigma[drop:]
-            m.start, m.extreme, m.turn, m.confirmed = m.start - drop, m.extreme - drop, m.turn - drop, m.confirmed - drop
+            m.shifted(drop)
         return m.state
 
-    def dump(self) -> str:
+    def parts(self) -> tuple[dict, list[tuple[float, float | None]]]:
+        """(what is one value each, the kept months as (value, volatility))"""
         m = self.machine
-        kept = {k: getattr(self, k) for k in ("t", "last_month", "y", "sigma", "changes")}
-        kept["machine"] = None if m is None else {k: (float if k == "origin" else int)(getattr(m, k)) for k in ("state", "start", "extreme", "confirmed", "turn", "origin")}
-        return json.dumps(kept)
+        one = {"t": self.t, "last_month": self.last_month, "changes": [float(c) for c in self.changes], "state": None if m is None else int(m.state)}
+        if m is not None:
+            one |= {k: int(getattr(m, k)) for k in m.MONTHS} | {k: float(getattr(m, k)) for k in m.LEVELS}
+        return one, [(float(v), None if s != s else float(s)) for v, s in zip(self.y, self.sigma)]
+
+    def restored(self, one: dict, months: list) -> Follower:
+        self.t, self.last_month, self.changes = one["t"], one["last_month"], list(one["changes"])
+        self.y, self.sigma = [m[0] for m in months], [float("nan") if m[1] is None else m[1] for m in months]
+        if one["state"] is not None:
+            self.machine = self.new_machine()
+            self.machine.state = one["state"]
+            for k in (*K.Machine.MONTHS, *K.Machine.LEVELS):
+                setattr(self.machine, k, one[k])
+        return self
+
+    def dump(self) -> str:
+        return json.dumps(self.parts())
 
     def load(self, text: str) -> Follower:
-        kept = json.loads(text)
-        state = kept.pop("machine")
-        self.__dict__.update(kept)
-        if state is not None:
-            self.machine = K.Machine(K.Rule(self.setting, self.sigma), self.legs, 12 if self.legs else 6)
-            self.machine.__dict__.update(state)
-        return self
+        return self.restored(*json.loads(text))
 
 
 def live_states(months: DataFrame, setting: K.Setting, legs: bool = True) -> DataFrame:
     """The state of each series as its months arrive (series_id, month, value). Months that aren't after a series' last one, and null values, are passed over: a machine can't be
-    rewound. A series' state is small in a trend and grows with the length of a sideways box."""
+    rewound. A series' state doesn't grow, however long a trend or a sideways box lasts."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         f = Follower(setting, legs)
