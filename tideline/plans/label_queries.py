@@ -12,6 +12,7 @@ from tideline.operators import leadlag as LL
 from tideline.operators import metrics as M
 from tideline.operators import scoring as C
 from tideline.plans.base import FIXED, LOW, SCALED, SQL_C1, SQL_FC, SQL_SIG, c_labels, c_one, forecasts, grid, rnd, sql_c, walk
+from tideline.plans import machine_sql as MS
 from tideline.plans.machine_sql import LIVE_A, LIVE_D
 
 Q: dict = {}
@@ -46,16 +47,17 @@ query("m04_method_c", f"with {sql_c(FIXED, LOW)} select series_id, setting_id, '
 query("m04_method_c_scaled", f"with {sql_c(SCALED)} select series_id, setting_id, 'C' as method, t, label from c")(lambda s, d: L.method_c(walk(s, d), grid(s, SCALED)))
 query("m04_method_c_causal")(lambda s, d: L.method_c_causal(walk(s, d), grid(s)))
 for _m, _name in (("A", "m01_machine"), ("D", "m05_retracement"), ("B", "m03_piecewise"), ("E", "m07_kalman"), ("F", "m12_l1"), ("G", "m15_swings")):
-    query(f"{_name}_segments")(lambda s, d, m=_m: L.machine_segments(walk(s, d), grid(s), (m,)))
-    query(f"{_name}_labels")(lambda s, d, m=_m: L.machine_labels(walk(s, d), grid(s), (m, f"{m}_rt") if m in "ADEF" else (m,)))
+    _sql = (lambda f, legs: f(legs, FIXED, SCALED)) if _m in "AD" else lambda f, legs: None
+    query(f"{_name}_segments", _sql(MS.segments_sql, _m == "D"))(lambda s, d, m=_m: L.machine_segments(walk(s, d), grid(s), (m,)))
+    query(f"{_name}_labels", _sql(MS.labels_sql, _m == "D"))(lambda s, d, m=_m: L.machine_labels(walk(s, d), grid(s), (m, f"{m}_rt") if m in "ADEF" else (m,)))
 query("m01_live_a", LIVE_A)(lambda s, d: L.machine_labels(walk(s, d), grid(s, FIXED), ("A_rt",)))
 query("m05_live_d", LIVE_D)(lambda s, d: L.machine_labels(walk(s, d), grid(s, FIXED), ("D_rt",)))
 query("m02_pieces")(lambda s, d: L.pieces(walk(s, d), grid(s, FIXED)))
 query("m10_l1_levels")(lambda s, d: L.levels(walk(s, d), grid(s, FIXED), "l1"))
 query("m13_l1_live_levels")(lambda s, d: L.levels(walk(s, d), grid(s, FIXED), "l1_live"))
 query("m16_all_methods")(lambda s, d: L.machine_labels(walk(s, d), grid(s)).unionByName(L.method_c(walk(s, d), grid(s))))
-query("fin_end_states")(lambda s, d: L.end_states(walk(s, d), grid(s)))
-query("t09_triggers")(lambda s, d: L.triggers(walk(s, d), grid(s), L.end_states(walk(s, d), grid(s))))
+query("fin_end_states", f"with {MS.ex_post(True, FIXED, SCALED)}, {MS.FIN} select * from fin")(lambda s, d: L.end_states(walk(s, d), grid(s)))
+query("t09_triggers", MS.triggers_sql(FIXED, SCALED))(lambda s, d: L.triggers(walk(s, d), grid(s), L.end_states(walk(s, d), grid(s))).withColumns({c: rnd(c, 6) for c in ("up_trigger", "down_trigger", "flip_level")}))
 # The Kalman filter's gains don't depend on data: level and slope are linear in it, so a recursive CTE can follow.
 query("m06_kalman_filter", f"""with recursive {SQL_SIG},
 k(series_id, t, l, s, a, b, c) as (

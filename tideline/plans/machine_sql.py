@@ -35,3 +35,143 @@ m(series_id, t, state, start, ext, rc, imp) as (
       select *, {BREAKOUT} as b, case when state * (y1 - ys[rc + 1]) < 0 then t + 1 else rc end as rc1
       from (select m.*, ys, ys[t + 2] as y1, state * (ys[t + 2] - ys[ext + 1]) as ahead from m join lists using (series_id) where t + 1 < n))))
 select series_id, 'fixed1' as setting_id, 'D_rt' as method, t::int as t, state::int as label from m"""
+
+
+# ---- both machines under any settings, their ex-post segments, and what is read off them
+
+#: Rounds of labelling and merging that are written out; each merges all equal neighbours, so a few settle a short series.
+ROUNDS = 8
+CAUSAL = "case when t between 1 and 24 then case when count(dy) over sofar >= 6 then stddev_samp(dy) over sofar end else {rolled} end"
+
+
+def source(base: str, causal: bool = False) -> str:
+    """src (series_id, t, value, sig) of the rows (series_id, t, value) that `base` selects."""
+    rolled = "case when count(dy) over last36 >= 24 then stddev_samp(dy) over last36 else stddev_samp(dy) filter (where t between 1 and 24) over (partition by series_id) end"
+    sig = CAUSAL.format(rolled=rolled) if causal else rolled
+    return f"""
+src0 as ({base}),
+src1 as (select *, value - lag(value) over (partition by series_id order by t) as dy from src0),
+src as (select series_id, t, value, {sig} as sig from src1
+  window last36 as (partition by series_id order by t rows between 35 preceding and current row), sofar as (partition by series_id order by t))"""
+
+
+def config(*rows: dict) -> str:
+    values = ", ".join(f"('{r['setting_id']}', {r.get('thr', 1.0)}::double, {str(r.get('scaled', False)).lower()}, {r.get('z', 2.0)}::double, {r.get('min_len', 0)}, {r.get('cap', 12)})" for r in rows)
+    return f"cfg as (select * from (values {values}) as v(setting_id, thr, scaled, z, min_len, cap))"
+
+
+def req(a: str, b: str, sigma: str) -> str:
+    return f"(case when scaled then greatest(thr, z * {sigma} * sqrt(least(greatest({b} - {a}, 1), cap)::double)) else thr end)"
+
+
+def machine(legs: bool, m: str = "m") -> str:
+    """ml (series_id, setting_id, lists) and m (series_id, setting_id, t, state, start, ext, rc, imp), month by month, from src and cfg."""
+    at = lambda i: f"ys[{i} + 1]"
+    need = lambda a, b: req(a, b, f"sg[least({b}, n - 1) + 1]")
+    rho = "0.618::double" if legs else "0::double"
+    leg = f"state * ({at('ext')} - {at('rc1')}) >= {need('ext', 'rc1')} - 1e-12::double and rc1 - ext >= min_len" if legs else "false"
+    best = f"list_sort(list_transform(range(start, t + 2 - greatest(min_len, 1)), lambda s: struct_pack(low := -round(abs(y1 - ys[s + 1]) / {need('s', '(t + 1)')}, 9), s := s)))[1]"
+    deepest = "list_sort(list_transform(range(rc1, t + 2), lambda k: struct_pack(low := -state * ys[k + 1], k := k)))[1].k"
+    return f"""
+{m}l as (select s.*, cfg.* from (select series_id, list(value order by t) as ys, list(sig order by t) as sg, count(*) as n from src group by 1) s cross join cfg),
+{m}(series_id, setting_id, t, state, start, ext, rc, imp) as (
+  select series_id, setting_id, 0::bigint, 0, 0::bigint, 0::bigint, 0::bigint, 0::double from {m}l
+  union all
+  select series_id, setting_id, t + 1,
+    case what when 'out' then case when y1 > {at('b.s')} then 1 else -1 end when 'flip' then -state when 'leg' then -state when 'side' then 0 else state end,
+    case what when 'out' then b.s when 'flip' then ext when 'leg' then ext when 'side' then ext else start end,
+    case what when 'out' then t + 1 when 'new' then t + 1 when 'flip' then t + 1 when 'leg' then rc1 else ext end,
+    case what when 'out' then t + 1 when 'new' then t + 1 when 'flip' then t + 1 when 'leg' then {deepest} when 'none' then rc else rc1 end,
+    case what when 'out' then {at('b.s')} when 'new' then case when {str(legs).lower()} and state * ({at('ext')} - {at('rc')}) >= {need('ext', 'rc')} / 2 - 1e-12::double then {at('rc')} else imp end
+      when 'flip' then {at('ext')} when 'leg' then {at('ext')} else imp end
+  from (
+    select *, case when state = 0 then case when -b.low >= 1 - 1e-9::double then 'out' else 'none' end when ahead >= 0 then 'new'
+      when -ahead >= greatest({need('ext', '(t + 1)')}, {rho} * state * ({at('ext')} - imp)) - 1e-12::double and t + 1 - ext >= min_len then 'flip'
+      when t + 1 - ext >= {12 if legs else 6} then case when {leg} then 'leg' else 'side' end else 'wait' end as what
+    from (
+      select *, {best} as b, case when state * (y1 - {at('rc')}) < 0 then t + 1 else rc end as rc1
+      from (select {m}.*, ys, sg, n, thr, scaled, z, min_len, cap, ys[t + 2] as y1, state * (ys[t + 2] - {at('ext')}) as ahead from {m} join {m}l using (series_id, setting_id) where t + 1 < n))))"""
+
+
+def settled(m: str = "m", out: str = "seg", vintage: bool = False) -> str:
+    """seg (key, seg_no, start, end, label, confirm, open, imp): the ex-post segments of a machine's months m. With `vintage`, for each month of vint (vintage) from the months up to it; it is part of the key."""
+    key = "series_id, setting_id" + (", vintage" if vintage else "")
+    rows = f"(select {m}.*, vintage from {m} join vint on t <= vintage)" if vintage else m
+    ends = f"join src a on a.series_id = s.series_id and a.t = s.start join src b on b.series_id = s.series_id and b.t = s.\"end\" join cfg using (setting_id)"
+    label = f"case when s.\"end\" - s.start < min_len then 0 when b.value - a.value >= {req('s.start', 's."end"', 'b.sig')} - 1e-12::double then 1 when b.value - a.value <= -{req('s.start', 's."end"', 'b.sig')} + 1e-12::double then -1 else 0 end"
+    text = f"""
+{out}_spell as (select {key}, start, min(t) as first, max(t) as last, arg_max(state, t) as label, min(case when state <> 0 then t end) as conf from {rows} group by {key}, start),
+{out}_raw as (select *, lead(start) over w as nxt, lead(first) over w as closed_at, max(last) over (partition by {key}) as top from {out}_spell window w as (partition by {key} order by start)),
+{out}_first as (select {key}, start, coalesce(nxt, top) as "end", label, case when nxt is null then case when label <> 0 then conf else top end when label = 0 then closed_at else conf end as confirm, nxt is null as is_open from {out}_raw),
+{out}_bad as (select distinct {key} from (select s.*, {label} as should from {out}_first s {ends}) where not is_open and should <> label),
+{out}_0 as (select {key}, start, "end", confirm, null::double as imp, 0 as label from {out}_first semi join {out}_bad using ({key}) where not is_open)"""
+    for k in range(ROUNDS):
+        text += f""",
+{out}_l{k} as (select s.* exclude (label, imp), {label} as label, abs(b.value - a.value) as size, coalesce(s.imp, abs(b.value - a.value)) as imp from {out}_{k} s {ends}),
+{out}_i{k} as (select *, sum(new) over (partition by {key} order by start) as run from (select *, case when label is not distinct from lag(label) over (partition by {key} order by start) then 0 else 1 end as new from {out}_l{k})),
+{out}_{k + 1} as (select {key}, min(start) as start, max("end") as "end", arg_min(confirm, start) as confirm, case when count(*) = 1 then any_value(imp) else arg_max(size, start) end as imp, any_value(label) as label from {out}_i{k} group by {key}, run)"""
+    return text + f""",
+{out}_open as (select * from {out}_first semi join {out}_bad using ({key}) where is_open),
+{out}_end as (select {key}, arg_max(label, start) as tail, max(start) as tail_start from {out}_{ROUNDS} group by {key}),
+{out}_all as (
+  select {key}, start, "end", label, confirm, case when is_open then true end as open, null::double as imp from {out}_first anti join {out}_bad using ({key})
+  union all
+  select {key}, c.start, case when e.tail = o.label and c.start = e.tail_start then o."end" else c."end" end, c.label, case when e.tail = o.label and c.start = e.tail_start then o.confirm else c.confirm end,
+    case when e.tail = o.label and c.start = e.tail_start then true end, c.imp from {out}_{ROUNDS} c join {out}_open o using ({key}) join {out}_end e using ({key})
+  union all
+  select {key}, o.start, o."end", o.label, o.confirm, true, null from {out}_open o join {out}_end e using ({key}) where e.tail <> o.label),
+{out} as (select {key}, (row_number() over (partition by {key} order by start) - 1)::int as seg_no, start::int as start, "end"::int as "end", label::int as label, confirm::int as confirm, open, imp from {out}_all)"""
+
+
+def expanded(seg: str = "seg", out: str = "lab", vintage: bool = False) -> str:
+    """lab (key, t, label) of segments: months after the start; month 0 has the first segment's."""
+    key = "series_id, setting_id" + (", vintage" if vintage else "")
+    return f"""
+{out} as (select {key}, label, unnest(range(start + 1, "end" + 1))::int as t from {seg} where "end" > start union all select {key}, label, 0 from {seg} where seg_no = 0)"""
+
+
+def walk_source() -> str:
+    return SQL_WALK + "," + source("select series_id, t, value from walk")
+
+
+def ex_post(legs: bool, *settings: dict) -> str:
+    """All CTEs for the walk: src, cfg, m, seg, lab."""
+    return f"recursive {walk_source()}, {config(*settings)}, {machine(legs)}, {settled()}, {expanded()}"
+
+
+def segments_sql(legs: bool, *settings: dict) -> str:
+    name = "D" if legs else "A"
+    return f"with {ex_post(legs, *settings)} select series_id, setting_id, '{name}' as method, seg_no, start, \"end\", label, confirm, open, imp from seg"
+
+
+def labels_sql(legs: bool, *settings: dict) -> str:
+    name = "D" if legs else "A"
+    return f"with {ex_post(legs, *settings)} select series_id, setting_id, '{name}' as method, t, label from lab union all select series_id, setting_id, '{name}_rt', t::int, state::int from m"
+
+
+#: The machine after the last month, and the levels at which next month would change it.
+FIN = """
+fin as (select series_id, setting_id, state::int as state, ext::int as ext, start::int as seg_start, imp as imp_top from (select *, max(t) over (partition by series_id, setting_id) as top from m) where t = top)"""
+
+
+def triggers_sql(*settings: dict) -> str:
+    return f"""with {ex_post(True, *settings)}, {FIN},
+x as (select src.*, fin.* exclude (series_id), cfg.* exclude (setting_id), count(*) over w as n, last_value(sig) over (partition by series_id, setting_id order by t rows between unbounded preceding and unbounded following) as sig_n
+  from fin join src using (series_id) join cfg using (setting_id) window w as (partition by series_id, setting_id)),
+y as (select *, {req('t', 'n', 'sig_n')} as need, greatest({req('ext', 'n', 'sig_n')}, 0.618::double * state * (value - imp_top)) as back, state = 0 and t >= seg_start and t <= n - greatest(min_len, 1) as starts from x)
+select series_id, setting_id, state, seg_start, min(value) filter (where t >= seg_start) as low, max(value) filter (where t >= seg_start) as high,
+  round(min(value + need) filter (where starts), 6) as up_trigger, round(max(value - need) filter (where starts), 6) as down_trigger, round(max(value - state * back) filter (where t = ext and state <> 0), 6) as flip_level from y group by 1, 2, 3, 4"""
+
+
+def flagship_sql(*settings: dict) -> str:
+    return f"""with {ex_post(True, *settings)}, ends as (select *, max(seg_no) over (partition by series_id) as top from seg),
+g as (select s.*, a.month as start_date, b.month as end_date, a.value as y0, b.value as y1, v.sig from ends s join walk a on a.series_id = s.series_id and a.t = s.start join walk b on b.series_id = s.series_id and b.t = s."end" join src v on v.series_id = s.series_id and v.t = s."end" where seg_no = top)
+select series_id, label, start_date, end_date, ("end" - start)::int as months, y0, y1, round_even((y1 - y0) * 100, 0)::bigint as chg_bp, round(abs(y1 - y0) / nullif(sig * sqrt(greatest("end" - start, 1)::double), 0), 6) as score, 100::bigint as req_bp from g"""
+
+
+#: First and last evaluated month of each series (e0, e1), for method D under one setting.
+def bounds_sql(start: str, name: str = "bnd") -> str:
+    return f"""
+{name} as (
+  select w.series_id, coalesce(min(t) filter (where month >= date '{start}'), max(t) + 1)::int as e0, least(any_value(last_start) - 1, max(t))::int as e1
+  from walk w join (select series_id, case when count(*) > 1 then max(start) + 1 else max("end") + 1 end as last_start from seg group by 1) using (series_id) group by 1)"""

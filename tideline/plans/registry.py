@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators import labelers as L
-from tideline.plans import label_queries, matrix_queries, series_queries, stream_queries, study_queries
+from tideline.plans import label_queries, machine_sql, matrix_queries, series_queries, stream_queries, study_queries
 from tideline.plans.base import FIXED, grid, walk
 
 QUERIES: dict = {**series_queries.Q, **label_queries.Q, **study_queries.Q, **matrix_queries.Q, **stream_queries.Q}
@@ -21,4 +21,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["flagship_current_state"] = flagship
+ORACLE_SQL["flagship_current_state"] = machine_sql.flagship_sql(FIXED)
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -11,8 +11,9 @@ from tideline.operators import labelers as L
 from tideline.operators import leadlag as LL
 from tideline.operators import study as S
 from tideline.operators import walkforward as G
+from tideline.plans import machine_sql as MS
 from tideline.plans.base import FIXED, SQL_C1, c_one, grid, kept, walk
-from tideline.plans.series_queries import levels, live
+from tideline.plans.series_queries import SQL_LEVEL, levels, live
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -69,9 +70,20 @@ def rules():
 
 
 query("h05_schedule", f"with {SQL_C1}, b as (select series_id, min(t) filter (where month >= date '1998-01-01') as e0, max(t) as e1 from c1 group by 1) select series_id, unnest(range(e0 - 1, e1, 12))::int as refit, least(unnest(range(e0 - 1, e1, 12)) + 12, e1)::int as last from b")(lambda s, d: G.schedule(c_one(s, d).groupBy("series_id").agg(F.min(F.when(F.col("month") >= "1998-01-01", F.col("t"))).alias("e0"), F.max("t").alias("e1"))))
-query("p07_bounds")(bounds)
+query("p07_bounds", f"with {MS.ex_post(True, FIXED)}, {MS.bounds_sql('1998-01-01')} select * from bnd")(bounds)
+VINT = "vint as (select unnest([48, 60, 72]) as vintage)"
+query("h02_vintage_labels_d", f"with recursive {MS.walk_source()}, {MS.config(FIXED)}, {MS.machine(True)}, {VINT}, {MS.settled(vintage=True)}, {MS.expanded(vintage=True)} select series_id || '@' || vintage as series_id, setting_id, 'D' as method, t, label from lab")(
+    lambda s, d: L.machine_labels(L.vintages(walk(s, d), s.createDataFrame([(48,), (60,), (72,)], "T int")), grid(s, FIXED), ("D",)))
 query("h02_vintage_labels")(lambda s, d: L.machine_labels(L.vintages(walk(s, d), s.createDataFrame([(48,), (60,), (72,)], "T int")), grid(s, FIXED), ("D", "G")))
-query("h09_h10_rule_forecasts")(lambda s, d: forecasts(s, d, rules()))
+FORECAST = f"""recursive {MS.walk_source()}, {MS.config(FIXED)}, {MS.machine(True)}, {MS.machine(False, "ma")}, {MS.settled()}, {MS.bounds_sql('1998-01-01')},
+refits as (select series_id, e1, unnest(range(e0 - 1, e1, 12)) as refit from bnd where e1 >= e0),
+vint as (select distinct refit as vintage from refits), {MS.settled("m", "vseg", True)}, {MS.expanded("vseg", "vlab", True)},
+months as (select series_id, refit, unnest(range(refit + 1, least(refit + 12, e1) + 1)) as t from refits),
+share as (select series_id, vintage as refit, avg((label = -1)::int) as p_down, avg((label = 0)::int) as p_side, avg((label = 1)::int) as p_up from vlab group by 1, 2),
+hot as (select series_id, 'Rule D' as detector, t, (state = -1)::int::double as p_down, (state = 0)::int::double as p_side, (state = 1)::int::double as p_up from m union all select series_id, 'Rule A', t, (state = -1)::int::double, (state = 0)::int::double, (state = 1)::int::double from ma),
+now as (select series_id, detector, refit, t, p_down, p_side, p_up from months join hot using (series_id, t) union all select series_id, 'Climatology', refit, t, p_down, p_side, p_up from months join share using (series_id, refit)),
+made as (select series_id, detector, refit::int as refit, t::int as t, unnest([0, 3])::int as h, p_down, p_side, p_up from now)"""
+query("h09_h10_rule_forecasts", f"with {FORECAST} select * from made")(lambda s, d: forecasts(s, d, rules()))
 query("h11_composite_rule")(lambda s, d: forecasts(s, d, [G.CompositeRule("x")]))
 query("h13_logit")(lambda s, d: forecasts(s, d, [G.Supervised(OWN, name="Logit own"), G.Supervised((*OWN, "x"), name="Logit + x")]))
 query("h14_boosted")(lambda s, d: forecasts(s, d, [G.Supervised(OWN, "boosted", "Boosted own", options={"rounds": 60})]))
@@ -82,4 +94,5 @@ query("x18_leaderboard")(lambda s, d: S.leaderboard(forecasts(s, d, [*rules(), G
 query("x09_compare")(lambda s, d: S.compare(forecasts(s, d, [*rules(), G.Supervised(OWN, name="Logit own")]), evaluated_truth(s, d), "Logit own", "Climatology", draws=200))
 query("x17_add_one")(lambda s, d: S.all_against(forecasts(s, d, [G.Supervised(OWN, name="base"), G.Supervised((*OWN, "x"), name="base+x"), G.RuleDetector(), G.CompositeRule("x")]), evaluated_truth(s, d), [("base+x", "base"), ("Rule+x", "Rule D")], draws=100))
 query("x20_findings")(lambda s, d: S.best_model(S.leaderboard(forecasts(s, d, rules()), evaluated_truth(s, d), (0,))))
-query("x14_own_truth")(lambda s, d: LL.own_truth(levels(s, d), grid(s, FIXED)))
+query("x14_own_truth", f"""with recursive {SQL_LEVEL}, own as (select series_id, month, value, row_number() over (partition by series_id order by month) - 1 as t, count(*) over (partition by series_id) as n from levels where value is not null),
+{MS.source("select series_id, t, value from own where n > 40")}, {MS.config(FIXED)}, {MS.machine(True)}, {MS.settled()}, {MS.expanded()} select lab.series_id, lab.t, lab.label, own.month from lab join own using (series_id, t)""")(lambda s, d: LL.own_truth(levels(s, d), grid(s, FIXED)))
