@@ -157,3 +157,47 @@ def test_lloyd_odd_rows(spark):
     assert lloyd.compressed(frame.where("vec_id = 77"))[0].count() == 0
     with pytest.raises(ValueError):
         lloyd.compressed(frame, parts=5)
+
+
+def test_prefix_pairs_miss_no_similar_pair(spark):
+    from tideline.llm import simhash
+
+    draw = np.random.default_rng(3)
+    template, texts = [f"t{k}" for k in range(200)], {}
+    for k in range(60):  # one template, each text with words of its own: about 0.7 to one another
+        w = list(template)
+        for at in draw.choice(200, 6, replace=False):
+            w[at] = f"own{k}_{at}"
+        texts[k] = " ".join(w)
+    for k in range(60, 90):  # near copies of some of them
+        w = texts[k - 60].split()
+        w[int(draw.integers(200))] = f"new{k}"
+        texts[k] = " ".join(w)
+    texts |= {90: "", 91: "a b", 92: "a b", 93: None}
+    frame = spark.createDataFrame(list(texts.items()), "id long, t string").select("id", F.coalesce("t", F.lit("")).cast("binary").alias("t"))
+    got = {tuple(r) for r in simhash.prefix_pairs(frame, frame.select("id", F.col("id").alias("c"))).collect()}
+    sets = {i: {tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set() for i, t in texts.items()}
+    near = {(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near and near <= got and len(got) < 300  # of 1,770 pairs around the template
+    assert simhash.prefix_pairs(frame, frame.select("id", F.lit(1).cast("long").alias("c"))).count() == 0
+
+
+def test_pipeline_with_clashing_columns(spark, sf, odd):
+    import corpus_pipeline
+    from tideline.llm.shared import cut
+
+    names = ["mixture_place", "Mixture_Place_", "position", "shard", "slot", "id", "a", "b", "gone", "whole", "f0", "h1", "first", "component"]
+    rows = [(i, t, "en", "a" if k % 3 else "b", 1) for k, (i, t) in enumerate(ROWS)] + [(100 + k, f"the text of number {k} and no other", "en", None, 1) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit(7) for n in names if n.lower() != "mixture_place_"}).withColumn("Mixture_Place_", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        before, columns = docs.count(), docs.columns
+        docs = stage(spark, docs, sf)
+        if name != "shards":
+            assert [c for c in docs.columns if c in columns] == columns
+            docs = cut(docs, name)
+        assert 0 < docs.count() <= before
+    n = docs.count()
+    assert docs.select("shard", "slot").distinct().count() == n and docs.where("mixture_place = 7 and position = 7").count() == n
+    alone = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("mixture_place", F.lit(3))
+    out = corpus_pipeline.shards(spark, alone, sf)
+    assert out.select("shard", "slot").distinct().count() == len(rows) and "mixture_place" in out.columns

@@ -17,6 +17,7 @@ from tideline.llm.strata import ranked, with_key
 
 MAX_BLOCKS = 8192
 EXPONENT = 0.5
+MARK = "tideline.mixture_place"
 NEAR = 1e-9
 
 FLUID = "aggregate(all, cast(0 as double), (t, s) -> t + least(s.w * ({v}), cast(s.n as double)))"
@@ -69,10 +70,27 @@ def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, expone
     return at.join(plan, ["stratum", "block"]).select("doc_id", "source", F.round("w", 9).alias("weight"), "block", "slot", (F.col("first") + F.col("rank") % per).alias("position"))
 
 
+def free_name(docs: DataFrame, name: str = "mixture_place") -> str:
+    """A name that no column of docs has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def place_of(docs: DataFrame) -> str | None:
+    """The column that holds the places of a mixture, known by its metadata and not by its name; None if there is none."""
+    return next((f.name for f in docs.schema.fields if f.metadata.get(MARK)), None)
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, place: str | None = None, **options) -> DataFrame:
     """`docs` as a mixture: the same rows and columns, each partition a sorted stretch of the mixture and partitions in its order. Rows that repeat an id share out its places.
 
-    place: a column to add that holds the row's place in the mixture, from 0 without gaps. With it rows aren't sorted: the column says their order, and later steps can't rely on that of files."""
+    place: a column to add that holds the row's place in the mixture, from 0 without gaps, marked as such in its metadata, which files keep. With it rows aren't sorted: the column says their order, and later steps can't rely on that of files.
+    A place column of an earlier mixture goes. Null ids and ids that repeat share out their places at random; an empty table stays empty; columns may have any other names."""
+    docs = docs.select(*[c for c in docs.columns if c != place_of(docs)])
+    if place in docs.columns:
+        raise ValueError(f"there is a column {place} already: see free_name()")
     places = cut(mixed_order(docs, weights, **options).select("doc_id", "position"), "places")
     left = docs.select("doc_id", F.struct("*").alias("row"), F.lit(1).alias("n"))
     right = places.select(F.col("doc_id").alias("id"), "position", F.lit(1).alias("m"))
@@ -81,7 +99,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, place: str |
         right = right.withColumn("m", F.row_number().over(Window.partitionBy("id").orderBy("position")))
     both = left.join(right, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n") == F.col("m"))).select("row", "position")
     if place:
-        return both.select("row.*", F.col("position").alias(place))
+        mark = F.col("position").alias(place, metadata={MARK: True})
+        return both.select(*[F.col("row")[c].alias(c, metadata=docs.schema[c].metadata) for c in docs.columns], mark)
     return both.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 

@@ -12,11 +12,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.graph import components, local_components
-from tideline.llm.shared import cut, digests, small_batches, table, utf8, width
+from tideline.llm.shared import cut, digests, pieces, small_batches, table, utf8, width
 from tideline.llm.tokens import joined, mix
 from tideline.llm.tokens import words as split
 
@@ -283,12 +283,11 @@ def _first_view(x: np.ndarray, upper: int, budget: int) -> np.ndarray:
     return 4 * segment + np.argmax(np.bitwise_count(quarters) <= upper, axis=1)
 
 
-def _wide_task(segments: int, starts: list[int], upper: int, budget: int, sure: int, most: int, known: bool):
+def _wide_task(segments: int, starts: list[int], upper: int, budget: int, sure: int, most: int):
     """The grouped function for a view of one segment of wide fingerprints: links of rows that differ in at most `budget` bits of it and in at most `most` of all. A pair counts in the first
     view that shows it only; starts: the first task of each view.
 
-    Of those within `sure` bits, and of the others, which shingles have to decide, only as many are given (`now`) as would keep groups together if all held; rows that have others besides are given as links to themselves.
-    Where the groups that links have made are known (column c), all links between different groups are given instead."""
+    Of those within `sure` bits, and of the others, which shingles have to decide, only as many are given (`now`) as would keep groups together if all held; rows that have others besides are given as links to themselves."""
 
     def run(t):
         k, side = t.column("k").to_numpy().view(np.uint64), t.column("side").to_numpy()
@@ -297,7 +296,6 @@ def _wide_task(segments: int, starts: list[int], upper: int, budget: int, sure:
         view = int(np.searchsorted(starts, t.column("task")[0].as_py(), "right")) - 1
         order = np.lexsort((k, side))
         k, side, sig, ids = k[order], side[order], sig[order], ids[order]
-        group = t.column("c").to_numpy()[order] if known else ids
         cut_at = int(np.searchsorted(side, 1))
         a, b = k[:cut_at], k[cut_at:]
         n, label, more = len(k), np.arange(len(k)), np.zeros(len(k), dtype=bool)
@@ -321,20 +319,14 @@ def _wide_task(segments: int, starts: list[int], upper: int, budget: int, sure:
             x = sig[i] ^ sig[j]
             d, mine = np.bitwise_count(x).sum(axis=1, dtype=np.int64), _first_view(x, upper, budget) == view
             i, j, d = i[mine], j[mine], d[mine]
-            if known:
-                open_ = (d <= most) & (group[i] != group[j])
-            else:
-                label, x, y = _spanning(label, i[d <= sure], j[d <= sure])
-                certain.append((x, y))
-                open_ = (d > sure) & (d <= most) & (label[i] != label[j])
+            label, x, y = _spanning(label, i[d <= sure], j[d <= sure])
+            certain.append((x, y))
+            open_ = (d > sure) & (d <= most) & (label[i] != label[j])
             waiting.append((i[open_], j[open_]))
             held += int(open_.sum())
-            if not known and held > max(BLOCK, len(forest[0])):
+            if held > max(BLOCK, len(forest[0])):
                 forest, waiting, held = spanned(forest, waiting), [(none, none)], 0
-        if known:
-            x, y = (np.concatenate(z) for z in zip(*waiting))
-        else:
-            x, y = (np.concatenate(z) for z in zip(*certain, spanned(forest, waiting)))
+        x, y = (np.concatenate(z) for z in zip(*certain, spanned(forest, waiting)))
         own = np.flatnonzero(more)
         p, q = ids[np.concatenate([x, own])], ids[np.concatenate([y, own])]
         return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q), "now": np.arange(len(p)) < len(x)})
@@ -344,7 +336,7 @@ def _wide_task(segments: int, starts: list[int], upper: int, budget: int, sure:
 
 def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budget: int = 8, per_task: int = 400_000) -> DataFrame:
     """Links (a, b, now) between rows (id, f0, f1, ..) of wide fingerprints that may have `similarity` or more: those marked `now` would make the same groups as all, if all held; rows with further links are given once
-    more, linked to themselves and not marked. With a column c in `wide`, the groups that links have made since, all links between different groups, marked `now`.
+    more, linked to themselves and not marked. Rows of null id aren't expected; fewer than two rows have no links.
 
     Each segment has four tries, with one of its 16-bit quarters first: two rows are compared if any segment differs in at most `budget` bits, and so in at most a quarter of these in one quarter, and then judged by all
     segments. A task holds `per_task` rows of two trie nodes at most.
@@ -357,8 +349,8 @@ def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budge
     depth = min(14, max(3, (total // size).bit_length()) + 4)
     share, bits = bits_for(similarity), 64 * segments
     slack = SLACK * (share * (1 - share) * bits) ** 0.5
-    names, known = [f"f{x}" for x in range(segments)], "c" in wide.columns
-    held = ["id", *names, *(["c"] if known else [])]
+    names = [f"f{x}" for x in range(segments)]
+    held = ["id", *names]
     turned = [F.shiftleft(f, 16 * q).bitwiseOR(F.shiftrightunsigned(f, 64 - 16 * q)) if q else F.col(f) for f in names for q in range(4)]
     keys = [F.struct(F.lit(view).alias("view"), key.alias("k")) for view, key in enumerate(turned)]
     keyed = wide.select(*held, F.explode(F.array(*keys)).alias("v")).select(*held, "v.view", "v.k", F.shiftrightunsigned("v.k", 64 - depth).alias("prefix"))
@@ -373,31 +365,63 @@ def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budge
         tasks += more
     routes = F.broadcast(spark.createDataFrame(rows, "view int, prefix long, part int, parts int, goes array<struct<task:int,side:int>>"))
     dealt = keyed.join(routes, ["view", "prefix"]).where("pmod(xxhash64(id), parts) = part").select(*held, "k", F.explode("goes").alias("g"))
-    run = _wide_task(segments, starts, budget // 4, budget, int(share * bits - slack), int(share * bits + slack), known)
+    run = _wide_task(segments, starts, budget // 4, budget, int(share * bits - slack), int(share * bits + slack))
     return dealt.select(*held, "k", "g.task", "g.side").groupBy("task").applyInArrow(run, "a long, b long, now boolean")
 
 
 def _similar(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose texts (id, t) have shingle sets of a Jaccard similarity of `similarity` or more."""
+    """The links (a, b) whose texts (id, t) have shingle sets of a Jaccard similarity of `similarity` or more. Links of an id without a text are dropped; no links give none."""
 
     def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(*(shingles(b.column(c).to_pylist(), words) for c in ("ta", "tb"))):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for b in pieces(whole, "ta", 4 << 20):
+                keep = []
+                for x, y in zip(*(shingles(b.column(c).to_pylist(), words) for c in ("ta", "tb"))):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     n = width(links.sparkSession)
     both = links.repartition(n, "a").join(texts.toDF("a", "ta").hint("merge"), "a").repartition(n, "b").join(texts.toDF("b", "tb").hint("merge"), "b")
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "similar")
 
 
+def prefix_pairs(texts: DataFrame, groups: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Pairs (a, b) of texts (id, t) of different groups (id, c) that can have a Jaccard similarity of `similarity` or more: all such pairs are among them.
+
+    In any order common to all texts, two sets of that similarity have a member in common that is among the first n - 2t / (1 + t) * n + 1 of the smaller one and among the first n - t * n + 1 of the other (t: the
+    similarity). The order is by how many texts have a shingle, rare ones first: texts around one template that are below the similarity to one another have enough shingles of their own to fill the
+    smaller one's first places, so the template brings none together, however many they are. A shingle of one text alone counts as a place and is not sent on. The work follows the shingles, not the
+    pairs of a family. Texts of no word have no pairs.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for b in pieces(whole, "t", 4 << 20):
+                sets = shingles(b.column("t").to_pylist(), words)
+                sizes = np.array([len(x) for x in sets], dtype=np.int64)
+                s = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("id").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(s)], ["id", "n", "s"])
+
+    rows = cut(texts.join(groups.select("id").hint("merge"), "id").select("id", "t").mapInArrow(run, "id long, n long, s long"), "shingles")
+    often = rows.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    by = Window.partitionBy("id")
+    shared = rows.join(often.hint("merge"), "s").withColumn("place", F.row_number().over(by.orderBy("f", "s")) + F.col("n") - F.count("*").over(by))
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    heads = shared.where(F.col("place") <= first(similarity)).select("id", "s", "n", (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("early"))
+    heads = cut(heads.join(groups.hint("merge"), "id"), "heads")
+    x, y = heads.where("early").drop("early").toDF("x", "s", "nx", "cx"), heads.drop("early").toDF("y", "s", "ny", "cy")
+    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    near = x.hint("merge").join(y, "s").where(smaller & (F.col("cx") != F.col("cy")) & (F.col("nx") >= similarity * F.col("ny") - 1e-9))
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 8, budget: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each near-duplicate group, that of the smallest id; of rows that repeat both id and text, one. Rows of one id or of null id but of different texts are judged apart.
 
     Documents are near duplicates if the sets of their shingles of `words` words have a Jaccard similarity of `similarity` or more; a group is what these links reach. Candidates are found by SimHashes of `segments`
-    * 64 bits: pairs that differ in at most `budget` bits of some segment, and by all bits are within three standard deviations of the similarity asked for; their shingles are then compared. (At 0.8, a pair is missed once in about thirty.)
+    * 64 bits: pairs that differ in at most `budget` bits of some segment, and by all bits are within three standard deviations of the similarity asked for; the shingles of as many as could join groups are then compared. Texts with
+    further candidates meet again by their rarest shingles, see prefix_pairs(), which misses none. (At 0.8, a pair is missed by the bits once in about thirty.)
     Null and empty texts are one group, and so are texts without a word. Rows of null id stay only if their group has no
     other; one of them then stands for it. An empty table stays empty. All columns are kept, whatever their names.
     """
@@ -419,16 +443,16 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
     links = cut(similar_links(first.select("id", *names), segments, similarity, budget), "links")
     need = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     need = cut(need.join(first.hint("merge"), "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.h1").alias("g1"), F.col("first.h2").alias("g2")), "need")
-    texts = plain.join(need, plain["doc_id"].eqNullSafe(need["d"]) & (plain["h1"] == need["g1"]) & (plain["h2"] == need["g2"])).select("id", "t")
+    # Texts are joined by shuffling at every size, so that the work follows the input.
+    texts = plain.join(need.hint("merge"), plain["doc_id"].eqNullSafe(need["d"]) & (plain["h1"] == need["g1"]) & (plain["h2"] == need["g2"])).select("id", "t")
     texts = cut(texts.dropDuplicates(["id"]) if repeats else texts, "texts")
     good = _similar(links.where("now").select("a", "b").distinct(), texts, words, similarity)
     found = components(good)
-    # What these links didn't bring together may be by others: rows that have more are compared again, knowing their groups.
+    # What these links didn't bring together may be by others: rows that have more meet by their rare shingles, knowing their groups.
     more = links.where("not now").select(F.col("a").alias("id")).distinct()
-    again = first.select("id", *names).join(more.hint("merge"), "id").join(found.toDF("id", "c").hint("merge"), "id", "left")
-    again = cut(again.select("id", *names, F.coalesce("c", "id").alias("c")), "again")
-    rest = cut(similar_links(again, segments, similarity, budget).select("a", "b").distinct(), "rest")
-    if not rest.isEmpty():
+    groups = cut(more.join(found.toDF("id", "c").hint("merge"), "id", "left").select("id", F.coalesce("c", "id").alias("c")), "groups")
+    if not groups.isEmpty():
+        rest = cut(prefix_pairs(texts, groups, words, similarity), "rest")
         found = components(good.unionByName(_similar(rest, texts, words, similarity)))
     member = first.select("id", "first").join(found.toDF("id", "component").hint("merge"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
     kept = member.groupBy("component").agg(F.min("first").alias("kept")).select("kept.*").toDF("none", "kept", "k1", "k2")
@@ -436,11 +460,11 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
     gone = cut(gone.select(F.col("doc_id").alias("gone"), F.col("h1").alias("g1"), F.col("h2").alias("g2")), "gone")
     some = kept.select(F.col("kept").alias("some")).distinct()
     # Ids of which no row stays go by the id alone, which is short; digests are needed only where other rows of the id stay.
-    # Both are written, so that their sizes are known: few rows are broadcast, many are joined by shuffling.
     whole = cut(gone.join(some, gone["gone"].eqNullSafe(some["some"]), "left_anti").select(F.col("gone").alias("whole")).distinct(), "whole")
     part = cut(gone.join(some, gone["gone"].eqNullSafe(some["some"]), "left_semi"), "part")
-    out = docs.join(whole, docs[id_col].cast("long").eqNullSafe(whole["whole"]), "left_anti")
-    out = out.join(part, out[id_col].cast("long").eqNullSafe(part["gone"]) & (own[0] == part["g1"]) & (own[1] == part["g2"]), "left_anti")
+    out = docs.join(whole.hint("merge"), docs[id_col].cast("long").eqNullSafe(whole["whole"]), "left_anti")
+    if not part.isEmpty():
+        out = out.join(part, out[id_col].cast("long").eqNullSafe(part["gone"]) & (own[0] == part["g1"]) & (own[1] == part["g2"]), "left_anti")
     if not repeats:
         return out
     marks = ["_digest_1", "_digest_2"]
