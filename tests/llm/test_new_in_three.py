@@ -201,3 +201,52 @@ def test_pipeline_with_clashing_columns(spark, sf, odd):
     alone = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("mixture_place", F.lit(3))
     out = corpus_pipeline.shards(spark, alone, sf)
     assert out.select("shard", "slot").distinct().count() == len(rows) and "mixture_place" in out.columns
+
+
+GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+LESSER = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+APACHE1 = "Copyright (c) 2000 The Apache Software Foundation. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+
+
+def license_cases():
+    from tideline.llm import licenses as L
+
+    said = {
+        GPL: "GPL-2.0", LESSER: "LGPL-2.1", "Distributed under the GNU General Public License, version 1": "GPL-1.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY-NC-SA 3.0": "CC-BY-NC-SA-3.0", "Licensed under CC BY 3.0.": "CC-BY-3.0",
+        "// Licensed under the GPLv2": None, "License: GPL v3": "GPL-3.0", "Apache License 1.1": "Apache-1.1", "Licensed under the Apache License, Version 1.1": "Apache-1.1", "All rights reserved.": "All-Rights-Reserved", "This file is under the Mozilla Public License, version 1.1": "MPL-1.1",
+        f" * {L.BSD}\n * {L.DISCLAIMER}": "BSD-2-Clause", f"{L.BSD}\n3. {L.ENDORSE}\n{L.DISCLAIMER}": "BSD-3-Clause", f"{L.BSD}\n\n{L.ADVERTISING}\n4. {L.ENDORSE}\n\n{L.DISCLAIMER}": "BSD-4-Clause", f"Copyright 2020 A. Author\n\n{L.PERMIT}, {L.NOTICE}\n\n{L.AS_IS}": "MIT",
+        f"ISC License\n\nCopyright (c) 2004\n\n{L.USE}, {L.KEEP}\n\n{L.AUTHOR}": "ISC", f"{L.USE}.\n\n{L.AUTHOR}": "0BSD", APACHE1: None, "This program is free software under the terms of the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "You have the right to remain silent, and all rights of way are open.": None, "The terms of the loan were fair.": None,
+    }
+    for code, name, versions, _ in L.NAMES:
+        for v in versions:
+            said[f"This project is licensed under the {name}{', version ' + v if v else ''}."] = code + (f"-{v}" if v else "")
+    for kind in L.KINDS:
+        for v in ("2.5", "4.0"):
+            said[f"This work is licensed under the Creative Commons {'-'.join(['Attribution', *[L.ELEMENTS[k] for k in kind]])} {v} International License."] = "-".join(["CC-BY", *kind, v])
+    return said
+
+
+@pytest.mark.parametrize("others", [0, 2000])
+def test_licenses_are_not_confused(spark, others):
+    from tideline.llm import licenses
+
+    cases = license_cases()
+    rows = [(k, f"d{k}/f.txt", x) for k, x in enumerate(cases)] + [(10_000 + k, f"e{k}/f.txt", "All rights reserved.") for k in range(others)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).where("doc_id < 10000").collect()}
+    wrong = {x[:60]: (got[k], want) for k, (x, want) in enumerate(cases.items()) if got[k] != want}
+    assert len({v for v in cases.values() if v}) >= 40 and not wrong, wrong
+
+
+def test_every_template_fits_itself():
+    import re
+
+    from tideline.llm import licenses as L
+
+    def terms(x):
+        x = x.lower()
+        for old, new in L.NORMAL:
+            x = re.sub(old, new, x)
+        return set(re.findall(L.TERM, x))
+
+    assert all(set(need) <= terms(x) and not set(bad) & terms(x) and re.search(L.ANCHOR, x) for _, x, need, bad in L.TEMPLATES)
