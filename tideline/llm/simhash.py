@@ -334,6 +334,12 @@ def _wide_task(segments: int, starts: list[int], upper: int, budget: int, sure:
     return run
 
 
+def _most_bits(similarity: float, segments: int) -> int:
+    """Differing bits beyond which SimHashes of that many segments tell that a pair is below the similarity."""
+    share, bits = bits_for(similarity), 64 * segments
+    return int(share * bits + SLACK * (share * (1 - share) * bits) ** 0.5)
+
+
 def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budget: int = 8, per_task: int = 400_000) -> DataFrame:
     """Links (a, b, now) between rows (id, f0, f1, ..) of wide fingerprints that may have `similarity` or more: those marked `now` would make the same groups as all, if all held; rows with further links are given once
     more, linked to themselves and not marked. Rows of null id aren't expected; fewer than two rows have no links.
@@ -365,7 +371,7 @@ def similar_links(wide: DataFrame, segments: int, similarity: float = 0.8, budge
         tasks += more
     routes = F.broadcast(spark.createDataFrame(rows, "view int, prefix long, part int, parts int, goes array<struct<task:int,side:int>>"))
     dealt = keyed.join(routes, ["view", "prefix"]).where("pmod(xxhash64(id), parts) = part").select(*held, "k", F.explode("goes").alias("g"))
-    run = _wide_task(segments, starts, budget // 4, budget, int(share * bits - slack), int(share * bits + slack))
+    run = _wide_task(segments, starts, budget // 4, budget, int(share * bits - slack), _most_bits(similarity, segments))
     return dealt.select(*held, "k", "g.task", "g.side").groupBy("task").applyInArrow(run, "a long, b long, now boolean")
 
 
@@ -386,13 +392,14 @@ def _similar(links: DataFrame, texts: DataFrame, words: int, similarity: float)
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "similar")
 
 
-def prefix_pairs(texts: DataFrame, groups: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Pairs (a, b) of texts (id, t) of different groups (id, c) that can have a Jaccard similarity of `similarity` or more: all such pairs are among them.
+def prefix_pairs(texts: DataFrame, groups: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 0) -> DataFrame:
+    """Pairs (a, b) of texts (id, t) of different groups (id, c[, f0, f1, ..]) that can have a Jaccard similarity of `similarity` or more: all such pairs are among them, but for those whose `segments` SimHashes, if
+    there are any, are farther apart than such pairs' are but once in about seven hundred.
 
     In any order common to all texts, two sets of that similarity have a member in common that is among the first n - 2t / (1 + t) * n + 1 of the smaller one and among the first n - t * n + 1 of the other (t: the
     similarity). The order is by how many texts have a shingle, rare ones first: texts around one template that are below the similarity to one another have enough shingles of their own to fill the
     smaller one's first places, so the template brings none together, however many they are. A shingle of one text alone counts as a place and is not sent on. The work follows the shingles, not the
-    pairs of a family. Texts of no word have no pairs.
+    pairs of a family. Where the first common member comes late in both, too few are left to be in common, and the pair is passed over. Texts of no word have no pairs.
     """
 
     def run(batches):
@@ -408,11 +415,16 @@ def prefix_pairs(texts: DataFrame, groups: DataFrame, words: int = 5, similarity
     by = Window.partitionBy("id")
     shared = rows.join(often.hint("merge"), "s").withColumn("place", F.row_number().over(by.orderBy("f", "s")) + F.col("n") - F.count("*").over(by))
     first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
-    heads = shared.where(F.col("place") <= first(similarity)).select("id", "s", "n", (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("early"))
-    heads = cut(heads.join(groups.hint("merge"), "id"), "heads")
-    x, y = heads.where("early").drop("early").toDF("x", "s", "nx", "cx"), heads.drop("early").toDF("y", "s", "ny", "cy")
-    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    near = x.hint("merge").join(y, "s").where(smaller & (F.col("cx") != F.col("cy")) & (F.col("nx") >= similarity * F.col("ny") - 1e-9))
+    heads = shared.where(F.col("place") <= first(similarity)).select("id", "s", "n", "place", (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("early"))
+    names = [f"f{k}" for k in range(segments)]
+    heads = cut(heads.join(groups.select("id", "c", *names).hint("merge"), "id"), "heads")
+    x, y = (heads.select(F.col("s"), *[F.col(c).alias(f"{c}{z}") for c in ("id", "n", "place", "c", "early", *names)]) for z in "xy")
+    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("idx") < F.col("idy")))
+    left = 1 + F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey"))
+    fits = smaller & (F.col("cx") != F.col("cy")) & (F.col("nx") >= similarity * F.col("ny") - 1e-9) & (left >= similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-9)
+    if names:
+        fits = fits & (sum((F.bit_count(F.col(f"{n}x").bitwiseXOR(F.col(f"{n}y"))) for n in names), F.lit(0)) <= _most_bits(similarity, segments))
+    near = x.where("earlyx").hint("merge").join(y, "s").where(fits).toDF(*[c if c not in ("idx", "idy") else c[-1] for c in [*x.columns, *y.columns[1:]]])
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -450,9 +462,10 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
     found = components(good)
     # What these links didn't bring together may be by others: rows that have more meet by their rare shingles, knowing their groups.
     more = links.where("not now").select(F.col("a").alias("id")).distinct()
-    groups = cut(more.join(found.toDF("id", "c").hint("merge"), "id", "left").select("id", F.coalesce("c", "id").alias("c")), "groups")
+    groups = more.join(first.select("id", *names).hint("merge"), "id").join(found.toDF("id", "c").hint("merge"), "id", "left")
+    groups = cut(groups.select("id", F.coalesce("c", "id").alias("c"), *names), "groups")
     if not groups.isEmpty():
-        rest = cut(prefix_pairs(texts, groups, words, similarity), "rest")
+        rest = cut(prefix_pairs(texts, groups, words, similarity, segments), "rest")
         found = components(good.unionByName(_similar(rest, texts, words, similarity)))
     member = first.select("id", "first").join(found.toDF("id", "component").hint("merge"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
     kept = member.groupBy("component").agg(F.min("first").alias("kept")).select("kept.*").toDF("none", "kept", "k1", "k2")
