@@ -28,32 +28,61 @@ def turns(labels: DataFrame) -> DataFrame:
     return W.runs(labels).where("label <> 0 and run_no > 0").select("series_id", F.col("first").alias("t"), F.col("label").alias("dir"))
 
 
-def nearest_turns(x: DataFrame, y: DataFrame, within: int = 12) -> DataFrame:
-    """(x, y, t, dir, lead): for each turn of y the nearest of x in the same direction, the earlier of two as near; lead is negative where x turned first.
+def all_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(x, y): every series of x with every other one of y. For a few series; a study of many names its pairs."""
+    a, b = x.select(F.col("series_id").alias("x")).distinct(), y.select(F.col("series_id").alias("y")).distinct()
+    return a.crossJoin(b).where("x <> y")
 
-    A range join on (direction, block of months): a turn of x is looked for in its own block of `within` months and the two beside it.
+
+def nearest_turns(x: DataFrame, y: DataFrame, pairs: DataFrame, within: int = 12) -> DataFrame:
+    """(x, y, t, dir, lead): for each turn of y the nearest of x in the same direction, the earlier of two as near, for the pairs (x, y) listed; lead is negative where x turned first.
+
+    The turns of a series are one row, so the joins are on series alone, and the search is within a pair's two lists.
     """
-    size = F.lit(within + 1)
-    a = x.select(F.col("series_id").alias("x"), F.col("t").alias("tx"), "dir").withColumn("block", F.explode(F.array(*[F.floor(F.col("tx") / size) + k for k in (-1, 0, 1)])))
-    b = y.select(F.col("series_id").alias("y"), "t", "dir").withColumn("block", F.floor(F.col("t") / size))
-    near = a.join(b, ["dir", "block"]).where((F.abs(F.col("tx") - F.col("t")) <= within) & (F.col("x") != F.col("y")))
-    lead = F.col("tx") - F.col("t")
-    return near.groupBy("x", "y", "t", "dir").agg(F.min(F.struct(F.abs(lead).alias("d"), lead.alias("lead"))).alias("m")).select("x", "y", "t", "dir", "m.lead")
+    listed = lambda turns, name, of: turns.groupBy(F.col("series_id").alias(name)).agg(F.collect_list(F.struct("t", "dir")).alias(of))
+    both = pairs.join(listed(x, "x", "tx"), "x").join(listed(y, "y", "ty"), "y").withColumn("b", F.explode("ty"))
+    lead = lambda a: a["t"] - F.col("b.t")
+    near = F.filter("tx", lambda a: (a["dir"] == F.col("b.dir")) & (F.abs(lead(a)) <= within))
+    best = F.array_min(F.transform(near, lambda a: F.struct(F.abs(lead(a)).alias("d"), lead(a).alias("lead"))))
+    return both.select("x", "y", F.col("b.t").alias("t"), F.col("b.dir").alias("dir"), best["lead"].alias("lead")).where("lead is not null")
+
 
+STATES = ("down", "side", "up")
 
-def concordance(x: DataFrame, y: DataFrame, reach: int = 12, least: int = 60) -> DataFrame:
-    """(x, y, lag, share) of months t in which x's label equals y's at t + lag, for lags with more than `least` months."""
-    a = x.select(F.col("series_id").alias("x"), F.col("t").alias("t0"), F.col("label").alias("lx")).withColumn("lag", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("t", F.col("t0") + F.col("lag"))
-    b = y.select(F.col("series_id").alias("y"), "t", F.col("label").alias("ly"))
-    both = a.join(b, "t").where("x <> y")
-    return both.groupBy("x", "y", "lag").agg(F.avg((F.col("lx") == F.col("ly")).cast("double")).alias("share"), F.count("*").alias("n")).where(F.col("n") > least).drop("n")
 
+def packed(labels: DataFrame) -> DataFrame:
+    """(series_id, down, side, up): the months t in each state as bits, 64 to a number, month 0 the lowest of the first."""
+    bit = F.expr("shiftleft(1L, cast(pmod(t, 64) as int))")
+    words = labels.where("label is not null").groupBy("series_id", F.expr("t div 64").alias("word")).agg(*[F.bit_or(F.when(F.col("label") == k, bit).otherwise(F.lit(0).cast("long"))).alias(n) for k, n in zip((-1, 0, 1), STATES)])
+    held = words.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct(*STATES)))).alias("m"), F.max("word").alias("top"))
+    filled = lambda n: F.transform(F.sequence(F.lit(0).cast("long"), F.col("top")), lambda w: F.coalesce(F.try_element_at(F.col("m"), w)[n], F.lit(0).cast("long")))
+    return held.select("series_id", *[filled(n).alias(n) for n in STATES])
 
-def lead_lag(x: DataFrame, y: DataFrame, inverted: tuple[str, ...] = INVERTED) -> DataFrame:
-    """(x, y): matched turns, share of them that x led, median and mean lead, concordance at lag 0, and the lag of the best one (the least of equals)."""
+
+def concordance(x: DataFrame, y: DataFrame, pairs: DataFrame, reach: int = 12, least: int = 60) -> DataFrame:
+    """(x, y, lag, share) of months t in which x's label equals y's at t + lag, for the pairs (x, y) listed and lags with more than `least` months; reach: 63 at most.
+
+    Labels are bits (see packed), so a lag is a shift and a comparison of two series a few conjunctions and bit counts.
+    """
+    a = packed(x).select(F.col("series_id").alias("x"), *[F.col(n).alias(f"a_{n}") for n in STATES])
+    b = packed(y).select(F.col("series_id").alias("y"), *[F.col(n).alias(f"b_{n}") for n in STATES])
+    both = pairs.join(a, "x").join(b, "y").withColumn("lag", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    word = lambda array, i: f"coalesce(get({array}, {i}), 0L)"
+    moved = lambda array, by: f"if({by} <= 0, {word(array, 'i')}, shiftrightunsigned({word(array, 'i')}, greatest({by}, 0)) | shiftleft({word(array, 'i + 1')}, 64 - greatest({by}, 1)))"
+    same = " + ".join(f"bit_count({moved(f'a_{n}', '-lag')} & {moved(f'b_{n}', 'lag')})" for n in STATES)
+    known = lambda side, by: "(" + " | ".join(moved(f"{side}_{n}", by) for n in STATES) + ")"
+    words = "sequence(0, least(size(a_up), size(b_up)) - 1)"
+    total = lambda of: F.expr(f"aggregate({words}, 0, (s, i) -> s + {of})")
+    both = both.withColumns({"same": total(same), "n": total(f"bit_count({known('a', '-lag')} & {known('b', 'lag')})")})
+    return both.where(F.col("n") > least).select("x", "y", "lag", (F.col("same") / F.col("n")).alias("share"))
+
+
+def lead_lag(x: DataFrame, y: DataFrame, pairs: DataFrame | None = None, inverted: tuple[str, ...] = INVERTED) -> DataFrame:
+    """(x, y): matched turns, share of them that x led, median and mean lead, concordance at lag 0, and the lag of the best one (the least of equals); for the pairs (x, y) listed, all if there is no list."""
+    pairs = all_pairs(x, y) if pairs is None else pairs
     x = x.withColumn("label", F.when(F.col("series_id").isin(*inverted), -F.col("label")).otherwise(F.col("label")))
-    near = nearest_turns(turns(x), turns(y)).groupBy("x", "y").agg(F.count("*").alias("matched"), F.avg((F.col("lead") < 0).cast("double")).alias("led"), F.median("lead").alias("lead_med"), F.avg("lead").alias("lead_mean"))
-    conc = concordance(x, y).groupBy("x", "y").agg(F.max(F.when(F.col("lag") == 0, F.col("share"))).alias("share0"), F.max(F.struct("share", (-F.col("lag")).alias("neg"))).alias("b"))
+    near = nearest_turns(turns(x), turns(y), pairs).groupBy("x", "y").agg(F.count("*").alias("matched"), F.avg((F.col("lead") < 0).cast("double")).alias("led"), F.median("lead").alias("lead_med"), F.avg("lead").alias("lead_mean"))
+    conc = concordance(x, y, pairs).groupBy("x", "y").agg(F.max(F.when(F.col("lag") == 0, F.col("share"))).alias("share0"), F.max(F.struct("share", (-F.col("lag")).alias("neg"))).alias("b"))
     return conc.select("x", "y", "share0", F.col("b.share").alias("best_share"), (-F.col("b.neg")).alias("best_lag")).join(near, ["x", "y"], "left")
 
 

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from tideline.functions import stats
 from tideline.functions import windows as W
 from tideline.operators import kernels as K
+from tideline.operators import panel as P
 from tideline.operators import scoring as C
 from tideline.operators import walkforward as G
-from tideline.operators.panel import COMPACT, SPREAD_VARS
+from tideline.operators.panel import COMPACT
 from tideline.operators.tables import written
 
 JOB = "tier string, detector string, kind string, columns array<string>, observed array<string>, inputs array<string>, needs array<string>"
@@ -78,22 +79,44 @@ def _job(study: Study, tier: str, name: str, kind: str, members=(), since=()) ->
 FAMILIES = {"Logit": "logit", "MS-obs": "ms_obs", "MS-tvtp": "ms_tvtp"}
 
 
-def add_one(study: Study) -> tuple[list[dict], list[dict]]:
-    """(jobs, pairs): each candidate alone against a baseline that learns from the same months; members of a block together, without observables but with trees; rates also blended with the target."""
+def _pairs(study: Study, name: str, members: tuple[str, ...], tier: str, label: str, families: dict[str, str]) -> tuple[list[dict], list[dict]]:
+    """(jobs, pairs) of a candidate: each family with it, against one without it that learns from the same months."""
+    jobs, pairs = [], []
+    for family, kind in families.items():
+        since = () if kind == "blend" else ((kind, members),)
+        plain = {"blend": "rule_d", "ms_obs": "ms", "ms_tvtp": "ms"}.get(kind, kind)
+        a = _job(study, tier, f"{family}+{name}", kind, members, since)
+        b = _job(study, tier, f"Rule D {tier}" if kind == "blend" else f"{plain}, as {kind} of {name}", plain, (), since)
+        jobs += [a, b]
+        pairs.append({"study": "add_one", "var": name, "members": list(members), "label": label, "tier": tier, "family": family, "aug": a["detector"], "base": b["detector"]})
+    return jobs, pairs
+
+
+def _once(parts) -> tuple[list[dict], list[dict]]:
+    """All jobs, each once, and all pairs."""
     jobs, pairs = {}, []
-    every = [(n, (n,), v.tier, v.label, v.rate_like) for n, v in study.variables.items()] + [(n, m, tier, label, False) for n, (m, tier, label) in study.blocks.items()]
-    for name, members, tier, label, rate_like in every:
-        families = {k: v for k, v in FAMILIES.items() if len(members) == 1 or k != "MS-obs"} | ({"Trees": "boosted"} if len(members) > 1 else {}) | ({"Rule+X": "blend"} if rate_like else {})
-        for family, kind in families.items():
-            since = () if kind == "blend" else ((kind, members),)
-            plain = {"blend": "rule_d", "ms_obs": "ms", "ms_tvtp": "ms"}.get(kind, kind)
-            a = _job(study, tier, f"{family}+{name}", kind, members, since)
-            b = _job(study, tier, f"Rule D {tier}" if kind == "blend" else f"{plain}, as {kind} of {name}", plain, (), since)
-            jobs |= {(tier, a["detector"]): a, (tier, b["detector"]): b}
-            pairs.append({"study": "add_one", "var": name, "members": list(members), "label": label, "tier": tier, "family": family, "aug": a["detector"], "base": b["detector"]})
+    for own, more in parts:
+        jobs |= {(j["tier"], j["detector"]): j for j in own}
+        pairs += more
     return list(jobs.values()), pairs
 
 
+def add_one(study: Study) -> tuple[list[dict], list[dict]]:
+    """(jobs, pairs): each candidate alone against a baseline that learns from the same months; members of a block together, without observables but with trees; rates also blended with the target."""
+    one = [_pairs(study, n, (n,), v.tier, v.label, FAMILIES | ({"Rule+X": "blend"} if v.rate_like else {})) for n, v in study.variables.items()]
+    block = {k: v for k, v in FAMILIES.items() if k != "MS-obs"} | {"Trees": "boosted"}
+    return _once(one + [_pairs(study, n, members, tier, label, block) for n, (members, tier, label) in study.blocks.items()])
+
+
+#: Models of a matched test, by the names of the command.
+MODELS = {"logit": "logit", "gbm": "boosted", "ms-obs": "ms_obs", "ms-tvtp": "ms_tvtp", "rule": "blend"}
+
+
+def matched(study: Study, models: tuple[str, ...] = ("logit", "ms-tvtp")) -> tuple[list[dict], list[dict]]:
+    """(jobs, pairs): every variable of the study in each of some models, against the same model without it."""
+    return _once(_pairs(study, n, (n,), v.tier, v.label, {m: MODELS[m] for m in models}) for n, v in study.variables.items())
+
+
 def boards(study: Study) -> list[dict]:
     """Jobs of the leaderboard of each tier: rules, shares, models of the series alone, of all variables, and with momentum."""
     out = []
@@ -305,6 +328,41 @@ def run(features: DataFrame, bounds: DataFrame, truth: DataFrame, months: DataFr
     }
 
 
+MATCHED = {
+    "bal_acc": "aug_bal_acc", "bal_acc_base": "base_bal_acc", "d_bal_acc": "d_bal_acc", "bss": "aug_bss", "d_bss": "d_bss", "p_dm": "p_dm", "delay": "aug_delay_med", "d_delay": "d_delay_med", "p_delay": "p_wilcoxon_delay",
+    "false_alarms_10y": "aug_false_alarms_10y", "d_false_alarms": "d_false_alarms_10y", "d_pnl_bp_yr": "d_pnl_bp_yr",
+}
+
+
+def matched_test(features: DataFrame, bounds: DataFrame, truth: DataFrame, months: DataFrame, setting: K.Setting, study: Study, models: tuple[str, ...] = ("logit", "ms-tvtp"), draws: int = 500, lanes: int = 8) -> DataFrame:
+    """(series_id, var, model, h, train_from, scores and differences): one row for each variable, model and horizon, see MATCHED. A model without a first month of its own has none."""
+    spark = features.sparkSession
+    jobs, pairs = matched(study, models)
+    made = written(forecasts(features, job_table(spark, jobs), bounds, setting, study, lanes), "forecasts")
+    both = compared(made, evaluated(truth, bounds), scored(made, bounds, truth), pair_table(spark, pairs), draws)
+    starts = made.select("series_id", "tier", F.col("detector").alias("aug"), F.col("train_from").alias("t")).distinct().join(months.select("series_id", "t", F.date_format("month", "yyyy-MM").alias("train_from")), ["series_id", "t"]).drop("t")
+    out = both.join(starts, ["series_id", "tier", "aug"], "left").withColumn("train_from", F.when(F.col("family") != "rule", F.col("train_from")))
+    return out.select("series_id", "var", F.col("family").alias("model"), "h", "train_from", *[F.col(c).alias(n) for n, c in MATCHED.items()])
+
+
+# ---- features of a panel
+
+OWN = ("d1", "d3", "d6", "d12", "dd12", "ru12", "gap12", "vol12", "z3", "z12", "ddz", "ruz", "rt_up", "rt_down", "rt_age")
+PARTS = {"": "value", "_z3": "z3", "_z12": "z12", "_up": "up", "_down": "down"}
+
+
+def panel_features(series: DataFrame, live_labels: DataFrame, levels: DataFrame, variables: dict[str, Variable]) -> DataFrame:
+    """(series_id, t, month, value, sig, own features, and of each variable its level and compact features): series has sig, live_labels are its real-time labels of method D, levels (series_id, month, value) the variables as they were known.
+
+    A variable without rows has null columns. The variables of a month are one row, which all series of the month share.
+    """
+    own = P.own_features(series, live_labels)
+    x = P.x_features(levels, levels.select("month", F.lit(None).cast("double").alias("value")).distinct(), P.trend_state(levels), (), ())
+    wide = x.groupBy("month").pivot("series_id", list(variables)).agg(*[F.first(c).alias(f"x{k}") for k, c in PARTS.items()])
+    wide = wide.select("month", *[F.col(f"{n}_x{k}").alias(f"{n}{k}") for n in variables for k in PARTS])
+    return own.join(wide, "month", "left").withColumns({f"{n}_spr": F.col("value") - F.col(n) for n, v in variables.items() if v.spread} or {"month": F.col("month")})
+
+
 # ---- findings
 
 

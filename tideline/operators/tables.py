@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, tag: str = "table") -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tideline-")
+    """A new folder under spark.checkpoint.dir; a temporary one where that is unset in local mode, as in tests. On a cluster it must be set, since machines don't share their temporary folders."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="tideline-")
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 

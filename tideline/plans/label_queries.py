@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tideline.functions import filters as FI
 from tideline.functions import rule as R
+from tideline.functions import tables as T
 from tideline.functions import windows as W
 from tideline.operators import labelers as L
 from tideline.operators import leadlag as LL
@@ -52,7 +54,34 @@ for _m, _name in (("A", "m01_machine"), ("D", "m05_retracement"), ("B", "m03_pie
     query(f"{_name}_labels", _sql(MS.labels_sql, _m == "D"))(lambda s, d, m=_m: L.machine_labels(walk(s, d), grid(s), (m, f"{m}_rt") if m in "ADEF" else (m,)))
 query("m01_live_a", LIVE_A)(lambda s, d: L.machine_labels(walk(s, d), grid(s, FIXED), ("A_rt",)))
 query("m05_live_d", LIVE_D)(lambda s, d: L.machine_labels(walk(s, d), grid(s, FIXED), ("D_rt",)))
-query("m02_pieces")(lambda s, d: L.pieces(walk(s, d), grid(s, FIXED)))
+query("m02_pieces", MS.pieces_sql(FIXED))(lambda s, d: rounded(L.pieces(walk(s, d), grid(s, FIXED))))
+
+
+def from_table_function(s, d):
+    """Segments of A and D by the table function, in SQL."""
+    T.register(s)
+    L.with_sigma(walk(s, d)).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "value", "sig"))).alias("r")).select("series_id", F.expr("transform(r, x -> x.value)").alias("ys"), F.expr("transform(r, x -> x.sig)").alias("sg")).createOrReplaceTempView("tideline_series")
+    return s.sql("select s.series_id, 'fixed1' as setting_id, g.* from tideline_series s, lateral segments(s.ys, s.sg, 'A,D', 1.0D, false, 2.0D, 0) g")
+
+
+query("d01_segments_table_function", f"select * from ({MS.segments_sql(False, FIXED)}) union all select * from ({MS.segments_sql(True, FIXED)})")(from_table_function)
+
+
+def filtered(s, d):
+    """Chances of states of the walk's changes, month by month, by a model whose parameters are the moments and moves of labelled months; no Python."""
+    by = Window.partitionBy("series_id").orderBy("t")
+    rows = c_one(s, d).select("series_id", "t", (F.col("label") + 1).alias("s"), F.lag(F.col("label") + 1).over(by).alias("p"), (F.col("value") - F.lag("value").over(by)).alias("z")).where("z is not null")
+    of = lambda agg, k: agg(F.when(F.col("s") == k, F.col("z")))
+    move = lambda a, b: F.count_if((F.col("t") >= 2) & (F.col("p") == a) & (F.col("s") == b)) + 1
+    share = lambda a: F.array(*[move(a, b) / sum((move(a, c) for c in range(3)), F.lit(0)) for b in range(3)])
+    model = rows.groupBy("series_id").agg(
+        F.array(*[of(F.avg, k) for k in range(3)]).alias("mean"), F.array(*[of(F.var_samp, k) + 1e-4 for k in range(3)]).alias("variance"), F.array(*[(F.count_if((F.col("t") <= 12) & (F.col("s") == k)) + 1) / 15 for k in range(3)]).alias("first"),
+        F.array(*[share(a) for a in range(3)]).alias("move"), F.transform(F.array_sort(F.collect_list(F.struct("t", "z"))), lambda x: x["z"]).alias("zs"))
+    chances = FI.forward(F.col("zs"), F.col("mean"), F.col("variance"), F.col("first"), F.array_repeat("move", F.size("zs")))
+    return model.select("series_id", F.posexplode(chances).alias("k", "p")).select("series_id", (F.col("k") + 1).cast("int").alias("t"), *[rnd(F.get("p", k), 6).alias(n) for k, n in enumerate(C.PROBABILITIES)])
+
+
+query("h20_forward_filter", f"with recursive {SQL_C1}, {MS.FILTER_SQL} select series_id, (k + 1)::int as t, round(now[1], 6) as p_down, round(now[2], 6) as p_side, round(now[3], 6) as p_up from fw")(filtered)
 query("m10_l1_levels")(lambda s, d: L.levels(walk(s, d), grid(s, FIXED), "l1"))
 query("m13_l1_live_levels")(lambda s, d: L.levels(walk(s, d), grid(s, FIXED), "l1_live"))
 query("m16_all_methods")(lambda s, d: L.machine_labels(walk(s, d), grid(s)).unionByName(L.method_c(walk(s, d), grid(s))))
@@ -166,6 +195,9 @@ query("x12_frontier", SQL["x04_event_metrics"].replace(SQL_FC, _BY_THETA).replac
     lambda s, d: rounded(LL.frontier(forecasts(s, d).withColumn("h", F.lit(0)).drop("truth", "value"), forecasts(s, d).select("series_id", "t", "truth", "value")).drop("h"), 5))
 _TURN = _EV.replace("where label <> 0", "where label <> 0 and run_no > 0")
 query("x13_turns", f"with {SQL_C1}{_TURN} select series_id, start as t, dir from ev")(lambda s, d: LL.turns(c_one(s, d)))
-query("j07_nearest_turn", f"with {SQL_C1}{_TURN}, p as (select a.series_id as x, b.series_id as y, b.start as t, b.dir, a.start - b.start as lead, row_number() over (partition by a.series_id, b.series_id, b.start order by abs(a.start - b.start), a.start - b.start) as n from ev a join ev b on a.dir = b.dir and a.series_id <> b.series_id and abs(a.start - b.start) <= 12) select x, y, t, dir, lead from p where n = 1")(lambda s, d: LL.nearest_turns(LL.turns(c_one(s, d)), LL.turns(c_one(s, d))))
-query("j08_concordance", f"with {SQL_C1}, k as (select unnest(range(-12, 13)) as lag), p as (select a.series_id as x, b.series_id as y, lag::int as lag, avg((a.label = b.label)::int) as share from c1 a cross join k join c1 b on b.t = a.t + lag and a.series_id <> b.series_id group by 1, 2, 3 having count(*) > 60) select x, y, lag, round(share, 6) as share from p")(lambda s, d: rounded(LL.concordance(c_one(s, d), c_one(s, d))))
-query("x15_lead_lag")(lambda s, d: rounded(LL.lead_lag(c_one(s, d), c_one(s, d))))
+query("j07_nearest_turn", f"with {SQL_C1}{_TURN}, p as (select a.series_id as x, b.series_id as y, b.start as t, b.dir, a.start - b.start as lead, row_number() over (partition by a.series_id, b.series_id, b.start order by abs(a.start - b.start), a.start - b.start) as n from ev a join ev b on a.dir = b.dir and a.series_id <> b.series_id and abs(a.start - b.start) <= 12) select x, y, t, dir, lead from p where n = 1")(lambda s, d: LL.nearest_turns(LL.turns(c_one(s, d)), LL.turns(c_one(s, d)), LL.all_pairs(c_one(s, d), c_one(s, d))))
+query("j08_concordance", f"with {SQL_C1}, k as (select unnest(range(-12, 13)) as lag), p as (select a.series_id as x, b.series_id as y, lag::int as lag, avg((a.label = b.label)::int) as share from c1 a cross join k join c1 b on b.t = a.t + lag and a.series_id <> b.series_id group by 1, 2, 3 having count(*) > 60) select x, y, lag, round(share, 6) as share from p")(lambda s, d: rounded(LL.concordance(c_one(s, d), c_one(s, d), LL.all_pairs(c_one(s, d), c_one(s, d)))))
+query("x15_lead_lag", f"""with {score_parts('j07_nearest_turn', 'j08_concordance')},
+conc as (select x, y, max(share) filter (where lag = 0) as share0, max(share) as best_share, first(lag order by share desc, lag) as best_lag from j08_concordance group by 1, 2),
+near as (select x, y, count(*) as matched, round(avg((lead < 0)::int), 6) as led, median(lead) as lead_med, round(avg(lead), 6) as lead_mean from j07_nearest_turn group by 1, 2)
+select * from conc left join near using (x, y)""")(lambda s, d: rounded(LL.lead_lag(c_one(s, d), c_one(s, d))))

@@ -175,3 +175,66 @@ def bounds_sql(start: str, name: str = "bnd") -> str:
 {name} as (
   select w.series_id, coalesce(min(t) filter (where month >= date '{start}'), max(t) + 1)::int as e0, least(any_value(last_start) - 1, max(t))::int as e1
   from walk w join (select series_id, case when count(*) > 1 then max(start) + 1 else max("end") + 1 end as last_start from seg group by 1) using (series_id) group by 1)"""
+
+
+# ---- the optimal piecewise-linear fit
+
+
+def _sse(i: str, j: str) -> str:
+    """Squared error of the line through months i to j - 1, from lists of running sums that begin with 0."""
+    d = lambda c: f"({c}[{j} + 1] - {c}[{i} + 1])"
+    m = f"({j} - {i})::double"
+    vx, cxy = f"({d('sxx')} - {d('sx')} * {d('sx')} / {m})", f"({d('sxy')} - {d('sx')} * {d('sy')} / {m})"
+    return f"greatest({d('syy')} - {d('sy')} * {d('sy')} / {m} - case when {vx} > 0 then {cxy} * {cxy} / {vx} else 0 end, 0)"
+
+
+def _slope(i: str, j: str) -> str:
+    d = lambda c: f"({c}[{j} + 1] - {c}[{i} + 1])"
+    m = f"({j} - {i})::double"
+    vx, cxy = f"({d('sxx')} - {d('sx')} * {d('sx')} / {m})", f"({d('sxy')} - {d('sx')} * {d('sy')} / {m})"
+    return f"case when {vx} > 0 then {cxy} / {vx} else 0 end"
+
+
+def pieces_sql(setting: dict, least: int = 6) -> str:
+    """Pieces of the walk by a dynamic program that looks at every start, month by month, and the way back."""
+    running = ", ".join(f"sum({e}) over w as {c}" for c, e in (("sx", "t::double"), ("sxx", "t::double * t"), ("sy", "value"), ("sxy", "t * value"), ("syy", "value * value")))
+    lists = ", ".join(f"list_prepend(0::double, list({c} order by t)) as {c}" for c in ("sx", "sxx", "sy", "sxy", "syy"))
+    return f"""with recursive {SQL_WALK},
+cums as (select series_id, t, {running} from walk window w as (partition by series_id order by t)),
+costs as (select series_id, 2.6::double * var_pop(dy) / 2 * ln(count(*) + 1) * power({setting['thr']}::double, 2) as cost from (select series_id, value - lag(value) over (partition by series_id order by t) as dy from walk) where dy is not null group by 1),
+held as (select series_id, count(*) as n, {lists} from cums group by 1),
+dp(series_id, j, f, prev) as (
+  select series_id, {least - 1}::bigint, [-cost] || list_transform(range({least - 1}), lambda x: null::double), list_transform(range({least}), lambda x: null::bigint) from costs
+  union all
+  select series_id, j, list_append(f, best.v), list_append(prev, best.i) from (
+    select dp.series_id, dp.j + 1 as j, f, prev,
+      list_sort(list_transform(list_filter(range(0, dp.j + 2 - {least}), lambda i: f[i + 1] is not null), lambda i: struct_pack(v := f[i + 1] + {_sse('i', '(dp.j + 1)')} + cost, i := i)))[1] as best
+    from dp join held using (series_id) join costs using (series_id) where dp.j < n)),
+done as (select series_id, prev, n from dp join held using (series_id) where j = n),
+back(series_id, i, j) as (
+  select series_id, prev[n + 1], n from done
+  union all
+  select back.series_id, done.prev[back.i + 1], back.i from back join done using (series_id) where back.i > 0)
+select series_id, '{setting['setting_id']}' as setting_id, (row_number() over (partition by series_id order by i) - 1)::int as piece_no, i::int as start, (j - 1)::int as "end", round({_slope('i', 'j')}, 6) as slope from back join held using (series_id)"""
+
+
+# ---- the forward filter of a Markov model whose parameters are those of labelled months
+
+FILTER_SQL = """
+steps as (select series_id, t, label + 2 as s, lag(label + 2) over w as p, value - lag(value) over w as z from c1 window w as (partition by series_id order by t)),
+moments as (select series_id, s, avg(z) as mu, var_samp(z) + 1e-4::double as va from steps where z is not null group by 1, 2),
+params as (select series_id, list(mu order by s) as mu, list(va order by s) as va from moments group by 1),
+counts as (select series_id, a, b, (select count(*) from steps where steps.series_id = g.series_id and z is not null and t >= 2 and p = a and s = b) + 1 as n from (select distinct series_id from c1) g cross join (select unnest([1, 2, 3]) as a) cross join (select unnest([1, 2, 3]) as b)),
+shares as (select *, n / sum(n) over (partition by series_id, a) as share from counts),
+moves as (select series_id, list(share order by a) as into_all, b from shares group by 1, 3),
+trans as (select series_id, list(into_all order by b) as goes from moves group by 1),
+firsts as (select series_id, list(n / 15.0::double order by s) as first from (select g.series_id, s, (select count(*) from steps where steps.series_id = g.series_id and t between 1 and 12 and steps.s = u.s) + 1 as n from (select distinct series_id from c1) g cross join (select unnest([1, 2, 3]) as s) u) group by 1),
+obs as (select series_id, list(z order by t) as zs, count(*) as n from steps where z is not null group by 1),
+allp as (select * from params join trans using (series_id) join firsts using (series_id) join obs using (series_id)),
+fw(series_id, k, now) as (
+  select series_id, 0::bigint, list_transform(raw, lambda v: v / list_sum(raw)) from (
+    select series_id, list_transform([1, 2, 3], lambda s: first[s] * exp(-0.5::double * power(zs[1] - mu[s], 2) / va[s]) / sqrt(va[s])) as raw from allp)
+  union all
+  select series_id, k, list_transform(raw, lambda v: v / list_sum(raw)) from (
+    select fw.series_id, fw.k + 1 as k, list_transform([1, 2, 3], lambda s: list_sum(list_transform([1, 2, 3], lambda i: now[i] * goes[s][i])) * exp(-0.5::double * power(zs[fw.k + 2] - mu[s], 2) / va[s]) / sqrt(va[s])) as raw
+    from fw join allp using (series_id) where fw.k + 1 < n))"""

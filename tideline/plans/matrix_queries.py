@@ -16,6 +16,7 @@ from tideline.operators import panel as P
 from tideline.operators import scoring as C
 from tideline.operators import walkforward as G
 from tideline.operators.tables import written
+from tideline.plans import machine_sql as MS
 from tideline.plans.base import FIXED, SQL_FC, grid, kept, rnd, walk
 from tideline.plans.base import forecasts as plain_forecasts
 from tideline.sources import series as S
@@ -23,7 +24,7 @@ from tideline.sources import series as S
 Q: dict = {}
 SQL: dict[str, str] = {}
 SETTING = K.Setting(thr=1.0)
-OWN = ("d1", "d3", "d6", "d12", "dd12", "ru12", "gap12", "vol12", "z3", "z12", "ddz", "ruz", "rt_up", "rt_down", "rt_age")
+OWN = X.OWN
 #: The candidates' tiers, and which of them are rates; n0 is the walk of nation 0.
 TIERS = {"L": "1998-01-01", "M": "1998-07-01", "S": "1999-01-01"}
 RATES, LATE = ("n0", "n1", "n2", "n4", "n16", "n17", "n18"), {"M": "1995-07-01", "S": "1996-01-01"}
@@ -75,15 +76,7 @@ def features(s, d) -> DataFrame:
 
 
 def _features(s, d) -> DataFrame:
-    series = L.with_sigma(walk(s, d))
-    own = P.own_features(series, L.machine_labels(walk(s, d), grid(s, FIXED), ("D_rt",)))
-    lv = levels(s, d)
-    x = P.x_features(lv, walk(s, d).where("series_id = 'A'").select("month", "value"), P.trend_state(lv))
-    parts = {"": "value", "_z3": "z3", "_z12": "z12", "_up": "up", "_down": "down"}
-    wide = x.groupBy("month").pivot("series_id", list(VARIABLES)).agg(*[F.first(c).alias(f"x{k}") for k, c in parts.items()])
-    wide = wide.select("month", *[F.col(f"{n}_x{k}").alias(f"{n}{k}") for n in VARIABLES for k in parts])
-    both = own.join(wide, "month", "left")
-    return both.withColumns({f"{n}_spr": F.col("value") - F.col(n) for n, v in VARIABLES.items() if v.spread})
+    return X.panel_features(L.with_sigma(walk(s, d)), L.machine_labels(walk(s, d), grid(s, FIXED), ("D_rt",)), levels(s, d), VARIABLES)
 
 
 def bounds(s, d) -> DataFrame:
@@ -135,6 +128,31 @@ query("x20_study_findings")(lambda s, d: flat((lambda t: X.findings(t["add_one"]
 query("x12_study_frontier")(lambda s, d: flat(frontier(s, d)))
 
 
+def few(s, d) -> DataFrame:
+    """The matched test of three variables in four models at two horizons."""
+    names = ("n0", "n5", "mm")
+    some = X.Study({n: X.Variable("T", VARIABLES[n].label, VARIABLES[n].rate_like, VARIABLES[n].spread) for n in names}, {}, {"T": TIERS["L"]}, OWN, "mm", (0, 3), options=STUDY.options)
+    b = bounds(s, d).where("tier = 'L'").withColumn("tier", F.lit("T"))
+    return X.matched_test(features(s, d), b, truth(s, d), walk(s, d), SETTING, some, ("logit", "gbm", "ms-tvtp", "rule"), 100)
+
+
+query("x19_matched_test")(lambda s, d: flat(few(s, d)))
+
+_SPANS = f"""{MS.ex_post(True, FIXED)}, {", ".join(MS.bounds_sql(start, f"bnd_{t}") for t, start in TIERS.items())},
+bnd as ({" union all ".join(f"select series_id, '{t}' as tier, e0, e1 from bnd_{t}" for t in TIERS)}),
+last as (select series_id, max(e1) as top from bnd group by 1),
+tr as (select lab.series_id, lab.t, lab.label from lab join last using (series_id) where lab.t <= top),
+rn as (select *, sum(new) over (partition by series_id order by t) as run from (select *, case when label is not distinct from lag(label) over (partition by series_id order by t) then 0 else 1 end as new from tr)),
+cut as (select rn.*, tier, e0, e1 from rn join bnd using (series_id) where rn.t <= e1),
+found as (select series_id, tier, min(t) as first, max(t) as last, any_value(label) as dir, any_value(e0) as e0 from cut where label <> 0 group by series_id, tier, run having min(t) >= any_value(e0)),
+events as (
+  select f.series_id, f.tier, strftime(a.month, '%Y-%m') as start, strftime(b.month, '%Y-%m') as "end", f.dir::int as dir, round_even(100 * (b.value - p.value), 0)::int as move_bp
+  from found f join walk a on a.series_id = f.series_id and a.t = f.first join walk b on b.series_id = f.series_id and b.t = f.last left join walk p on p.series_id = f.series_id and p.t = f.first - 1)"""
+SQL["x18_study_events"] = f"with {_SPANS} select * from events"
+SQL["z05_study_tiers"] = f"""with {_SPANS} select b.series_id, b.tier, b.e1, b.e0, strftime(w0.month, '%Y-%m') as eval_start, strftime(w1.month, '%Y-%m') as eval_end, (select count(*) from events e where e.series_id = b.series_id and e.tier = b.tier) as n_events
+from bnd b join walk w0 on w0.series_id = b.series_id and w0.t = b.e0 join walk w1 on w1.series_id = b.series_id and w1.t = b.e1"""
+
+
 def calls(s, d) -> DataFrame:
     """Two calls on each month of the walk: the likeliest state of made forecasts, and the truth two months late."""
     rows = plain_forecasts(s, d)

@@ -9,6 +9,7 @@ from tideline.functions import rule as R
 from tideline.functions import windows as W
 from tideline.operators import labelers as L
 from tideline.operators import panel as P
+from tideline.plans import machine_sql as MS
 from tideline.plans.base import FIXED, SCALED, SQL_C1, SQL_FLAG, SQL_SIG, SQL_WALK, c_one, grid, rnd, walk
 from tideline.sources import series as S
 
@@ -66,9 +67,17 @@ def part(df, *cols):
     return df.select(*cols)
 
 
+def nation_meta(s, d):
+    """The nations as metadata with gaps: some have no group, lag or name."""
+    n, r = s.read.parquet(f"{d}/nation.parquet"), s.read.parquet(f"{d}/region.parquet")
+    k = F.col("n_nationkey")
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("id"), F.when(k % 2 == 0, F.col("r_name")).alias("group"), F.when(k % 3 == 0, F.col("n_regionkey")).alias("pub_lag"), F.when(k % 5 > 0, F.concat(F.lit("Nation "), k)).alias("name"))
+
+
 # ---- sources
 query("s03_wide_to_long", f"with {SQL_FLAG}, w as (select month, max(value) filter (where series_id = 'A') as a, max(value) filter (where series_id = 'R') as r from flag group by 1) select 'A' as series_id, month, a as value from w union all select 'R', month, r from w")(lambda s, d: S.from_wide(S.to_wide(S.price_by_flag(s, d), ["A", "R"]).withColumnRenamed("month", "date")))
-query("s04_meta_defaults", "select id, coalesce(g, 'user') as \"group\", 'rate' as kind, '' as unit, coalesce(l, 0) as pub_lag, coalesce(n, id) as name from (values ('a', 'x', 2, 'Alpha'), ('b', null, null, null)) as v(id, g, l, n)")(lambda s, d: S.with_meta_defaults(s.createDataFrame([("a", "x", 2, "Alpha"), ("b", None, None, None)], "id string, `group` string, pub_lag int, name string")).select("id", "group", "kind", "unit", "pub_lag", "name"))
+query("s04_meta_defaults", """select n_name as id, coalesce(case when n_nationkey % 2 = 0 then r_name end, 'user') as "group", 'rate' as kind, '' as unit, coalesce(case when n_nationkey % 3 = 0 then n_regionkey end, 0)::int as pub_lag, coalesce(case when n_nationkey % 5 > 0 then 'Nation ' || n_nationkey end, n_name) as name
+from nation join region on n_regionkey = r_regionkey""")(lambda s, d: S.with_meta_defaults(nation_meta(s, d)).select("id", "group", "kind", "unit", "pub_lag", "name"))
 _DAILY = """
 e as (select event_type as series_id, ts, value as v from events where value is not null),
 g as (select series_id, median(gap) as gap from (select series_id, day, day - lag(day) over (partition by series_id order by day) as gap from (select distinct series_id, ts::date as day from e)) group by 1),
@@ -84,7 +93,9 @@ query("s11_last_full_month", "select d as last_day, case when d >= (e - greatest
 query("s12_composite_index", f"with {SQL_FLAG}, w as (select month, max(value) filter (where series_id = 'A') as a, coalesce(max(value) filter (where series_id = 'N' and month < date '1999-01-01'), max(value) filter (where series_id = 'R') / 1.95583::double) as n from flag group by 1), f as (select arg_min(a, month) filter (where a is not null) as fa, arg_min(n, month) filter (where n is not null) as fn from w) select month, round(100 * exp(0.6::double * ln(a / fa) + 0.4::double * ln(n / fn)), 6) as value from w cross join f")(lambda s, d: r6(S.composite(S.price_by_flag(s, d).where("series_id <> 'N' or month < date'1999-01-01'"), {"A": 0.6, "N": 0.4}, {"N": ("R", 1.95583)}), "value"))
 query("s13_series_summary", f'with {SQL_PRIO} select series_id, min(month) as start, max(month) as "end", count(*) as n, any_value(kind) as kind from prio join meta on id = series_id where value is not null group by 1')(lambda s, d: S.summary(prio(s, d), meta(s)).select("series_id", "start", "end", "n", "kind"))
 query("s14_user_series", f"with {SQL_PRIO}, {SQL_FLAG} select series_id, month, value from prio union all select 'mine', m.month, f.value from (select distinct month from prio) m left join (select * from flag where series_id = 'A' and month > date '1997-01-01') f using (month)")(lambda s, d: S.with_user_series(prio(s, d), S.price_by_flag(s, d).where("series_id = 'A' and month > date'1997-01-01'").withColumn("series_id", F.lit("mine")), meta(s), s.createDataFrame([("mine", 0)], "id string, pub_lag int"))[0])
-query("s20_zigzag", "select 'zigzag' as series_id, (date '2000-01-01' + i * interval 1 month)::date as month, round(case when i <= 8 then 5 - 2 * i / 8.0 when i <= 11 then 3 + (i - 8) / 3.0::double when i <= 21 then 4 - 3 * (i - 11) / 10.0 else 1 + 0.1 * sin(i - 22) end, 6)::double as value, i::int as t from range(30) r(i)")(lambda s, d: r6(S.zigzag(s), "value"))
+query("s20_zigzag", f"""with {SQL_FLAG}, n as (select *, row_number() over (partition by series_id order by month) - 1 as i from flag)
+select series_id, month, round(value + case when i <= 8 then 5 - 2 * i / 8.0 when i <= 11 then 3 + (i - 8) / 3.0::double when i <= 21 then 4 - 3 * (i - 11) / 10.0 else 1 + 0.1 * sin(i - 22) end, 6)::double as value, i::int as t from n where i < 30""")(
+    lambda s, d: r6(S.numbered(S.price_by_flag(s, d)).join(S.zigzag(s).select("t", F.col("value").alias("z")), "t").select("series_id", "month", (F.col("value") + F.col("z")).alias("value"), "t"), "value"))
 query("series_s3_by_nation", "with a as (select n_name as series_id, date_trunc('month', l_shipdate)::date as month, round(avg(l_extendedprice) / 1e4::double, 6) as value from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2) select series_id, month, value, (row_number() over (partition by series_id order by month) - 1)::int as t from a")(lambda s, d: S.numbered(s.read.parquet(f"{d}/lineitem.parquet").join(s.read.parquet(f"{d}/supplier.parquet"), F.col("l_suppkey") == F.col("s_suppkey")).join(s.read.parquet(f"{d}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("series_id"), S.month_of("l_shipdate").alias("month")).agg(rnd(F.avg("l_extendedprice") / 1e4, 6).alias("value"))))
 query("s02_cadence", f"with {SQL_FLAG} select series_id, median(gap) as median_gap, median(gap) < 25 as too_frequent from (select series_id, month - lag(month) over (partition by series_id order by month) as gap from flag) group by 1")(lambda s, d: S.cadence(S.price_by_flag(s, d)))
 query("series_s5_walk", f"with {SQL_WALK} select * from walk")(walk)
@@ -129,7 +140,14 @@ query("w17_short_runs", f"with {SQL_WALK}, x as (select series_id, t, case when
 # ---- panel
 query("f02_level", f"with {SQL_LEVEL} select series_id, month, round(value, 6) as value from levels")(lambda s, d: r6(levels(s, d), "value"))
 query("f05_causal_sigma", f"with {SQL_SIG} select series_id, t, round(case when t between 1 and 24 then case when count(dy) over w >= 6 then stddev_samp(dy) over w end else sig end, 6) as sig from sigs window w as (partition by series_id order by t)")(lambda s, d: P.causal_sigma(walk(s, d)).select("series_id", "t", rnd("sig", 6).alias("sig")))
-_OWN = SQL_C1 + """,
+def live_d(s, d):
+    """Real-time labels of method D, as the target's features have them whatever its own labels are."""
+    return L.machine_labels(walk(s, d), grid(s, FIXED), ("D_rt",)).select("series_id", "t", "label")
+
+
+_OWN = f"recursive {MS.walk_source()}, {MS.config(FIXED)}, {MS.machine(True)}" + """,
+crun0 as (select w.series_id, w.t, w.value, m.state as label, case when m.state is not distinct from lag(m.state) over (partition by w.series_id order by w.t) then 0 else 1 end as new from walk w join m using (series_id, t)),
+crun as (select *, sum(new) over (partition by series_id order by t) as run_no from crun0),
 dyw as (select *, value - lag(value) over (partition by series_id order by t) as dy from crun),
 own as (
   select series_id, t, 100 * (value - lag(value, 1) over w) as d1, 100 * (value - lag(value, 3) over w) as d3, 100 * (value - lag(value, 6) over w) as d6, 100 * (value - lag(value, 12) over w) as d12,
@@ -139,11 +157,16 @@ own as (
     (label = 1)::int::double as rt_up, (label = -1)::int::double as rt_down, ln(row_number() over (partition by series_id, run_no order by t)) as rt_age
   from dyw window w as (partition by series_id order by t), w12 as (partition by series_id order by t rows between 11 preceding and current row), w36 as (partition by series_id order by t rows between 35 preceding and current row))"""
 _OWNC = ["d1", "d3", "d6", "d12", "dd12", "ru12", "gap12", "vol12", "z3", "z12", "ddz", "ruz", "rt_up", "rt_down", "rt_age"]
-query("f03_own_features", f"with {_OWN}, o2 as (select *, d3 / nullif(vol36 * sqrt(3), 0) as z3, d12 / nullif(vol36 * sqrt(12), 0) as z12, dd12 / nullif(vol36, 0) as ddz, ru12 / nullif(vol36, 0) as ruz from own) select series_id, t, " + ", ".join(f"round({c} + 1e-9::double, 5) as {c}" for c in _OWNC) + " from o2")(lambda s, d: P.own_features(walk(s, d), c_one(s, d).select("series_id", "t", "label")).select("series_id", "t", *[rnd(F.col(c) + 1e-9, 5).alias(c) for c in _OWNC]))
+query("f03_own_features", f"with {_OWN}, o2 as (select *, d3 / nullif(vol36 * sqrt(3), 0) as z3, d12 / nullif(vol36 * sqrt(12), 0) as z12, dd12 / nullif(vol36, 0) as ddz, ru12 / nullif(vol36, 0) as ruz from own) select series_id, t, " + ", ".join(f"round({c} + 1e-9::double, 5) as {c}" for c in _OWNC) + " from o2")(lambda s, d: P.own_features(walk(s, d), live_d(s, d)).select("series_id", "t", *[rnd(F.col(c) + 1e-9, 5).alias(c) for c in _OWNC]))
 _X = ["d1", "d12", "z3", "z12", "lvl", "spr", "spr_d12"]
 query("f04_x_features", f"with {SQL_LEVEL}, {SQL_FLAG}, j as (select l.series_id, l.month, l.value, case when l.series_id = '2-HIGH' then f.value - l.value end as spr, l.value - lag(l.value) over (partition by l.series_id order by l.month) as dx from levels l left join (select month, value from flag where series_id = 'A') f using (month)), k as (select *, case when count(dx) over w36 >= 12 then stddev_samp(dx) over w36 end as sd, value - lag(value, 3) over w as d3, value - lag(value, 12) over w as d12, spr - lag(spr, 12) over w as spr_d12 from j window w as (partition by series_id order by month), w36 as (partition by series_id order by month rows between 35 preceding and current row)) select series_id, month, round(dx, 5) as d1, round(d12, 5) as d12, round(d3 / nullif(sd * sqrt(3), 0), 5) as z3, round(d12 / nullif(sd * sqrt(12), 0), 5) as z12, round(case when series_id = '1-URGENT' then value end, 5) as lvl, round(spr, 5) as spr, round(spr_d12, 5) as spr_d12 from k")(lambda s, d: P.x_features(levels(s, d), S.price_by_flag(s, d).where("series_id = 'A'"), None, ("1-URGENT",), ("2-HIGH",)).select("series_id", "month", *[rnd(c, 5).alias(c) for c in _X]))
-query("p02_compact_features")(lambda s, d: P.compact(P.matrix(P.own_features(walk(s, d).where("series_id = 'A'"), c_one(s, d).select("series_id", "t", "label")).select("month", "t"), P.x_features(levels(s, d), S.price_by_flag(s, d).where("series_id = 'A'"), P.trend_state(levels(s, d))), ["1-URGENT", "2-HIGH"], ["d1", "z3", "z12", "up", "down", "age"])))
-query("f06_trend_state")(lambda s, d: P.trend_state(levels(s, d)))
+query("p02_compact_features")(lambda s, d: P.compact(P.matrix(P.own_features(walk(s, d).where("series_id = 'A'"), live_d(s, d)).select("month", "t"), P.x_features(levels(s, d), S.price_by_flag(s, d).where("series_id = 'A'"), P.trend_state(levels(s, d))), ["1-URGENT", "2-HIGH"], ["d1", "z3", "z12", "up", "down", "age"])))
+_STATE = f"""recursive {SQL_LEVEL}, own as (select series_id, month, value, row_number() over (partition by series_id order by month) - 1 as t, count(*) over (partition by series_id) as n from levels where value is not null),
+{MS.source("select series_id, t, value from own where n > 14", True).replace("src as (", "src2 as (")},
+src as (select series_id, t, value, coalesce(sig, max(sig) filter (where t <= 12) over (partition by series_id), 1) as sig from src2),
+{MS.config({"setting_id": "x", "thr": 0.0, "scaled": True, "z": 2.0, "min_len": 3})}, {MS.machine(True)},
+states as (select own.series_id, own.month, case when own.t >= 12 then m.state end::int as label from own left join m using (series_id, t))"""
+query("f06_trend_state", f"with {_STATE} select * from states")(lambda s, d: P.trend_state(levels(s, d)))
 query("f08_macro_momentum", f"with {SQL_LEVEL}, g as (select series_id, month, case when series_id = '5-LOW' then -1 else 1 end * (value - lag(value, 12) over (partition by series_id order by month)) as d from levels), z as (select series_id, month, case when count(d) over w >= 24 then (d - avg(d) over w) / nullif(stddev_samp(d) over w, 0) end as z from g window w as (partition by series_id order by month)) select month, case when count(z) >= 3 then round(avg(z), 6) end as value from z group by 1")(lambda s, d: r6(P.macro_momentum(levels(s, d), {k: -1 if k == "5-LOW" else 1 for k, *_ in META}, 24, 3), "value"))
 
 # ---- rule
@@ -151,7 +174,11 @@ query("t02_required", f"with {SQL_SIG}, h as (select unnest([1, 6, 12, 24]) as m
 query("t04_t05_label_and_score", f"with {SQL_SIG}, x as (select a.series_id, b.t as a, a.t as b, a.value - b.value as mv, a.sig, greatest(0.8::double, a.sig * sqrt(least(a.t - b.t, 12)::double)) as need from sigs a join sigs b on a.series_id = b.series_id and b.t = a.t - 6) select series_id, a, b, case when b - a < 3 then 0 when mv >= need - 1e-12::double then 1 when mv <= 1e-12::double - need then -1 else 0 end as label, round(abs(mv) / (sig * sqrt((b - a)::double)), 6) as score from x")(lambda s, d: (lambda v: v.withColumn("a", F.col("t") - 6).withColumn("mv", F.col("value") - F.lag("value", 6).over(W.by_t())).where("mv is not null").select("series_id", "a", F.col("t").alias("b"), R.rule_label(F.col("mv"), F.col("a"), F.col("t"), F.col("sig")).alias("label"), rnd(R.zscore(F.col("mv"), F.col("a"), F.col("t"), F.col("sig")), 6).alias("score")))(L.with_settings(walk(s, d), grid(s, SCALED))))
 query("t08_required_table", f"with {SQL_SIG}, l as (select series_id, arg_max(sig, t) as sig from sigs group by 1), h as (select unnest([1, 3, 6, 12, 24]) as months) select series_id, months::int as months, round(100 * greatest(0.8::double, sig * sqrt(least(months, 12)::double)))::bigint as req_bp from l cross join h")(lambda s, d: R.required_table(L.with_settings(walk(s, d), grid(s, SCALED)).withColumn("last", F.max("t").over(Window.partitionBy("series_id"))).where("t = last")).select("series_id", "months", "req_bp"))
 query("o03_latest_rows", f"with {SQL_WALK} select series_id, t, value from (select *, row_number() over (partition by series_id order by t desc) as n from walk) where n <= 8")(lambda s, d: walk(s, d).withColumn("n", F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("t").desc()))).where("n <= 8").select("series_id", "t", "value"))
-query("s16_json_rows")(lambda s, d: S.as_json(walk(s, d)))
+query("o06_newest_first", f"with {SQL_WALK} select series_id, (row_number() over (partition by series_id order by month desc))::int as place, month, value from walk")(lambda s, d: walk(s, d).select("series_id", F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("month").desc())).alias("place"), "month", "value").orderBy("series_id", "place"))
+query("c04_number_format", f"""with {SQL_WALK}, x as (select series_id, t, round(value - lag(value, 12) over (partition by series_id order by t), 3) as d from walk)
+select series_id, t, case when d is null then chr(8211) else case when d < 0 then chr(8722) when d > 0 then '+' else '' end || printf('%.3f', abs(d)) end as shown from x""")(
+    lambda s, d: walk(s, d).select("series_id", "t", S.shown(F.round(W.diff("value", 12), 3), 3, True).alias("shown")))
+query("s16_json_rows", f"with {SQL_WALK} select '{{\"series_id\":\"' || series_id || '\",\"month\":\"' || strftime(month, '%Y-%m') || '\",\"hundredths\":' || round_even(100 * value, 0)::bigint || ',\"t\":' || t || '}}' as json from walk")(lambda s, d: S.as_json(walk(s, d).select("series_id", "month", F.bround(100 * F.col("value")).cast("long").alias("hundredths"), "t")))
 
 # ---- more joins, aggregates, sets and orders
 query("s07_monthly_values", "select 'x' as series_id, date_trunc('month', d::date)::date as month, v::double as value from (values ('2020-01-15', '1.5'), ('2020-02-10', '2.5')) as t(d, v)")(lambda s, d: S.monthly_values(s.createDataFrame([("2020-01-15", "1.5"), ("2020-02-10", "2.5"), ("2020-03-10", "."), ("bad", "1")], "d string, v string"), "d", "v", "x"))

@@ -157,6 +157,34 @@ def write_segments(segments: DataFrame, path: str) -> None:
     segments.drop("imp").orderBy("series_id", "method", "start").write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_panel(panel: DataFrame, meta: DataFrame, path: str, ids: list[str]) -> None:
+    """The series `ids` as a wide CSV, a row a month and 6 digits, under `path`/monthly, and under `path`/meta their metadata with first and last month and number of values."""
+    wide = panel.where(F.col("series_id").isin(*ids)).groupBy(F.col("month").alias("date")).pivot("series_id", ids).agg(F.round(F.first("value"), 6))
+    wide.orderBy("date").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/monthly")  # a row a month
+    rows = meta.where(F.col("id").isin(*ids)).join(summary(panel).withColumnRenamed("series_id", "id"), "id", "left")
+    rows = rows.withColumns({"start": F.date_format("start", "yyyy-MM"), "end": F.date_format("end", "yyyy-MM"), "n": F.coalesce("n", F.lit(0))})
+    rows.orderBy("id").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/meta")  # a row a series
+
+
+def write_comparison(rows: DataFrame, path: str) -> None:
+    """The table of a matched test as one CSV with a header, a row for each variable, model and horizon."""
+    rows.orderBy("var", "model", "h").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def shown(value: Column, digits: int = 2, sign: bool = False) -> Column:
+    """A number as text: a true minus, a plus if `sign`, no sign at zero, a dash where it is missing or not a number."""
+    rounded = F.bround(value, digits)
+    body = F.format_string(f"%.{digits}f", F.abs(rounded))
+    mark = F.when(rounded < 0, F.lit("\u2212")).when((rounded > 0) & F.lit(sign), F.lit("+")).otherwise(F.lit(""))
+    return F.when(value.isNull() | F.isnan(value), F.lit("\u2013")).otherwise(F.concat(mark, body))
+
+
+def page_data(series: DataFrame) -> str:
+    """One series as the JSON of a page: {"dates": [..], "y": [..]}, 6 digits. As long as the series."""
+    rows = series.where("value is not null").groupBy().agg(F.array_sort(F.collect_list(F.struct("month", F.round("value", 6).alias("y")))).alias("r"))
+    return rows.select(F.to_json(F.struct(F.transform("r", lambda x: F.date_format(x["month"], "yyyy-MM-dd")).alias("dates"), F.transform("r", lambda x: x["y"]).alias("y")))).first()[0]
+
+
 def as_json(study: DataFrame) -> DataFrame:
     """(json): rows with numbers that aren't finite as nulls, others to 5 places, months as yyyy-MM."""
     cols = []
@@ -187,18 +215,23 @@ def zigzag(spark: SparkSession) -> DataFrame:
 # ---- series of the driver's tables
 
 
+def before_last(months: DataFrame) -> DataFrame:
+    """The rows before the last month that any series has: that month may be partial."""
+    return months.crossJoin(F.broadcast(months.agg(F.max("month").alias("last")))).where("month < last").drop("last")  # one row
+
+
 def price_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean extended price, in 10,000s, by month of shipment and return flag, without the last, partial month."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     months = li.groupBy(F.col("l_returnflag").alias("series_id"), month_of("l_shipdate").alias("month")).agg(F.round(F.avg("l_extendedprice") / 1e4, 6).alias("value"))
-    return months.where(F.col("month") < F.lit(months.agg(F.max("month")).first()[0]))
+    return before_last(months)
 
 
 def price_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean total price, in 100,000s, by month of order and order priority, on a spine, without the last month."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     months = o.groupBy(F.col("o_orderpriority").alias("series_id"), month_of("o_orderdate").alias("month")).agg(F.round(F.avg("o_totalprice") / 1e5, 6).alias("value"))
-    return spine(months.where(F.col("month") < F.lit(months.agg(F.max("month")).first()[0])))
+    return spine(before_last(months))
 
 
 def price_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
