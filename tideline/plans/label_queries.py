@@ -47,11 +47,13 @@ def d_segments(s, d):
 # ---- labelings
 query("m04_method_c", f"with {sql_c(FIXED, LOW)} select series_id, setting_id, 'C' as method, t, label from c")(lambda s, d: c_labels(s, d))
 query("m04_method_c_scaled", f"with {sql_c(SCALED)} select series_id, setting_id, 'C' as method, t, label from c")(lambda s, d: L.method_c(walk(s, d), grid(s, SCALED)))
-query("m04_method_c_causal")(lambda s, d: L.method_c_causal(walk(s, d), grid(s)))
+# A run counts from its third month (or its minimum) on: the number within the run instead of the run's length.
+_CAUSAL = sql_c(FIXED, SCALED).replace("count(*) over (partition by series_id, setting_id, run) >=", "row_number() over (partition by series_id, setting_id, run order by t) >=")
+query("m04_method_c_causal", f"with {_CAUSAL} select series_id, setting_id, 'C_causal' as method, t, label from c")(lambda s, d: L.method_c_causal(walk(s, d), grid(s)))
 for _m, _name in (("A", "m01_machine"), ("D", "m05_retracement"), ("B", "m03_piecewise"), ("E", "m07_kalman"), ("F", "m12_l1"), ("G", "m15_swings")):
-    _sql = (lambda f, legs: f(legs, FIXED, SCALED)) if _m in "AD" else lambda f, legs: None
-    query(f"{_name}_segments", _sql(MS.segments_sql, _m == "D"))(lambda s, d, m=_m: L.machine_segments(walk(s, d), grid(s), (m,)))
-    query(f"{_name}_labels", _sql(MS.labels_sql, _m == "D"))(lambda s, d, m=_m: L.machine_labels(walk(s, d), grid(s), (m, f"{m}_rt") if m in "ADEF" else (m,)))
+    _sql = {"A": (MS.segments_sql(False, FIXED, SCALED), MS.labels_sql(False, FIXED, SCALED)), "D": (MS.segments_sql(True, FIXED, SCALED), MS.labels_sql(True, FIXED, SCALED)), "B": (MS.piecewise_sql(FIXED, SCALED), MS.piecewise_sql(FIXED, SCALED, labels=True))}.get(_m, (None, None))
+    query(f"{_name}_segments", _sql[0])(lambda s, d, m=_m: L.machine_segments(walk(s, d), grid(s), (m,)))
+    query(f"{_name}_labels", _sql[1])(lambda s, d, m=_m: L.machine_labels(walk(s, d), grid(s), (m, f"{m}_rt") if m in "ADEF" else (m,)))
 query("m01_live_a", LIVE_A)(lambda s, d: L.machine_labels(walk(s, d), grid(s, FIXED), ("A_rt",)))
 query("m05_live_d", LIVE_D)(lambda s, d: L.machine_labels(walk(s, d), grid(s, FIXED), ("D_rt",)))
 query("m02_pieces", MS.pieces_sql(FIXED))(lambda s, d: rounded(L.pieces(walk(s, d), grid(s, FIXED))))

@@ -93,23 +93,35 @@ def machine(legs: bool, m: str = "m") -> str:
       from (select {m}.*, ys, sg, n, thr, scaled, z, min_len, cap, ys[t + 2] as y1, state * (ys[t + 2] - {at('ext')}) as ahead from {m} join {m}l using (series_id, setting_id) where t + 1 < n))))"""
 
 
+def _rounds(out: str, key: str, label: str, ends: str) -> str:
+    """Labelling and merging of equal neighbours, again and again, from the segments {out}_0."""
+    text = ""
+    for k in range(ROUNDS):
+        text += f""",
+{out}_l{k} as (select s.* exclude (label, imp), {label} as label, abs(b.value - a.value) as size, coalesce(s.imp, abs(b.value - a.value)) as imp from {out}_{k} s {ends}),
+{out}_i{k} as (select *, sum(new) over (partition by {key} order by start) as run from (select *, case when label is not distinct from lag(label) over (partition by {key} order by start) then 0 else 1 end as new from {out}_l{k})),
+{out}_{k + 1} as (select {key}, min(start) as start, max("end") as "end", arg_min(confirm, start) as confirm, case when count(*) = 1 then any_value(imp) else arg_max(size, start) end as imp, any_value(label) as label from {out}_i{k} group by {key}, run)"""
+    return text
+
+
+def _ends(of: str = "s") -> tuple[str, str]:
+    """(the rule's label of a segment, the joins that it needs)"""
+    label = f"case when s.\"end\" - s.start < min_len then 0 when b.value - a.value >= {req('s.start', 's.\"end\"', 'b.sig')} - 1e-12::double then 1 when b.value - a.value <= -{req('s.start', 's.\"end\"', 'b.sig')} + 1e-12::double then -1 else 0 end"
+    return label, 'join src a on a.series_id = s.series_id and a.t = s.start join src b on b.series_id = s.series_id and b.t = s."end" join cfg using (setting_id)'
+
+
 def settled(m: str = "m", out: str = "seg", vintage: bool = False) -> str:
     """seg (key, seg_no, start, end, label, confirm, open, imp): the ex-post segments of a machine's months m. With `vintage`, for each month of vint (vintage) from the months up to it; it is part of the key."""
     key = "series_id, setting_id" + (", vintage" if vintage else "")
     rows = f"(select {m}.*, vintage from {m} join vint on t <= vintage)" if vintage else m
-    ends = f"join src a on a.series_id = s.series_id and a.t = s.start join src b on b.series_id = s.series_id and b.t = s.\"end\" join cfg using (setting_id)"
-    label = f"case when s.\"end\" - s.start < min_len then 0 when b.value - a.value >= {req('s.start', 's."end"', 'b.sig')} - 1e-12::double then 1 when b.value - a.value <= -{req('s.start', 's."end"', 'b.sig')} + 1e-12::double then -1 else 0 end"
+    label, ends = _ends()
     text = f"""
 {out}_spell as (select {key}, start, min(t) as first, max(t) as last, arg_max(state, t) as label, min(case when state <> 0 then t end) as conf from {rows} group by {key}, start),
 {out}_raw as (select *, lead(start) over w as nxt, lead(first) over w as closed_at, max(last) over (partition by {key}) as top from {out}_spell window w as (partition by {key} order by start)),
 {out}_first as (select {key}, start, coalesce(nxt, top) as "end", label, case when nxt is null then case when label <> 0 then conf else top end when label = 0 then closed_at else conf end as confirm, nxt is null as is_open from {out}_raw),
 {out}_bad as (select distinct {key} from (select s.*, {label} as should from {out}_first s {ends}) where not is_open and should <> label),
 {out}_0 as (select {key}, start, "end", confirm, null::double as imp, 0 as label from {out}_first semi join {out}_bad using ({key}) where not is_open)"""
-    for k in range(ROUNDS):
-        text += f""",
-{out}_l{k} as (select s.* exclude (label, imp), {label} as label, abs(b.value - a.value) as size, coalesce(s.imp, abs(b.value - a.value)) as imp from {out}_{k} s {ends}),
-{out}_i{k} as (select *, sum(new) over (partition by {key} order by start) as run from (select *, case when label is not distinct from lag(label) over (partition by {key} order by start) then 0 else 1 end as new from {out}_l{k})),
-{out}_{k + 1} as (select {key}, min(start) as start, max("end") as "end", arg_min(confirm, start) as confirm, case when count(*) = 1 then any_value(imp) else arg_max(size, start) end as imp, any_value(label) as label from {out}_i{k} group by {key}, run)"""
+    text += _rounds(out, key, label, ends)
     return text + f""",
 {out}_open as (select * from {out}_first semi join {out}_bad using ({key}) where is_open),
 {out}_end as (select {key}, arg_max(label, start) as tail, max(start) as tail_start from {out}_{ROUNDS} group by {key}),
@@ -195,27 +207,58 @@ def _slope(i: str, j: str) -> str:
     return f"case when {vx} > 0 then {cxy} / {vx} else 0 end"
 
 
-def pieces_sql(setting: dict, least: int = 6) -> str:
-    """Pieces of the walk by a dynamic program that looks at every start, month by month, and the way back."""
+def pieces(least: int = 6) -> str:
+    """back (series_id, setting_id, i, j): pieces of the walk under each setting of cfg, by a dynamic program that looks at every start, month by month, and the way back; held has the running sums."""
     running = ", ".join(f"sum({e}) over w as {c}" for c, e in (("sx", "t::double"), ("sxx", "t::double * t"), ("sy", "value"), ("sxy", "t * value"), ("syy", "value * value")))
     lists = ", ".join(f"list_prepend(0::double, list({c} order by t)) as {c}" for c in ("sx", "sxx", "sy", "sxy", "syy"))
-    return f"""with recursive {SQL_WALK},
+    return f"""
 cums as (select series_id, t, {running} from walk window w as (partition by series_id order by t)),
-costs as (select series_id, 2.6::double * var_pop(dy) / 2 * ln(count(*) + 1) * power({setting['thr']}::double, 2) as cost from (select series_id, value - lag(value) over (partition by series_id order by t) as dy from walk) where dy is not null group by 1),
+costs as (select series_id, setting_id, base * thr * thr as cost from (select series_id, 2.6::double * var_pop(dy) / 2 * ln(count(*) + 1) as base from (select series_id, value - lag(value) over (partition by series_id order by t) as dy from walk) where dy is not null group by 1) cross join cfg),
 held as (select series_id, count(*) as n, {lists} from cums group by 1),
-dp(series_id, j, f, prev) as (
-  select series_id, {least - 1}::bigint, [-cost] || list_transform(range({least - 1}), lambda x: null::double), list_transform(range({least}), lambda x: null::bigint) from costs
+dp(series_id, setting_id, j, f, prev) as (
+  select series_id, setting_id, {least - 1}::bigint, [-cost] || list_transform(range({least - 1}), lambda x: null::double), list_transform(range({least}), lambda x: null::bigint) from costs
   union all
-  select series_id, j, list_append(f, best.v), list_append(prev, best.i) from (
-    select dp.series_id, dp.j + 1 as j, f, prev,
+  select series_id, setting_id, j, list_append(f, best.v), list_append(prev, best.i) from (
+    select dp.series_id, dp.setting_id, dp.j + 1 as j, f, prev,
       list_sort(list_transform(list_filter(range(0, dp.j + 2 - {least}), lambda i: f[i + 1] is not null), lambda i: struct_pack(v := f[i + 1] + {_sse('i', '(dp.j + 1)')} + cost, i := i)))[1] as best
-    from dp join held using (series_id) join costs using (series_id) where dp.j < n)),
-done as (select series_id, prev, n from dp join held using (series_id) where j = n),
-back(series_id, i, j) as (
-  select series_id, prev[n + 1], n from done
+    from dp join held using (series_id) join costs using (series_id, setting_id) where dp.j < n)),
+done as (select series_id, setting_id, prev, n from dp join held using (series_id) where j = n),
+back(series_id, setting_id, i, j) as (
+  select series_id, setting_id, prev[n + 1], n from done
+  union all
+  select back.series_id, back.setting_id, done.prev[back.i + 1], back.i from back join done using (series_id, setting_id) where back.i > 0)"""
+
+
+def pieces_sql(*settings: dict) -> str:
+    return f"""with recursive {walk_source()}, {config(*settings)}, {pieces()}
+select series_id, setting_id, (row_number() over (partition by series_id, setting_id order by i) - 1)::int as piece_no, i::int as start, (j - 1)::int as "end", round({_slope('i', 'j')}, 6) as slope from back join held using (series_id)"""
+
+
+def piecewise(reach: int = 6) -> str:
+    """pw (series_id, setting_id, seg_no, start, end, label, confirm, open, imp): segments between the pieces' ends, moved in turn to the highest or lowest month near, labelled and merged."""
+    label, ends = _ends()
+    return f"""{pieces()},
+joints as (select series_id, setting_id, list(j - 1 order by i) as e, list(slope order by i) as sl, count(*) as m from (select back.*, {_slope('i', 'j')} as slope from back join held using (series_id)) group by 1, 2),
+turned as (select joints.*, ys, n from joints join (select series_id, list(value order by t) as ys, count(*) as n from src group by 1) using (series_id)),
+snap(series_id, setting_id, k, pos) as (
+  select series_id, setting_id, 0::bigint, 0::bigint from turned
   union all
-  select back.series_id, done.prev[back.i + 1], back.i from back join done using (series_id) where back.i > 0)
-select series_id, '{setting['setting_id']}' as setting_id, (row_number() over (partition by series_id order by i) - 1)::int as piece_no, i::int as start, (j - 1)::int as "end", round({_slope('i', 'j')}, 6) as slope from back join held using (series_id)"""
+  select series_id, setting_id, k, case when lo < hi and kind <> 0 then list_sort(list_transform(range(lo, hi + 1), lambda x: struct_pack(low := -kind * ys[x + 1], x := x)))[1].x else b end
+  from (
+    select *, greatest(pos + 1, b - {reach}) as lo, least(nxt - 1, b + {reach}) as hi from (
+      select snap.series_id, snap.setting_id, snap.k + 1 as k, pos, ys, e[snap.k + 1] as b, case when snap.k + 1 < m - 1 then e[snap.k + 2] else n - 1 end as nxt,
+        case when sl[snap.k + 1] > 0 and sl[snap.k + 2] <= 0 then 1 when sl[snap.k + 1] < 0 and sl[snap.k + 2] >= 0 then -1 else 0 end as kind
+      from snap join turned using (series_id, setting_id) where snap.k + 1 < m))),
+edges as (select series_id, setting_id, k, pos from snap union all select series_id, setting_id, m, n - 1 from turned),
+pw_0 as (select * from (select series_id, setting_id, pos as start, lead(pos) over (partition by series_id, setting_id order by k) as "end", null::bigint as confirm, null::double as imp, 0 as label from edges) where "end" is not null){_rounds('pw', 'series_id, setting_id', label, ends)},
+pw as (select series_id, setting_id, (row_number() over (partition by series_id, setting_id order by start) - 1)::int as seg_no, start::int as start, "end"::int as "end", label::int as label, confirm::int as confirm, null::boolean as open, imp from pw_{ROUNDS})"""
+
+
+def piecewise_sql(*settings: dict, labels: bool = False) -> str:
+    base = f"with recursive {walk_source()}, {config(*settings)}, {piecewise()}"
+    if labels:
+        return f"{base}, {expanded('pw')} select series_id, setting_id, 'B' as method, t, label from lab"
+    return f"{base} select series_id, setting_id, 'B' as method, seg_no, start, \"end\", label, confirm, open, imp from pw"
 
 
 # ---- the forward filter of a Markov model whose parameters are those of labelled months

@@ -160,13 +160,27 @@ _OWNC = ["d1", "d3", "d6", "d12", "dd12", "ru12", "gap12", "vol12", "z3", "z12",
 query("f03_own_features", f"with {_OWN}, o2 as (select *, d3 / nullif(vol36 * sqrt(3), 0) as z3, d12 / nullif(vol36 * sqrt(12), 0) as z12, dd12 / nullif(vol36, 0) as ddz, ru12 / nullif(vol36, 0) as ruz from own) select series_id, t, " + ", ".join(f"round({c} + 1e-9::double, 5) as {c}" for c in _OWNC) + " from o2")(lambda s, d: P.own_features(walk(s, d), live_d(s, d)).select("series_id", "t", *[rnd(F.col(c) + 1e-9, 5).alias(c) for c in _OWNC]))
 _X = ["d1", "d12", "z3", "z12", "lvl", "spr", "spr_d12"]
 query("f04_x_features", f"with {SQL_LEVEL}, {SQL_FLAG}, j as (select l.series_id, l.month, l.value, case when l.series_id = '2-HIGH' then f.value - l.value end as spr, l.value - lag(l.value) over (partition by l.series_id order by l.month) as dx from levels l left join (select month, value from flag where series_id = 'A') f using (month)), k as (select *, case when count(dx) over w36 >= 12 then stddev_samp(dx) over w36 end as sd, value - lag(value, 3) over w as d3, value - lag(value, 12) over w as d12, spr - lag(spr, 12) over w as spr_d12 from j window w as (partition by series_id order by month), w36 as (partition by series_id order by month rows between 35 preceding and current row)) select series_id, month, round(dx, 5) as d1, round(d12, 5) as d12, round(d3 / nullif(sd * sqrt(3), 0), 5) as z3, round(d12 / nullif(sd * sqrt(12), 0), 5) as z12, round(case when series_id = '1-URGENT' then value end, 5) as lvl, round(spr, 5) as spr, round(spr_d12, 5) as spr_d12 from k")(lambda s, d: P.x_features(levels(s, d), S.price_by_flag(s, d).where("series_id = 'A'"), None, ("1-URGENT",), ("2-HIGH",)).select("series_id", "month", *[rnd(c, 5).alias(c) for c in _X]))
-query("p02_compact_features")(lambda s, d: P.compact(P.matrix(P.own_features(walk(s, d).where("series_id = 'A'"), live_d(s, d)).select("month", "t"), P.x_features(levels(s, d), S.price_by_flag(s, d).where("series_id = 'A'"), P.trend_state(levels(s, d))), ["1-URGENT", "2-HIGH"], ["d1", "z3", "z12", "up", "down", "age"])))
 _STATE = f"""recursive {SQL_LEVEL}, own as (select series_id, month, value, row_number() over (partition by series_id order by month) - 1 as t, count(*) over (partition by series_id) as n from levels where value is not null),
 {MS.source("select series_id, t, value from own where n > 14", True).replace("src as (", "src2 as (")},
 src as (select series_id, t, value, coalesce(sig, max(sig) filter (where t <= 12) over (partition by series_id), 1) as sig from src2),
 {MS.config({"setting_id": "x", "thr": 0.0, "scaled": True, "z": 2.0, "min_len": 3})}, {MS.machine(True)},
 states as (select own.series_id, own.month, case when own.t >= 12 then m.state end::int as label from own left join m using (series_id, t))"""
 query("f06_trend_state", f"with {_STATE} select * from states")(lambda s, d: P.trend_state(levels(s, d)))
+_XS = f"""{_STATE},
+j as (select series_id, month, value, value - lag(value) over (partition by series_id order by month) as dx from levels),
+x as (select *, case when count(dx) over w36 >= 12 then stddev_samp(dx) over w36 end as sd, value - lag(value, 3) over w as d3, value - lag(value, 12) over w as d12 from j window w as (partition by series_id order by month), w36 as (partition by series_id order by month rows between 35 preceding and current row)),
+xs as (select x.series_id, x.month, round(d3 / nullif(sd * sqrt(3), 0), 5) as z3, round(d12 / nullif(sd * sqrt(12), 0), 5) as z12, (label = 1)::int::double as up, (label = -1)::int::double as down from x left join states using (series_id, month))"""
+_WIDE = ", ".join(f"{c}.{k} as \"{n}_{k}\"" for c, n in (("u", "1-URGENT"), ("h", "2-HIGH")) for k in ("z3", "z12", "up", "down"))
+
+
+def compacted(s, d):
+    """The few columns that short samples bear, of two variables beside the months of one target."""
+    x = P.x_features(levels(s, d), S.price_by_flag(s, d).where("series_id = 'A'"), P.trend_state(levels(s, d)))
+    wide = P.compact(P.matrix(P.own_features(walk(s, d).where("series_id = 'A'"), live_d(s, d)).select("month", "t"), x, ["1-URGENT", "2-HIGH"], ["d1", "z3", "z12", "up", "down", "age"]))
+    return wide.select(*[rnd(F.col(f"`{c}`"), 5).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in wide.dtypes])
+
+
+query("p02_compact_features", f"with {_XS}, {SQL_WALK.replace('prio', 'prio')} select w.month, w.t, {_WIDE} from walk w left join xs u on u.month = w.month and u.series_id = '1-URGENT' left join xs h on h.month = w.month and h.series_id = '2-HIGH' where w.series_id = 'A'")(compacted)
 query("f08_macro_momentum", f"with {SQL_LEVEL}, g as (select series_id, month, case when series_id = '5-LOW' then -1 else 1 end * (value - lag(value, 12) over (partition by series_id order by month)) as d from levels), z as (select series_id, month, case when count(d) over w >= 24 then (d - avg(d) over w) / nullif(stddev_samp(d) over w, 0) end as z from g window w as (partition by series_id order by month)) select month, case when count(z) >= 3 then round(avg(z), 6) end as value from z group by 1")(lambda s, d: r6(P.macro_momentum(levels(s, d), {k: -1 if k == "5-LOW" else 1 for k, *_ in META}, 24, 3), "value"))
 
 # ---- rule

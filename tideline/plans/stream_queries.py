@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.operators import kernels as K
-from tideline.operators import walkforward as G
 from tideline.operators.tables import folder
 from tideline.plans import label_queries, study_queries
 from tideline.plans.base import forecasts, rnd, walk
@@ -52,11 +51,12 @@ def soft(s, d):
 query("n06_confirmed_calls", label_queries.SQL["x11_hysteresis"])(lambda s, d: T.drained(T.confirmed_calls(soft(s, d))))
 
 
-@query("n02_step_loop")
-def _(s, d):
+def stepped(s, d):
     rows = study_queries.features(s, d).withColumn("at", F.timestamp_seconds(F.col("t")))
-    detectors = [*study_queries.rules(), G.Supervised(study_queries.OWN, name="Logit own", options={"c": 0.1})]
-    return T.step_loop(S.replay(rows, "at", 6).drop("at"), study_queries.bounds(s, d), detectors, SETTING, folder(s, "steps"))
+    return T.step_loop(S.replay(rows, "at", 6).drop("at"), study_queries.bounds(s, d), study_queries.rules(), SETTING, folder(s, "steps"))
+
+
+query("n02_step_loop", study_queries.SQL["h09_h10_rule_forecasts"])(stepped)
 
 
 def orders(s, d):

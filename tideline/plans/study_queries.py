@@ -12,7 +12,7 @@ from tideline.operators import leadlag as LL
 from tideline.operators import study as S
 from tideline.operators import walkforward as G
 from tideline.plans import machine_sql as MS
-from tideline.plans.base import FIXED, SQL_C1, c_one, grid, kept, walk
+from tideline.plans.base import FIXED, SQL_C1, c_one, grid, kept, rnd, walk
 from tideline.plans.series_queries import SQL_LEVEL, levels, live
 
 Q: dict = {}
@@ -93,6 +93,10 @@ query("x16_first_usable", f"with {SQL_C1}, x as (select series_id, t, value - la
 query("x18_leaderboard")(lambda s, d: S.leaderboard(forecasts(s, d, [*rules(), G.Supervised(OWN, name="Logit own"), G.SwitchingDetector()]), evaluated_truth(s, d)))
 query("x09_compare")(lambda s, d: S.compare(forecasts(s, d, [*rules(), G.Supervised(OWN, name="Logit own")]), evaluated_truth(s, d), "Logit own", "Climatology", draws=200))
 query("x17_add_one")(lambda s, d: S.all_against(forecasts(s, d, [G.Supervised(OWN, name="base"), G.Supervised((*OWN, "x"), name="base+x"), G.RuleDetector(), G.CompositeRule("x")]), evaluated_truth(s, d), [("base+x", "base"), ("Rule+x", "Rule D")], draws=100))
-query("x20_findings")(lambda s, d: S.best_model(S.leaderboard(forecasts(s, d, rules()), evaluated_truth(s, d), (0,))))
+query("x20_findings", f"""with {FORECAST}, {MS.expanded()},
+r as (select made.*, lab.label as truth from made join lab using (series_id, t) where h = 0),
+b as (select series_id, detector, avg(power(p_down - (truth = -1)::int, 2) + power(p_side - (truth = 0)::int, 2) + power(p_up - (truth = 1)::int, 2)) as brier, 1 - power(avg((truth = -1)::int), 2) - power(avg((truth = 0)::int), 2) - power(avg((truth = 1)::int), 2) as clim from r group by 1, 2),
+g as (select series_id, detector, round(1 - brier / nullif(clim, 0), 6) as bss from b)
+select series_id, detector, bss from (select *, row_number() over (partition by series_id order by bss desc nulls last, detector) as n from g) where n = 1""")(lambda s, d: S.best_model(S.leaderboard(forecasts(s, d, rules()), evaluated_truth(s, d), (0,)).withColumn("bss", rnd("bss", 6))))
 query("x14_own_truth", f"""with recursive {SQL_LEVEL}, own as (select series_id, month, value, row_number() over (partition by series_id order by month) - 1 as t, count(*) over (partition by series_id) as n from levels where value is not null),
 {MS.source("select series_id, t, value from own where n > 40")}, {MS.config(FIXED)}, {MS.machine(True)}, {MS.settled()}, {MS.expanded()} select lab.series_id, lab.t, lab.label, own.month from lab join own using (series_id, t)""")(lambda s, d: LL.own_truth(levels(s, d), grid(s, FIXED)))

@@ -139,4 +139,4 @@ def step_loop(rows: DataFrame, bounds: DataFrame, detectors: list, setting: K.Se
 
     q = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(G.FORECASTS).parquet(made)
+    return spark.read.schema(G.FORECASTS).parquet(made).drop("batch")
