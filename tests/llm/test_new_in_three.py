@@ -250,3 +250,64 @@ def test_every_template_fits_itself():
         return set(re.findall(L.TERM, x))
 
     assert all(set(need) <= terms(x) and not set(bad) & terms(x) and re.search(L.ANCHOR, x) for _, x, need, bad in L.TEMPLATES)
+
+
+def test_language_machines_are_optimal():
+    """The machines' weights against the optimum of the same problem by projected gradients over its dual."""
+    from tideline.llm import langid
+
+    draw = np.random.default_rng(11)
+    texts = [" ".join(draw.choice(["der", "die", "und", "nicht", "haus", "baum"] if k % 3 else ["the", "and", "not", "house", "tree", "die"], 12)) for k in range(60)]
+    y = np.array([1.0 if k % 3 else -1.0 for k in range(60)])
+    rows = [langid.sparse(f" {t} ".encode()) for t in texts]
+    x = np.zeros((60, (1 << langid.BITS) + 1))
+    for k, (at, v) in enumerate(rows):
+        x[k, at], x[k, -1] = v, 1.0
+    most = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum()))
+    primal = lambda w: 0.5 * w @ w + (most * np.maximum(0, 1 - y * (x @ w))).sum()
+    q = (x @ x.T) * np.outer(y, y)
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, most)
+    best = alpha.sum() - 0.5 * alpha @ q @ alpha
+    w, bias = langid.svm(rows, y, epochs=3000, tol=1e-9)
+    assert best <= primal(np.append(w, bias)) + 1e-9 <= best * 1.01
+    assert (y * (x @ np.append(*langid.svm(rows, y))) > 0.5).all()  # as it is stopped in use
+
+
+def test_language_decisions_by_hand(spark, sf):
+    """Every document's language by counting its n-grams and votes in plain loops."""
+    import duckdb
+
+    from tideline.llm import langid, registry
+    from tideline.llm.shared import table
+
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    texts = dict(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
+    got = {r["doc_id"]: r for r in registry.QUERIES["op3_language_id"](spark, sf).collect()}
+
+    def bucket(gram):
+        v = sum(b << 8 * k for k, b in enumerate(gram)) * 2654435761 + len(gram) * 40503
+        return (v & 0xFFFFFFFF) * 2246822519 % 2**32 >> 32 - langid.BITS
+
+    for i in sorted(texts)[::12]:
+        letters = "".join(c if c.isalpha() else " " for c in f" {texts[i] or ''} ".lower())
+        b = (" " + " ".join(letters.split()) + " ").encode()
+        grams = collections.Counter(b[k : k + n] for n in langid.ORDERS for k in range(len(b) - n + 1))
+        if not letters.strip():
+            assert got[i]["lang_pred"] == "und"
+            continue
+        total = sum(grams.values())
+        margin = sum(n * model.weights[bucket(g)].astype(float) for g, n in grams.items()) * langid.SCALE / total + model.bias
+        nf = len(model.families)
+        f = int(np.argmax(margin[:nf])) if nf > 1 else 0
+        names = model.families[f][1]
+        votes = dict.fromkeys(range(len(names)), 0.0)
+        for k, (g, x, y) in enumerate(model.pairs):
+            if g == f:
+                m = margin[nf + k]
+                votes[x if m >= 0 else y] += 1
+                votes[x] += np.tanh(m) / (4 * len(names))
+                votes[y] -= np.tanh(m) / (4 * len(names))
+        assert got[i]["lang_pred"] == names[max(votes, key=lambda v: (votes[v], -v))]

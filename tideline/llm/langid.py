@@ -71,8 +71,8 @@ def sparse(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), (total[at] * (SCALE / max(1.0, total.sum()))).astype(np.float32)
 
 
-def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 1.0, epochs: int = 15) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear support vector machine with hinge loss, by dual coordinate descent; y is 1 or -1. Classes weigh alike."""
+def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 1.0, epochs: int = 15, tol: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear support vector machine with hinge loss, by dual coordinate descent until no row moves by `tol`; y is 1 or -1. Classes weigh alike."""
     w, bias = np.zeros(1 << BITS), 0.0
     alpha, rng = np.zeros(len(y)), np.random.default_rng(7)
     norm = np.array([float(v.astype(np.float64) @ v) + 1.0 for _, v in rows])
@@ -89,7 +89,7 @@ def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 1.0
                 bias += d
                 alpha[k] = new
                 moved = max(moved, abs(d))
-        if moved < 1e-3:
+        if moved < tol:
             break
     return w, bias
 
@@ -125,9 +125,9 @@ class Model:
         return lang.tolist(), score
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, most: int = 20_000) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, most: int = 20_000, most_bytes: int = 64 << 20) -> Model | None:
     """Fits a model to a bounded sample of `docs`: of each language the `per_lang` rows whose ids hash lowest, fewer where there are so
-    many languages that this would exceed `most` rows. Rows with a null language or without a letter teach nothing. None if no row is left.
+    many languages that this would exceed `most` rows, or where the rows before have a language's share of `most_bytes` of text. Rows with a null language or without a letter teach nothing. None if no row is left.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
@@ -139,6 +139,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     h = F.xxhash64(F.coalesce("id", F.lit("")))
     some = rows.withColumn("h", h).where((F.shiftrightunsigned("h", 11) / float(1 << 53)) < share[F.col("lang")]).select("lang", "h", cleaned("text").alias("t"))
     some = some.where("octet_length(t) > 1").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= each)
+    before = F.sum(F.least(F.octet_length("t"), F.lit(1 << BITS))).over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    some = some.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max(1 << BITS, most_bytes // len(sizes)))
 
     def features(batches):
         for b in batches:

@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir, or a temporary one where it is unset in local mode (tests). On a cluster it must be set."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = _own_folders.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="tideline-")
         _own_folders[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/tideline"
