@@ -144,9 +144,13 @@ def scan(files: DataFrame, templates: list | None = None, least: float = LEAST,
     # Equal passages, of which there may be many, are scored once.
     texts = found.groupBy("part").agg(F.first("terms").alias("terms"))
     tf = cut(texts.select("part", F.explode("terms").alias("term")).groupBy("part", "term").agg(F.count("*").alias("tf")), "tf")
-    weights = tf.join(F.broadcast(idf), "term", "left").select("part", "term", (F.col("tf") * F.coalesce("idf", foreign)).alias("w"))
+    # A template can only be that of passages with all the terms it asks for, so a passage meets those whose rarest such term it has.
+    rare = known.where("has = 1").join(idf, "term").groupBy("tpl").agg(F.max_by("term", F.struct("idf", "term")).alias("term"))
+    keys = rare.select("term", "tpl").unionByName(known.where("needs = 0 and bad = 0").select("term", "tpl"))  # one that asks for none is met by any of its terms
+    meets = cut(tf.join(F.broadcast(keys), "term").select("part", "tpl").distinct(), "meets")
+    weights = tf.join(meets.select("part").distinct(), "part").join(F.broadcast(idf), "term", "left").select("part", "term", (F.col("tf") * F.coalesce("idf", foreign)).alias("w"))
     norms = weights.groupBy("part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weights.join(F.broadcast(known), "term").groupBy("part", "tpl", "license", "norm2", "needs").agg(F.sum(F.col("w") * F.col("w2")).alias("dot"), F.sum("has").alias("has"), F.max("bad").alias("bad"))
+    dots = weights.join(meets, "part").join(F.broadcast(known), ["tpl", "term"]).groupBy("part", "tpl", "license", "norm2", "needs").agg(F.sum(F.col("w") * F.col("w2")).alias("dot"), F.sum("has").alias("has"), F.max("bad").alias("bad"))
     scored = dots.where("has = needs and bad = 0").join(norms, "part").select("part", "license", F.round(F.col("dot") / (F.col("norm") * F.col("norm2")), 6).alias("score"))
     best = scored.where(F.col("score") >= least).groupBy("part").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     best = cut(best.select("part", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")), "best")
