@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import exact, infill, lloyd
+from tideline.llm import exact, infill, lloyd, mixing
 
 sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
 ROWS = [(1, "a"), (2, None), (3, ""), (None, "a"), (4, "a"), (4, "a"), (5, "ä" * 40_000), (6, "ä" * 40_000), (7, "ä" * 39_999 + "b"), (None, "only"), (None, "only"), (-8, "n"), (-9, "n")]
@@ -311,3 +312,42 @@ def test_language_decisions_by_hand(spark, sf):
                 votes[x] += np.tanh(m) / (4 * len(names))
                 votes[y] -= np.tanh(m) / (4 * len(names))
         assert got[i]["lang_pred"] == names[max(votes, key=lambda v: (votes[v], -v))]
+
+
+def one_fold(strata):
+    """Earliest deadline first over all slots in one loop: (stratum, block, slot)."""
+    names = sorted(strata)
+    n, w = [strata[k][0] for k in names], [strata[k][1] for k in names]
+    fluid = lambda v: sum(min(a * v, b) for a, b in zip(w, n))
+    done, out = [0] * len(n), []
+    for slot in range(sum(n)):
+        open_ = [k for k in range(len(n)) if done[k] < n[k] and math.floor(fluid(done[k] / w[k]) + 1e-9) <= slot]
+        k = min(open_, key=lambda k: (math.ceil(fluid((done[k] + 1) / w[k]) - 1e-9), k))
+        out.append((names[k], done[k], slot))
+        done[k] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_schedule_in_stretches_is_one_fold(spark, seed):
+    """Stretches of 16 slots give the slots of one fold, also where sources run out and where a window is longer than a stretch; no source is a block off the fluid mixture."""
+    rnd = random.Random(seed)
+    raw = {f"s{k:02d}": (rnd.choice([1, 2, 30, 120, 200]), rnd.choice([1.0, 2.0, rnd.random() * 3 + 0.02])) for k in range([1, 3, 7, 12][seed])}
+    total = sum(x for _, x in raw.values())
+    strata = {k: (n, x / total) for k, (n, x) in raw.items()}
+    rows = spark.createDataFrame([(k, n, w) for k, (n, w) in strata.items()], "stratum string, n long, w double")
+    got = sorted((r["slot"], r["stratum"], r["block"]) for r in mixing.schedule(rows, stretch=16).collect())
+    assert got == sorted((t, k, b) for k, b, t in one_fold(strata))
+    assert sorted((t, k, b) for k, b, t in mixing.schedule(rows).select("stratum", "block", "slot").collect()) == got
+    v, done = 0.0, dict.fromkeys(strata, 0)
+    for slot, k, _ in got:
+        done[k] += 1
+        low, high = v, max(n / w for n, w in strata.values())
+        for _ in range(80):
+            v = (low + high) / 2
+            low, high = (v, high) if sum(min(w * v, n) for n, w in strata.values()) < slot + 1 else (low, v)
+        assert all(abs(done[s] - min(w * v, n)) < 1 + 1e-6 for s, (n, w) in strata.items())
+
+
+def test_schedule_of_nothing(spark):
+    assert mixing.schedule(spark.createDataFrame([], "stratum string, n long, w double")).count() == 0
