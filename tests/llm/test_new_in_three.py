@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import exact, infill, lloyd, mixing
+from tideline.llm import exact, infill, lloyd, mixing, sharding
 
 sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
 ROWS = [(1, "a"), (2, None), (3, ""), (None, "a"), (4, "a"), (4, "a"), (5, "ä" * 40_000), (6, "ä" * 40_000), (7, "ä" * 39_999 + "b"), (None, "only"), (None, "only"), (-8, "n"), (-9, "n")]
@@ -351,3 +351,20 @@ def test_schedule_in_stretches_is_one_fold(spark, seed):
 
 def test_schedule_of_nothing(spark):
     assert mixing.schedule(spark.createDataFrame([], "stratum string, n long, w double")).count() == 0
+
+
+def test_rows_without_an_id_share_out_their_places(spark):
+    """Nine in ten rows have no id and the same text, some repeat an id, and columns clash with helpers' names: all rows come out once, with places and slots of their own."""
+    rows = [(None, "same", "a", k) for k in range(900)] + [(k // 2, f"text {k}", "b" if k % 3 else None, 900 + k) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mine int").repartition(7)
+    for c in ("key", "lead", "at", "n", "position", "row", "held", "rn"):
+        docs = docs.withColumn(c, F.col("mine") + 1)
+    mixed = mixing.mixed(docs, place="spot").collect()
+    assert sorted(r["spot"] for r in mixed) == list(range(1000))
+    assert sorted(r["mine"] for r in mixed) == list(range(1000)) and all(r["key"] == r["n"] == r["row"] == r["mine"] + 1 for r in mixed)
+    order = {(r["doc_id"], r["position"]) for r in mixing.mixed_order(docs).collect()}
+    assert {(r["doc_id"], r["spot"]) for r in mixed} == order
+    out = sharding.sharded(docs, 7).collect()
+    assert sorted(r["mine"] for r in out) == list(range(1000)) and len({(r["shard"], r["slot"]) for r in out}) == 1000
+    assert max(r["slot"] for r in out) == 142 and {r["shard"] for r in out} == set(range(7))
+    assert mixing.mixed(docs.where("mine >= 900")).count() == 100 and sharding.sharded(docs.where("false")).count() == 0

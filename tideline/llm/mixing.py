@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.shared import cut, table
-from tideline.llm.strata import ranked, with_key
+from tideline.llm.strata import handed_out, ranked, with_key
 
 BLOCK_ROWS = 64
 STRETCH = 2048
@@ -117,13 +117,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, place: str |
     docs = docs.select(*[c for c in docs.columns if c != place_of(docs)])
     if place in docs.columns:
         raise ValueError(f"there is a column {place} already: see free_name()")
-    places = cut(mixed_order(docs, weights, **options).select("doc_id", "position"), "places")
-    left = docs.select("doc_id", F.struct("*").alias("row"), F.lit(1).alias("n"))
-    right = places.select(F.col("doc_id").alias("id"), "position", F.lit(1).alias("m"))
-    if not places.groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1))))
-        right = right.withColumn("m", F.row_number().over(Window.partitionBy("id").orderBy("position")))
-    both = left.join(right, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n") == F.col("m"))).select("row", "position")
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    places = cut(mixed_order(docs, weights, **options).select(name.alias("key"), F.expr("position div 65536").alias("lead"), F.col("position").alias("at")), "places")
+    both = handed_out(docs, name, places).select("row", F.col("at").alias("position"))
     if place:
         mark = F.col("position").alias(place, metadata={MARK: True})
         return both.select(*[F.col("row")[c].alias(c, metadata=docs.schema[c].metadata) for c in docs.columns], mark)

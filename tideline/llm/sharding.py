@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.shared import cut, table
-from tideline.llm.strata import ranked, with_key
+from tideline.llm.strata import handed_out, ranked, with_key
 
 
 def assigned(docs: DataFrame, shards: int = 24, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -39,14 +39,11 @@ def assigned(docs: DataFrame, shards: int = 24, seed: int = 20, id_col: str = "d
 def sharded(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
     """`docs` with shard and slot. Columns of these names are replaced. Rows that repeat an id and a text share out their places."""
     docs = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
-    text, name, keys = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), ["id", "crc", "size", "n"]
-    places = cut(assigned(docs, shards, seed), "places")
-    left = docs.select(name.alias("id"), F.crc32(text.cast("binary")).alias("crc"), (F.octet_length(text).cast("long") + 8).alias("size"), F.lit(1).alias("n"), F.struct("*").alias("row"))
-    right = places.select(name.alias("id"), F.col("text_crc32").alias("crc"), "size", F.lit(1).alias("n"), "shard", "slot")
-    if not right.groupBy("id", "crc", "size").count().where("count > 1").isEmpty():
-        left = left.withColumn("n", F.row_number().over(Window.partitionBy("id", "crc", "size").orderBy(F.lit(1))))
-        right = right.withColumn("n", F.row_number().over(Window.partitionBy("id", "crc", "size").orderBy("shard", "slot")))
-    return left.join(right, keys).select("row.*", "shard", "slot")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = lambda crc, size: F.concat_ws(":", name, crc.cast("string"), size.cast("string"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    places = cut(assigned(docs, shards, seed).select(key(F.col("text_crc32"), F.col("size")).alias("key"), F.expr(f"slot div 65536 * {shards} + shard").alias("lead"), F.col("slot").alias("at"), "shard", "slot"), "places")
+    return handed_out(docs, key(F.crc32(text.cast("binary")), F.octet_length(text) + 8), places).select("row.*", "shard", "slot")
 
 
 def dealt(docs: DataFrame, place: str, shards: int = 24) -> DataFrame:
