@@ -21,7 +21,7 @@ from tideline.operators import panel as P
 from tideline.operators import scoring as C
 from tideline.operators import walkforward as G
 from tideline.operators.panel import COMPACT
-from tideline.operators.tables import written
+from tideline.operators.tables import width, written
 
 JOB = "tier string, detector string, kind string, columns array<string>, observed array<string>, inputs array<string>, needs array<string>"
 FORECASTS = "series_id string, tier string, detector string, refit int, train_from int, t int, h int, p_down double, p_side double, p_up double"
@@ -228,7 +228,8 @@ def forecasts(features: DataFrame, jobs: DataFrame, bounds: DataFrame, setting:
         got.insert(0, "series_id", key[0])
         return got.astype({"refit": "int32", "train_from": "int32", "t": "int32", "h": "int32"})
 
-    sent, dealt = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (sent, dealt))  # both may come from one table
+    # Both may come from one table. Their partitions are asked for by number, since ones of few bytes would be put together to a few long tasks.
+    sent, dealt = (x.select(*[F.col(c).alias(c) for c in x.columns]).repartition(width(x.sparkSession), "series_id", "lane") for x in (sent, dealt))
     return sent.groupBy("series_id", "lane").cogroup(dealt.groupBy("series_id", "lane")).applyInPandas(run, FORECASTS)
 
 
@@ -276,6 +277,12 @@ def events(truth: DataFrame, bounds: DataFrame, months: DataFrame) -> DataFrame:
     return runs.select(*keys, "start", "end", F.col("truth").alias("dir"), F.bround(100 * (F.col("y1") - F.col("y0"))).cast("int").alias("move_bp"))
 
 
+def spans(bounds: DataFrame, months: DataFrame, found: DataFrame) -> DataFrame:
+    """(series_id, tier, e1, e0, eval_start, eval_end, n_events): the evaluated months of each tier and how many of the events `found` begin among them."""
+    at = bounds.join(months.select("series_id", F.col("t").alias("e0"), F.date_format("month", "yyyy-MM").alias("eval_start")), ["series_id", "e0"]).join(months.select("series_id", F.col("t").alias("e1"), F.date_format("month", "yyyy-MM").alias("eval_end")), ["series_id", "e1"])
+    return at.join(found.groupBy("series_id", "tier").count().withColumnRenamed("count", "n_events"), ["series_id", "tier"], "left").fillna(0, subset=["n_events"])
+
+
 def paths(made: DataFrame, truth: DataFrame, months: DataFrame, tier: str, detectors: list[str], horizons: tuple[int, ...] = (0, 3)) -> DataFrame:
     """(series_id, month, value, truth, detector, h, p_down, p_side, p_up) of some models of a tier by the month of the forecast, rounded to 3 digits; truth is that month's."""
     rows = made.where((F.col("tier") == tier) & F.col("detector").isin(*detectors) & F.col("h").isin(*horizons))
@@ -320,11 +327,10 @@ def run(features: DataFrame, bounds: DataFrame, truth: DataFrame, months: DataFr
     starts = made.groupBy(*RUN).agg(F.min("train_from").alias("train_from"))
     ranked = F.broadcast(spark.createDataFrame([(j["tier"], j["detector"]) for j in boards(study)], "tier string, detector string"))  # ten a tier
     both = compared(made, known, board, pairs, draws)
-    spans = bounds.join(months.select("series_id", F.col("t").alias("e0"), F.date_format("month", "yyyy-MM").alias("eval_start")), ["series_id", "e0"]).join(months.select("series_id", F.col("t").alias("e1"), F.date_format("month", "yyyy-MM").alias("eval_end")), ["series_id", "e1"])
     found = events(known, bounds, months)
     return {
         "forecasts": made, "leaderboard": board.join(ranked, ["tier", "detector"]).join(starts, RUN), "add_one": both.where("study = 'add_one'").drop("study"), "leave_one_out": both.where("study = 'leave_one_out'").drop("study", "members", "family"),
-        "events": found, "paths": paths(made, known, months, next(iter(study.tiers)), KEPT_PATHS), "tiers": spans.join(found.groupBy("series_id", "tier").count().withColumnRenamed("count", "n_events"), ["series_id", "tier"], "left").fillna(0, subset=["n_events"]),
+        "events": found, "paths": paths(made, known, months, next(iter(study.tiers)), KEPT_PATHS), "tiers": spans(bounds, months, found),
     }
 
 
