@@ -368,3 +368,18 @@ def test_rows_without_an_id_share_out_their_places(spark):
     assert sorted(r["mine"] for r in out) == list(range(1000)) and len({(r["shard"], r["slot"]) for r in out}) == 1000
     assert max(r["slot"] for r in out) == 142 and {r["shard"] for r in out} == set(range(7))
     assert mixing.mixed(docs.where("mine >= 900")).count() == 100 and sharding.sharded(docs.where("false")).count() == 0
+
+
+def test_shards_are_stratified_within_the_mixture(spark):
+    """In every stretch of places shards hold each source alike, to a row; counts are one apart at most, and a null source is one of its own."""
+    from tideline.llm import sharding
+
+    n, sources = 1000, ["a", "b", None, "a", "a", "b", "a"]
+    docs = spark.createDataFrame([(k, sources[k * k % 7], k) for k in range(n)], "doc_id long, source string, place long")
+    got = sharding.dealt(docs, "place", 4, slots=50).toPandas()
+    assert got.columns.tolist() == ["doc_id", "source", "shard", "slot"] and sorted(got["doc_id"]) == list(range(n))
+    assert all(sorted(g["slot"]) == list(range(250)) for _, g in got.groupby("shard"))
+    got["stretch"], got["source"] = got["doc_id"] // 200, got["source"].fillna("-")
+    assert (got["slot"] // 50 == got["stretch"]).all()
+    each = got.groupby(["stretch", "source", "shard"]).size().unstack(fill_value=0)
+    assert (each.max(axis=1) - each.min(axis=1) <= 1).all()

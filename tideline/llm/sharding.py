@@ -46,13 +46,22 @@ def sharded(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
     return handed_out(docs, key(F.crc32(text.cast("binary")), F.octet_length(text) + 8), places).select("row.*", "shard", "slot")
 
 
-def dealt(docs: DataFrame, place: str, shards: int = 24) -> DataFrame:
-    """`docs` with shard and slot by the places 0, 1, .. of a given order in column `place`, which goes: dealt in turn, so that up to any slot each shard has the order's own mixture.
+def dealt(docs: DataFrame, place: str, shards: int = 24, source_col: str = "source", slots: int = 64) -> DataFrame:
+    """`docs` with shard and slot by the places 0, 1, .. of a given order in column `place`, which goes.
 
-    Each round starts at a shard drawn by a hash of its number, or shards would meet blocks of the order always at the same rows. Counts of shards are at most one apart, slots run from 0 within a shard. Columns named shard and slot are replaced."""
+    Each stretch of `slots` places a shard is interleaved as assigned() does it with the whole: rows have fractional ranks within their source, by place, and the order of these is cut into equal counts. So all shards have the
+    sources of a stretch in its proportions, and follow the given order from stretch to stretch. Counts of shards are at most one apart, slots run from 0 within a shard. Columns named shard and slot are replaced. Sources
+    and places alone are ranked, and then rows shuffled once."""
     at = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
-    slot = F.expr(f"`{place}` div {shards}")
-    return at.withColumn("shard", F.pmod(F.col(place) % shards + F.pmod(F.xxhash64(slot), F.lit(shards)), F.lit(shards)).cast("int")).withColumn("slot", slot).drop(place)
+    rows = docs.select(F.col(place).alias("at"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("stratum"), F.expr(f"`{place}` div {shards * slots}").alias("stretch"))
+    own, whole = Window.partitionBy("stretch", "stratum"), Window.partitionBy("stretch")  # a stretch's rows at most
+    rows = rows.repartition("stretch").withColumn("part", (F.row_number().over(own.orderBy("at")) - 0.5) / F.count("*").over(own))
+    rows = rows.withColumn("nth", F.row_number().over(whole.orderBy("part", "stratum", "at")) - 1).withColumn("n", F.count("*").over(whole))
+    rows = rows.withColumn("piece", F.expr(f"nth * {shards}L div n"))
+    slot = F.col("stretch") * slots + F.col("nth") - F.expr(f"(piece * n + {shards - 1}L) div {shards}L")
+    found = rows.select(F.col("at").alias(place), F.struct(F.col("piece").cast("int").alias("shard"), slot.cast("long").alias("slot")).alias("dealt"))
+    both = at.select(F.col(place), F.struct(*[c for c in at.columns if c != place]).alias("row")).join(found.hint("merge"), place)
+    return both.select("row.*", "dealt.shard", "dealt.slot")
 
 
 def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
