@@ -383,3 +383,14 @@ def test_shards_are_stratified_within_the_mixture(spark):
     assert (got["slot"] // 50 == got["stretch"]).all()
     each = got.groupby(["stretch", "source", "shard"]).size().unstack(fill_value=0)
     assert (each.max(axis=1) - each.min(axis=1) <= 1).all()
+
+
+def test_passages_are_given_by_both_documents(spark, tmp_path):
+    """The earliest holder of a passage has a row of its own, and the first of equal texts stands for its copies."""
+    from tideline.llm import passages
+
+    word = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    texts = {1: f"{word('a', 30)} {word('p', 80)}", 2: f"{word('p', 80)} {word('b', 30)}", 3: word("c", 70), 4: word("c", 70), 5: word("d", 90)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r["doc_id"], r["other_id"]): (r["first"], r["last"], r["other_first"], r["other_last"]) for r in passages.op9_collinear_passages(spark, str(tmp_path)).collect()}
+    assert rows == {(2, 1): (0, 80, 30, 110), (1, 2): (30, 110, 0, 80), (4, 3): (0, 70, 0, 70), (3, 3): (0, 70, 0, 70)}
