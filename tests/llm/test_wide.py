@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tideline.llm import simhash
+from tideline.llm import graph, simhash
 
 
 def _frame(spark, sig):
@@ -50,3 +50,17 @@ def test_rows_of_one_crowded_block_all_meet(spark):
     i, j = np.nonzero(np.triu(np.bitwise_count(sig[:, None, 0] ^ sig[None, :, 0]) <= 53, 1))
     assert (label == simhash.local_components(600, i, j)).all()
     assert len(links) < 100 * 600
+
+
+@pytest.mark.parametrize("small", [0, 30, 100_000])
+def test_components_may_end_in_one_task(spark, small):
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 900, 400), rng.integers(0, 900, 400)
+    a, b = np.concatenate([a, np.arange(1000, 1060)]), np.concatenate([b, np.arange(1001, 1061)])  # and a long path
+    edges = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long")
+    got = {r["node"]: r["component"] for r in graph.components(edges, small).collect()}
+    label = simhash.local_components(1061, a, b)
+    named = {}
+    assert set(got) == {int(x) for x, y in zip([*a, *b], [*b, *a]) if x != y}
+    assert all(named.setdefault(int(label[x]), c) == c and int(label[c]) == int(label[x]) for x, c in got.items())
+    assert graph.components(edges.where("a < 0"), small).count() == 0

@@ -28,6 +28,7 @@ BATCH = 1 << 20
 SLACK = 3  # standard deviations of the bits that differ between pairs of just the similarity asked for: beyond them the bits decide, within them the shingles
 WALK, LEAF = 1 << 15, 16  # node pairs that are walked at once; pairs of fingerprints below which a node pair is compared outright
 PAIRS = 1 << 18  # pairs that are compared at once
+SMALL = 1 << 14  # links of near-duplicate groups that one task brings together
 BLOCKS, PIECES = (0, 2, 4, 6), (1, 3)  # bytes of a segment by which wide fingerprints are dealt out; where the two 16-bit pieces that are searched begin, in bytes from there, round the segment
 
 
@@ -480,14 +481,14 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, segme
     texts = plain.join(need.hint("merge"), plain["doc_id"].eqNullSafe(need["d"]) & (plain["h1"] == need["g1"]) & (plain["h2"] == need["g2"])).select("id", "t")
     texts = cut(texts.dropDuplicates(["id"]) if repeats else texts, "texts")
     good = _similar(links.where("now").select("a", "b").distinct(), texts, words, similarity)
-    found = components(good)
+    found = components(good, SMALL)
     # What these links didn't bring together may be by others: rows that have more meet by their rare shingles, knowing their groups.
     more = links.where("not now").select(F.col("a").alias("id")).distinct()
     groups = more.join(first.select("id", *names).hint("merge"), "id").join(found.toDF("id", "c").hint("merge"), "id", "left")
     groups = cut(groups.select("id", F.coalesce("c", "id").alias("c"), *names), "groups")
     if not groups.isEmpty():
         rest = cut(prefix_pairs(texts, groups, words, similarity, segments), "rest")
-        found = components(good.unionByName(_similar(rest, texts, words, similarity)))
+        found = components(good.unionByName(_similar(rest, texts, words, similarity)), SMALL)
     member = first.select("id", "first").join(found.toDF("id", "component").hint("merge"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
     kept = member.groupBy("component").agg(F.min("first").alias("kept")).select("kept.*").toDF("none", "kept", "k1", "k2")
     gone = each.join(kept, each["doc_id"].eqNullSafe(kept["kept"]) & (each["h1"] == kept["k1"]) & (each["h2"] == kept["k2"]), "left_anti")
