@@ -376,7 +376,9 @@ def _dealt(wide: DataFrame, segments: int, total: int, per_task: int) -> tuple[D
         rows += [(view, p, part, parts, [(tasks + t, side) for t, side in goes]) for p, part, parts, goes in got]
         tasks += more
     routes = F.broadcast(wide.sparkSession.createDataFrame(rows, "view int, prefix long, part int, parts int, goes array<struct<task:int,side:int>>"))
-    dealt = keyed.join(routes, ["view", "prefix"]).where("pmod(xxhash64(id), parts) = part").select("id", *names, F.explode("goes").alias("g"))
+    # The table is small and what a task of it sends is many times that: in more tasks, none has to spill that and merge it again.
+    spread = wide.repartition(width(wide.sparkSession)).select("id", *names, F.posexplode(F.array(*blocks)).alias("view", "prefix"))
+    dealt = spread.join(routes, ["view", "prefix"]).where("pmod(xxhash64(id), parts) = part").select("id", *names, F.explode("goes").alias("g"))
     return dealt.select("id", *names, "g.task", "g.side"), starts
 
 
